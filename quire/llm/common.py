@@ -64,3 +64,9 @@ class Rows:
         out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
         self.rows, self.size = [], 0
         return out
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes that the tables below df take as stored, by the optimizer's statistics; by its rows where those are unknown."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else df.count() * 2_000

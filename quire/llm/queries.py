@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from quire.llm.byte_bpe import op7_byte_bpe
+from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
 from quire.llm.packing import op2_best_fit_packing
+from quire.llm.simhash import op9_simhash
+from quire.llm.sstable import op8_sorted_tables
+from quire.llm.substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_sorted_tables": op8_sorted_tables,
+        "op9_simhash": op9_simhash,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
