@@ -93,4 +93,5 @@ def paper_of(article) -> tuple | None:
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArticleSource)
