@@ -17,12 +17,14 @@ from quire.llm.packing import pack_documents
 from quire.llm.quality import fit, held_out, score_documents
 from quire.llm.simhash import near_duplicates
 from quire.llm.substring_dedup import dedup_passages
+from quire.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
     return score_documents(docs, model, carry=list(COLUMNS)).filter("predicted = 1").select("carry.*")
 
@@ -34,22 +36,26 @@ def _changed(done: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
+    ship(spark)
     return _changed(dedup_lines(docs, carry=["doc_id", "lang", "source"]))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays."""
+    ship(spark)
     found = near_duplicates(docs)
     return docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages stay in the earliest document that holds them."""
+    ship(spark)
     return _changed(dedup_passages(docs, carry=["doc_id", "lang", "source"]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 1024 ids."""
+    ship(spark)
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 

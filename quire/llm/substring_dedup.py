@@ -1,12 +1,12 @@
 """Repeated passages leave every document but the earliest, by hashing units of lines.
 
-A unit is a stretch of a line that ends with a sentence of at least ``SENTENCE_WORDS`` words or with the
-line: shorter sentences go with what follows.  Where a unit ends depends on its own sentences only, so
-a passage set into the middle of a line has the same units there as anywhere else, from its second
-sentence on.  (Whole lines as units would miss such passages.)
+A unit is a stretch of a line that ends with a clause (up to a stop, comma or colon) of at least
+``CLAUSE_WORDS`` words or with the line: shorter clauses go with what follows.  Where a unit ends depends
+on its own clauses only, so a passage set into the middle of a line has the same units there as
+anywhere else, from its second clause on.  (Whole lines as units would miss such passages.)
 
 1. Units are normalised (lower case, single blanks) and hashed to 128 bits; units of fewer words than
-   SENTENCE_WORDS are left alone.
+   CLAUSE_WORDS are left alone.
 2. Digests are grouped globally; the occurrence of the smallest (doc_id, unit number) is the earliest.
    Tasks reduce equal digests first, so a passage of a third of all documents is no hot group.
 3. Units that are not their digest's earliest go, where such units stand together with at least
@@ -30,23 +30,23 @@ from pyspark.sql import types as T
 
 from quire.llm.common import pairs, written
 
-SENTENCE_WORDS = 6
+CLAUSE_WORDS = 6
 MIN_WORDS = 25
 #: Digests with over a HOT-th of all units, under HOT of them, are joined by broadcast.
 HOT = 1_000
 NO_ID = -(1 << 63)
 
-_SENTENCE = re.compile(r"[^\n]*?[.!?](?=[ \t])[ \t]+|[^\n]*\n+|[^\n]+")
+_CLAUSE = re.compile(r"[^\n]*?[.!?,;:](?=[ \t])[ \t]+|[^\n]*\n+|[^\n]+")
 
 
 def split_units(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of the units, which cover the text."""
     units, start, words = [], 0, 0
-    for m in _SENTENCE.finditer(text):
-        sentence = m[0]
-        n = len(sentence.split())
+    for m in _CLAUSE.finditer(text):
+        clause = m[0]
+        n = len(clause.split())
         words += n
-        if n >= SENTENCE_WORDS or sentence[-1] == "\n":
+        if n >= CLAUSE_WORDS or clause[-1] == "\n":
             units.append((start, m.end(), words))
             start, words = m.end(), 0
     if start < len(text):
@@ -58,7 +58,7 @@ def hashed_units(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units that are long enough; a unit's number is its place here."""
     from xxhash import xxh3_128_digest
 
-    return [(a, b, n, xxh3_128_digest(" ".join(text[a:b].lower().split()).encode("utf-8", "surrogatepass"))) for a, b, n in split_units(text) if n >= SENTENCE_WORDS]
+    return [(a, b, n, xxh3_128_digest(" ".join(text[a:b].lower().split()).encode("utf-8", "surrogatepass"))) for a, b, n in split_units(text) if n >= CLAUSE_WORDS]
 
 
 UNITS = "hi long, lo long, doc_id long, number int"
