@@ -176,6 +176,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT source_papers, num_papers, len({_words('x')})::BIGINT AS original_length FROM t""",
         "post_process": f"SELECT pmid, {_post('x')} AS summary FROM (SELECT pmid, left(abstract, 400) AS x FROM {docs})",
         "rouge": f"WITH pairs AS (SELECT pmid, {_first_words('abstract', 60)} AS reference, {_first_words(chr(40) + 'split_part(abstract, ' + chr(39) + '.' + chr(39) + ', 1)' + chr(41), 30)} AS candidate FROM {docs}), {_rouge(1, 'r1')}, {_rouge(2, 'r2')} SELECT pmid, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2 FROM r1 JOIN r2 USING (pmid)",
+        "ranked_hits": f"WITH h AS (SELECT CAST(vec_id AS VARCHAR) AS pmid, {DOT.format(5)} AS s FROM embeddings WHERE vec_id <> 5) SELECT row_number() OVER (ORDER BY s DESC, pmid) AS rank, pmid, printf('%.3f', s) AS score FROM h ORDER BY s DESC, pmid LIMIT 5",
+        "jsonl_roundtrip": f"{META} SELECT pmid, pub_date, journal, coalesce(array_to_string(authors, '|'), '') AS authors, coalesce(array_to_string(mesh_terms, '|'), '') AS mesh_terms FROM papers_meta",
+        "xml_ingest": f"{META} SELECT pmid, 'Order no. ' || pmid AS title, 'DATE: ' || pub_date || ' Second part.' AS abstract, journal, left(pub_date, 7) AS pub_date, coalesce(array_to_string(list_transform(authors, lambda a: 'S ' || a), '|'), '') AS authors, coalesce(array_to_string(mesh_terms, '|'), '') AS mesh_terms FROM papers_meta",
+        "query_summary": f"""WITH d AS ({DOCS}), s AS (SELECT pmid, abstract, string_split(abstract, '. ') AS parts FROM d),
+            e AS (SELECT pmid, i, parts[i] AS part, list_distinct(regexp_extract_all(lower(parts[i]), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')) AS t FROM s, range(1, len(parts) + 1) r(i)),
+            w AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY len(list_intersect(t, ['the', 'and', 'attion', 'thanedble'])) / sqrt(greatest(len(t), 1)) DESC, i) AS place FROM e),
+            b AS (SELECT pmid, string_agg(part, '. ' ORDER BY i) || '.' AS best FROM w WHERE place <= 6 GROUP BY 1),
+            l AS (SELECT pmid, abstract, CASE WHEN len(parts) <= 6 THEN abstract ELSE best END AS led FROM s JOIN b USING (pmid)),
+            q AS (SELECT pmid, abstract, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l)
+            SELECT pmid, CASE WHEN length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 50 THEN '' ELSE {summary} END AS summary FROM q""",
         "union_all_domains": f"SELECT journal, count(*) AS papers FROM ({_DOMAINS}) GROUP BY 1",
         "union_distinct_domains": f"SELECT journal, count(DISTINCT doc_id) AS papers FROM ({_DOMAINS}) GROUP BY 1",
         "dedup_by_text": "SELECT CAST(min(doc_id) AS VARCHAR) AS pmid FROM documents GROUP BY text",

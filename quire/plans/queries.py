@@ -14,7 +14,10 @@ from quire.functions.dates import year
 from quire.functions.rouge import rouge_l, rouge_n
 from quire.operators import charts, prepare, search, stats, summaries, topics, trends
 from quire.plans import views
+from quire.schemas import RAW_PAPER
+from quire.sources import articles, tables
 from quire.sources.tables import dedup_papers, union_domains
+from quire.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -287,6 +290,34 @@ def rouge_lcs(spark, d):
     return rows.select("pmid", F.round(rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
 
 
+def ranked_hits(spark, d):
+    hits = search.similar(views.paper_vectors(spark, d), "5", 5)
+    return charts.ranked(hits, F.desc("similarity_score"), F.col("pmid")).select(F.col("rank").cast("long").alias("rank"), "pmid", F.format_string("%.3f", "similarity_score").alias("score"))
+
+
+def jsonl_roundtrip(spark, d):
+    """Papers written as JSON lines and read back under the raw schema."""
+    path = shared_folder(spark, "jsonl")
+    tables.write_jsonl(views.papers_meta(spark, d), path)
+    return tables.read_jsonl(spark, path, RAW_PAPER).select("pmid", "pub_date", "journal", F.array_join("authors", "|").alias("authors"), F.array_join("mesh_terms", "|").alias("mesh_terms"))
+
+
+def xml_ingest(spark, d):
+    """Papers written as article XML, one a line, and parsed again."""
+    rows = views.papers_meta(spark, d)
+    each = lambda array, head, tail: F.array_join(F.transform(array, lambda x: F.concat(F.lit(head), x, F.lit(tail))), "")
+    xml = F.concat(
+        F.lit('<PubmedArticle><MedlineCitation><PMID Version="1">'), F.col("pmid"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate><Year>"), F.left("pub_date", F.lit(4)),
+        F.lit("</Year><Month>"), F.substring("pub_date", 6, 2), F.lit("</Month></PubDate></JournalIssue><Title>"), F.col("journal"), F.lit("</Title></Journal><ArticleTitle>Order <i>no.</i> "), F.col("pmid"),
+        F.lit('</ArticleTitle><Abstract><AbstractText Label="DATE">'), F.col("pub_date"), F.lit("</AbstractText><AbstractText>Second part.</AbstractText></Abstract><AuthorList>"),
+        each("authors", "<Author><ForeName>S</ForeName><LastName>", "</LastName></Author>"), F.lit("<Author><LastName>Group</LastName></Author></AuthorList></Article><MeshHeadingList>"),
+        each("mesh_terms", '<MeshHeading><DescriptorName UI="D">', "</DescriptorName></MeshHeading>"), F.lit("</MeshHeadingList></MedlineCitation></PubmedArticle>"),
+    )
+    path = shared_folder(spark, "xml")
+    rows.select(xml.alias("value")).write.text(path)
+    return articles.read_article_lines(spark, path).select("pmid", "title", "abstract", "journal", "pub_date", F.array_join("authors", "|").alias("authors"), F.array_join("mesh_terms", "|").alias("mesh_terms"))
+
+
 def _domains(spark, d):
     papers = views.papers_text(spark, d).select("pmid", "abstract", "journal")
     return [papers.filter(F.col("journal").isin("src0", "src1", "src2")), papers.filter(F.col("journal").isin("src2", "src3"))]
@@ -342,7 +373,7 @@ _NAMES = (
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
-    card_display, event_windows, text_embedding,
+    card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
 
