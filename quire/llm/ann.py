@@ -129,18 +129,18 @@ def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, n
     return i, j
 
 
-def _cells(counts: dict[int, int]) -> dict[int, list[int]]:
-    """list -> its cells: small lists share a cell, a large one has parts of its own."""
+def _cells(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """list -> (its first cell, cells): small lists share a cell, a large one has parts of its own."""
     cells, now, room = {}, 0, CELL_ROWS
     for key, n in sorted(counts.items()):
         if n > CELL_ROWS:
             parts = -(-n // CELL_ROWS)
-            cells[key] = list(range(now + 1, now + 1 + parts))
+            cells[key] = (now + 1, parts)
             now, room = now + 1 + parts, CELL_ROWS
             continue
         if n > room:
             now, room = now + 1, CELL_ROWS
-        cells[key] = [now]
+        cells[key] = (now, 1)
         room -= n
     return cells
 
@@ -168,13 +168,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
     counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
     cells = _cells(counts)
     held_by = np.array([counts.get(i, 0) for i in range(len(index.centres))])
-    number = 1 + max(c for own in cells.values() for c in own)
+    number = max(first + parts for first, parts in cells.values())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates to their cell."""
         for batch in batches:
             ids, lists = (batch.column(c).to_numpy() for c in (0, 2))
-            cell = [own[i % len(own)] for i, own in zip(ids.tolist(), map(cells.__getitem__, lists.tolist()), strict=True)]
+            cell = [first + i % parts for i, (first, parts) in zip(ids.tolist(), map(cells.__getitem__, lists.tolist()), strict=True)]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array([False] * n), batch.column(0), batch.column(1), pa.array([[x] for x in lists.tolist()], pa.list_(pa.int32())), pa.array([None] * n, pa.float64())], names=_DEALT)
 
@@ -193,7 +193,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
                 for r, probed in enumerate(o[:n].tolist() for o, n in zip(order, enough, strict=True)):
                     by_cell: dict[int, list[int]] = {}
                     for x in probed:
-                        for c in cells.get(x, ()):
+                        first, parts = cells.get(x, (0, 0))
+                        for c in range(first, first + parts):
                             by_cell.setdefault(c, []).append(x)
                     rows += [r] * len(by_cell)
                     to += by_cell

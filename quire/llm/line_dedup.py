@@ -97,7 +97,10 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     parts, shard = [], None
     for batch in batches:
         if batch.num_rows:
-            shard = batch.column(0)[0].as_py()
+            own = batch.column(0).unique().to_pylist()
+            if len(own) > 1 or shard not in (None, own[0]):
+                raise ValueError("a partition holds two shards")
+            shard = own[0]
             parts.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]])
             if sum(len(p[0]) for p in parts[1:]) > 2 * len(parts[0][0]) + REDUCE_LINES:
                 parts = [_merged(parts)]
@@ -132,13 +135,17 @@ def build_index(docs: DataFrame, min_chars: int, shards: int) -> DataFrame:
 
 def hot_lines(index: DataFrame) -> dict[bytes, tuple[int, int]]:
     """Hash to (documents, largest id) of the lines that make up a HOT_LINES-th of all lines each: at most HOT_LINES."""
-    total, found = 0, []
-    for row in index.select("hot", "lines").toLocalIterator():
-        total += row["lines"]
-        found.append(np.frombuffer(row["hot"], "<i8").reshape(-1, 4))
-    rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
-    rows = rows[rows[:, 2] * HOT_LINES >= max(total, HOT_LINES * 100)]
-    return {r[:2].astype("<i8").tobytes(): (int(r[2]), int(r[3])) for r in rows}
+    total = index.agg(F.sum("lines")).first()[0] or 0
+    least = max(-(-total // HOT_LINES), 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column(0).to_pylist():
+                rows = np.frombuffer(held, "<i8").reshape(-1, 4)
+                rows = rows[rows[:, 2] >= least]
+                yield pa.RecordBatch.from_arrays([pa.array([r[:2].tobytes() for r in rows], pa.binary()), pa.array(rows[:, 2].copy()), pa.array(rows[:, 3].copy())], names=["digest", "n", "largest"])
+
+    return {bytes(r["digest"]): (r["n"], r["largest"]) for r in index.select("hot").mapInArrow(run, "digest binary, n long, largest long").collect()}
 
 
 def _probes(min_chars: int, shards: int, hot: dict):
