@@ -10,7 +10,7 @@ from quire.config import EngineConfig
 from quire.functions import dates
 from quire.operators import charts, prepare, search, stats, summaries, topics, trends
 from quire.schemas import RAW_PAPER
-from quire.sources import tables
+from quire.sources import remote, tables
 
 
 class NotFound(LookupError):
@@ -43,6 +43,13 @@ class Engine:
     def ingest_jsonl(self, path: str, refresh: bool = False) -> DataFrame:
         return self.ingest(tables.read_jsonl(self.spark, path, RAW_PAPER), refresh=refresh)
 
+    def ingest_remote(self, url: str, refresh: bool = False, **options: str) -> DataFrame:
+        """All domains of the configuration from an article service; a paper found in two stays once."""
+        remote.register(self.spark)
+        c = self.config
+        own = {"url": url, "date_from": c.date_from, "date_to": c.date_to, "max_results": str(c.papers_per_domain)} | options
+        return self.ingest(*(self.spark.read.format("articles").options(**own, term=d).load() for d in c.domains), refresh=refresh)
+
     def run_pipeline(self, refresh: bool = False) -> DataFrame:
         """Preprocess, embed, summarise, and fit topics over the ingested papers; the row counts of the stages."""
         t = lambda name, build: tables.materialise(self.spark, self._path(name), build, refresh)

@@ -44,6 +44,12 @@ def as_date(pub_date: Column) -> Column:
     return F.coalesce(full, F.try_to_date(F.concat(key, F.lit("-01")), "yyyy-MM-dd"), F.try_to_date(F.concat(year(pub_date), F.lit("-01-01")), "yyyy-MM-dd"))
 
 
+def between(pub_date: Column, first: str, last: str) -> Column:
+    """Dates that can lie in a range of yyyy/MM/dd or yyyy-MM-dd days; undated rows don't."""
+    days = [F.lit(d.replace("/", "-")).cast("date") for d in (first, last)]
+    return F.coalesce(as_date(pub_date).between(*days), F.lit(False))
+
+
 def bucket(date: Column, window: str) -> Column:
     """The start of a month, year, week, day, or else quarter."""
     return F.date_trunc(window if window in ("month", "year", "week", "day") else "quarter", date).cast("date")

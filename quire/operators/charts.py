@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import ellipsis
 from quire.functions.vectors import cosine
-from quire.operators.topics import trending
+from quire.operators.topics import topic_centres, trending
 
 
 def trend_lines(trends: DataFrame, k: int = 10) -> DataFrame:
@@ -23,8 +23,7 @@ def growth_bars(trends: DataFrame, labels: DataFrame | None = None, k: int = 10)
 
 def topic_similarity(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
     """Cosine of the topics' mean vectors; as many rows as pairs of topics, which the model's k bounds."""
-    long = vectors.join(assigned, "pmid").select("topic_id", F.posexplode("embedding").alias("i", "x"))
-    mean = long.groupBy("topic_id", "i").agg(F.avg("x").alias("x")).groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    mean = topic_centres(vectors, assigned).withColumnRenamed("centre", "v")
     a, b = mean.select(F.col("topic_id").alias("topic_a"), F.col("v").alias("va")), mean.select(F.col("topic_id").alias("topic_b"), F.col("v").alias("vb"))
     return a.join(b, F.col("topic_a") < F.col("topic_b")).select("topic_a", "topic_b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
 from quire.functions import dates
-from quire.functions.text import tokens
+from quire.functions import vectors as V
+from quire.functions.text import let, tokens
 
 # Common English words that are no keywords.
 STOP_WORDS = (
@@ -56,12 +58,27 @@ def date_range(assigned: DataFrame, date_col: str = "date") -> DataFrame:
     return assigned.agg(F.date_format(F.min(date_col), "yyyy-MM-dd").alias("start"), F.date_format(F.max(date_col), "yyyy-MM-dd").alias("end"))
 
 
-def ctfidf(rows: DataFrame, k: int = 10, topic_col: str = "topic_id", text_col: str = "text_content", stop_words: bool = True, min_count: int = 2) -> DataFrame:
-    """Class-based tf-idf: share of a token in a topic times ln(1 + mean tokens a topic / corpus count).  The k best of each topic, ties by word."""
-    words = rows.select(F.col(topic_col).alias("topic_id"), F.explode(tokens(F.col(text_col))).alias("word"))
-    if stop_words:
-        words = words.filter(~F.col("word").isin(*STOP_WORDS))
-    counts = words.groupBy("topic_id", "word").agg(F.count("*").alias("n"))
+def terms(text: Column, ngrams: int = 1, stop_words: bool = True) -> Column:
+    """Words without stop words, then their runs of up to ngrams words."""
+    words = F.filter(tokens(text), lambda w: ~w.isin(*STOP_WORDS)) if stop_words else tokens(text)
+    if ngrams == 1:
+        return words
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return let(words, lambda w: F.concat(w, *(runs(w, n) for n in range(2, ngrams + 1))))
+
+
+def vocabulary(rows: DataFrame, ngrams: int = 2, min_df: int = 2, size: int = 1000, text_col: str = "text_content", stop_words: bool = True) -> DataFrame:
+    """(word, count, df) of the most frequent terms that min_df rows or more hold; ties by word."""
+    each = rows.select(F.explode(terms(F.col(text_col), ngrams, stop_words)).alias("word"), "pmid").groupBy("word", "pmid").agg(F.count("*").alias("n"))
+    return each.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("df")).filter(F.col("df") >= min_df).orderBy(F.desc("count"), "word").limit(size)
+
+
+def ctfidf(rows: DataFrame, k: int = 10, topic_col: str = "topic_id", text_col: str = "text_content", stop_words: bool = True, min_count: int = 2, ngrams: int = 1, words: DataFrame | None = None) -> DataFrame:
+    """Class-based tf-idf: share of a token in a topic times ln(1 + mean tokens a topic / corpus count).  The k best of each topic, ties by word.  ``words``: a vocabulary to keep to."""
+    found = rows.select(F.col(topic_col).alias("topic_id"), F.explode(terms(F.col(text_col), ngrams, stop_words)).alias("word"))
+    if words is not None:
+        found = found.join(words.select("word"), "word", "left_semi")
+    counts = found.groupBy("topic_id", "word").agg(F.count("*").alias("n"))
     totals = counts.groupBy("topic_id").agg(F.sum("n").alias("topic_n"))
     mean = totals.agg(F.avg("topic_n").alias("mean_n"))  # one row
     corpus = counts.groupBy("word").agg(F.sum("n").alias("corpus_n")).filter(F.col("corpus_n") >= min_count)
@@ -75,24 +92,44 @@ def topic_labels(keywords: DataFrame, n: int = 3) -> DataFrame:
     return keywords.filter(F.col("rank") <= n).groupBy("topic_id").agg(F.array_join(F.transform(first, lambda x: x["word"]), ", ").alias("topic_label"))
 
 
-def fit_kmeans(vectors: DataFrame, k: int = 50, seed: int = 42, runs: int = 1, vector_col: str = "embedding") -> PipelineModel:
-    """The best of ``runs`` seeds by training cost."""
+def fit_kmeans(vectors: DataFrame, k: int = 50, seed: int = 42, runs: int = 1, vector_col: str = "embedding", reduce_to: int | None = None) -> PipelineModel:
+    """The best of ``runs`` seeds by training cost; reduce_to: principal components to cluster in."""
     data = vectors.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    models = [Pipeline(stages=[KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="topic_id")]).fit(data) for i in range(runs)]
-    return min(models, key=lambda m: m.stages[0].summary.trainingCost)
+    first = [PCA(k=reduce_to, inputCol="features", outputCol="reduced")] if reduce_to else []
+    space = "reduced" if reduce_to else "features"
+    models = [Pipeline(stages=[*first, KMeans(k=k, seed=seed + i, featuresCol=space, predictionCol="topic_id")]).fit(data) for i in range(runs)]
+    return min(models, key=lambda m: m.stages[-1].summary.trainingCost)
 
 
 def assign_topics(vectors: DataFrame, model: PipelineModel, min_size: int = 1, vector_col: str = "embedding") -> DataFrame:
     """(pmid, topic_id, topic_probability): nearest centre, softmax of negative squared distances; topics under min_size become -1."""
-    centres = F.lit([[float(x) for x in c] for c in model.stages[0].clusterCenters()])
-    v = F.col(vector_col)
-    distance = F.transform(centres, lambda c: F.aggregate(F.zip_with(v, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d))
-    scored = vectors.select("pmid", distance.alias("d")).withColumn("least", F.array_min("d"))
-    rows = scored.select("pmid", (F.array_position("d", F.col("least")) - 1).cast("int").alias("topic_id"), (1 / F.aggregate("d", F.lit(0.0), lambda s, x: s + F.exp(F.col("least") - x))).alias("topic_probability"))
+    kmeans = model.stages[-1]
+    centres = F.lit([[float(x) for x in c] for c in kmeans.clusterCenters()])
+    rows = vectors.select("pmid", array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    rows = rows.select("pmid", vector_to_array(kmeans.getFeaturesCol()).alias("v"))
+    distance = F.transform(centres, lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+    scored = rows.select("pmid", distance.alias("d")).withColumn("least", F.array_min("d"))
+    own = scored.select("pmid", (F.array_position("d", F.col("least")) - 1).cast("int").alias("topic_id"), (1 / F.aggregate("d", F.lit(0.0), lambda s, x: s + F.exp(F.col("least") - x))).alias("topic_probability"))
     if min_size <= 1:
-        return rows
-    small = rows.groupBy("topic_id").agg(F.count("*").alias("n")).filter(F.col("n") < min_size)  # under k rows
-    return rows.join(F.broadcast(small), "topic_id", "left").select("pmid", F.when(F.col("n").isNull(), F.col("topic_id")).otherwise(-1).alias("topic_id"), "topic_probability")
+        return own
+    small = own.groupBy("topic_id").agg(F.count("*").alias("n")).filter(F.col("n") < min_size)  # under k rows
+    return own.join(F.broadcast(small), "topic_id", "left").select("pmid", F.when(F.col("n").isNull(), F.col("topic_id")).otherwise(-1).alias("topic_id"), "topic_probability")
+
+
+def topic_centres(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(topic_id, centre): mean vectors of topics."""
+    long = vectors.join(assigned.select("pmid", "topic_id"), "pmid").select("topic_id", F.posexplode("embedding").alias("i", "x"))
+    mean = long.groupBy("topic_id", "i").agg(F.avg("x").alias("x"))
+    return mean.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+
+
+def rerank_keywords(keywords: DataFrame, word_vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """Keywords of each topic by the cosine of word and topic; word_vectors (word, embedding), centres (topic_id, centre).  Words without one come last."""
+    score = F.coalesce(V.cosine(F.col("embedding"), F.col("centre")), F.lit(-1.0))
+    rows = keywords.join(word_vectors, "word", "left").join(centres, "topic_id", "left").select("topic_id", "word", score.alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word")))
 
 
 def topic_info(assigned: DataFrame, labels: DataFrame | None = None) -> DataFrame:

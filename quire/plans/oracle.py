@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+from quire.operators.topics import STOP_WORDS
 from quire.plans.queries import CHUNK_WORDS
 from quire.plans.views import PAPERS_META, TOPIC_EVENTS, TOPIC_PAPERS
 
@@ -166,6 +167,10 @@ def oracle_sql() -> dict[str, str]:
         "topic_top_terms": f"{META}, t AS (SELECT unnest(mesh_terms) AS term FROM papers_meta JOIN embeddings ON pmid = CAST(vec_id AS VARCHAR) WHERE label = 3) SELECT term, count(*) AS count FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
         "topic_info": "SELECT label AS topic_id, count(*) AS count FROM embeddings GROUP BY 1",
         "ctfidf_keywords": f"{_CTFIDF} SELECT topic_id, rank, word, round(score, 6) AS score FROM best",
+        "vocabulary_terms": f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({list(STOP_WORDS)}, w)) AS w FROM documents),
+            g AS (SELECT doc_id, unnest(w) AS word FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM t)
+            SELECT word, count(*) AS count, count(DISTINCT doc_id) AS df FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2 ORDER BY 2 DESC, 1 LIMIT 200""",
+        "date_range_filter": f"{DATED} SELECT pmid, pub_date FROM papers WHERE pub_date BETWEEN '1996-03-01' AND '1997-02-28'",
         "topic_labels": f"{_CTFIDF} SELECT topic_id, string_agg(word, ', ' ORDER BY rank) AS topic_label FROM best WHERE rank <= 3 GROUP BY 1",
         "topic_similarity": "WITH x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), v AS (SELECT label, list(m ORDER BY i) AS v FROM x GROUP BY 1) SELECT a.label AS topic_a, b.label AS topic_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.label < b.label",
         "extractive_summary": f"""WITH d AS ({DOCS}), l AS (SELECT pmid, abstract, {lead} AS led FROM d), q AS (SELECT *, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked, length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 50 AS short FROM l),

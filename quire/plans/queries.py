@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.config import EngineConfig
 from quire.functions import text as T
 from quire.functions import vectors as V
-from quire.functions.dates import year
+from quire.functions.dates import between, year
 from quire.functions.rouge import rouge_l, rouge_n
 from quire.operators import charts, prepare, search, stats, summaries, topics, trends
 from quire.plans import views
@@ -235,6 +235,16 @@ def topic_labels(spark, d):
     return topics.topic_labels(_keywords(spark, d))
 
 
+def vocabulary_terms(spark, d):
+    rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
+    return topics.vocabulary(rows, size=200).select("word", "count", "df")
+
+
+def date_range_filter(spark, d):
+    papers = views.papers_dates(spark, d)
+    return papers.filter(between(F.col("pub_date"), "1996/03/01", "1997-02-28")).select("pmid", "pub_date")
+
+
 def _model(spark, d):
     vectors = views.paper_vectors(spark, d)
     return vectors, topics.fit_kmeans(vectors, 10)
@@ -371,7 +381,7 @@ _NAMES = (
     similar_topk, search_topk_vec, search_payload, clean_text, clean_text_html, validate_filter, word_counts, sentences, chunks, process_projection, corpus_stats, year_range, journal_hist, term_hist,
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
-    trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, kmeans_clusters, topic_assign, topic_similarity,
+    trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
     card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
