@@ -40,17 +40,23 @@ AGAINST = frozenset(
     "header masthead topbar toolbar footer foot copyright legal sidebar side aside widget widgets rail comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup signin login register search form pagination pager tags skip complementary contentinfo".split()
 )
+#: Parts of compounds that say the same, and what an article's own class may say against it.
+STEMS = re.compile("sidebar|footer|cookie|advert|breadcrumb|newsletter|comment|navbar|topnav|subscri|sponsor|promo|banner|disqus|masthead|popup", re.I)
+NO_ARTICLE = frozenset("comment comments reply related teaser ad ads advert sponsored promo widget".split())
+#: Short blocks that head or are boilerplate.
+HEADS = frozenset(("comments", "leave a comment", "leave a reply", "related", "related articles", "related posts", "related stories", "read more", "share", "share this", "advertisement", "sponsored", "subscribe", "newsletter", "sign up", "log in", "tags"))
 FOR = frozenset("article content post entry story body main text".split())
 GOOD, BAD = frozenset(("article", "main")), frozenset("nav footer aside form button dialog menu header".split())
-W_BASE, W_GOOD, W_BAD, W_AGAINST, W_FOR, W_LINKS, W_WORD, W_WORDS_MOST, W_SENTENCE, W_SHORT, W_HEADING = 0.2, 4.0, -6.0, -7.0, 1.0, -4.0, 0.04, 1.6, 0.6, -0.8, 0.4
+W_BASE, W_GOOD, W_BAD, W_OUTSIDE, W_AGAINST, W_FOR, W_LINKS, W_WORD, W_WORDS_MOST, W_SENTENCE, W_SHORT, W_HEADING, W_HEADS = 0.2, 4.0, -6.0, -3.5, -7.0, 1.0, -4.0, 0.04, 1.6, 0.6, -0.8, 0.4, -7.0
 S_NEXT, S_NEAR, WINDOW = 0.5, 0.3, 3
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
-_WORDS = re.compile(r"[a-z]+")
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 class Element:
@@ -67,15 +73,19 @@ class Element:
             self.place = "good" if tag in GOOD else "bad"
         if attributes and not attributes.isspace():
             for name, value in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), value.strip("\"'").lower()
+                name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role"):
-                    words = set(_WORDS.findall(value))
+                    words = {w.lower() for w in _WORDS.findall(value)}
                     self.supports |= bool(words & FOR)
-                    self.against |= tag not in ("html", "body", "article", "main") and bool(words & AGAINST)
+                    if tag == "article":
+                        self.against |= bool(words & NO_ARTICLE)
+                    elif tag not in ("html", "body", "main"):
+                        # the header of an article is part of it
+                        self.against |= bool(words & (AGAINST - {"header"} if words & FOR else AGAINST)) or bool(STEMS.search(value))
                 elif name == "style":
-                    self.against |= "display:none" in value.replace(" ", "")
-                else:
-                    self.against |= name == "hidden" or value == "true"
+                    self.against |= "display:none" in value.replace(" ", "").lower()
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                    self.against = True
 
 
 class Block:
@@ -155,15 +165,18 @@ def _close(stack: list[Element], tag: str, within) -> None:
             return
 
 
-def log_odds(block: Block) -> float:
+def log_odds(block: Block, marked: bool) -> float:
+    """marked: the page has an article or main element with text, so what stands outside of it is rarely content."""
     e = block.element
-    out = W_BASE + {"good": W_GOOD, "bad": W_BAD, "": 0.0}[e.place]
+    out = W_BASE + {"good": W_GOOD, "bad": W_BAD, "": W_OUTSIDE if marked else 0.0}[e.place]
     out += W_AGAINST * e.against + W_FOR * e.supports
     out += W_LINKS * min(1.0, block.links / block.words) + min(W_WORDS_MOST, W_WORD * block.words)
     if block.text[-1] in ".!?…\"'»”":
         out += W_SENTENCE
     elif block.words < 6:
         out += W_SHORT
+    if block.words <= 4 and " ".join(_LETTERS.findall(block.text.lower())) in HEADS:
+        out += W_HEADS
     return out + W_HEADING * (e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -246,7 +259,8 @@ def _max_flow(rest: list[int], gain: list[float], near: list[dict[int, float]])
 
 def main_text(page: str | None) -> str:
     blocks = read_blocks(page or "")
-    keep = minimum_cut([log_odds(b) for b in blocks], smoothness(blocks))
+    marked = any(b.element.place == "good" and not b.element.against for b in blocks)
+    keep = minimum_cut([log_odds(b, marked) for b in blocks], smoothness(blocks))
     return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
