@@ -146,7 +146,14 @@ PAGE = """<html><body class="home"><div id="header"><a href=x>Home</a> Site name
 <aside><p>Related story about something else entirely, long enough.</p></aside><script>if (a < b) "</p>"</script><style>p{}</style><footer>&copy; 2020</footer></body></html>"""
 
 
+MARKED = """<html><head><title>x</title></head><body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><p>We use cookies to improve your experience on this site.</p><main><article class="post">
+<header class="entry-header"><h1>The title</h1></header><p data-x="hidden">Body one, with words.</p><p title="the hidden gem">Body two.</p><ul><li>Item one</li><li>Item two</li></ul><blockquote>Quote me.</blockquote>
+<table><tr><td>1</td><td>2</td></tr></table><div class="pageFooter">share this</div></article><section><h2>Comments (2)</h2><article class="comment"><p>I like this article very much indeed, thank you.</p></article></section></main>
+<div id="newsletterBox"><form>Sign up <input type=email></form></div><footer>c</footer></body></html>"""
+
+
 def test_pages(spark, sf):
+    assert html_extract.main_text(MARKED) == "The title Body one, with words. Body two. Item one Item two Quote me. 1 2"
     assert html_extract.main_text(PAGE) == "A title here First paragraph with many words, and a link, ends here. Second one <b> is also here."
     import html as h
     import re
