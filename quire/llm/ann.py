@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import hash_sample, written
 
 FIT_ROWS, FIT_QUERIES = 8_192, 256
 MOST_LISTS = 4_096
@@ -155,7 +155,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
         return spark.createDataFrame([], result)
     d, total, largest = sizes["d"], sizes["n"], sizes["largest"]
     fine = fine.filter(F.size("vector") == d)
-    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
+    sample = hash_sample(fine, "vec_id", FIT_ROWS).collect()
     sample_ids = np.array([r["vec_id"] for r in sample], np.int64)
     index = Index(np.array([r["vector"] for r in sample]), largest, total, k, target_recall)
 

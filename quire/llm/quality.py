@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pairs
+from quire.llm.common import hash_sample, pairs
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -200,7 +200,7 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, label_col: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """labels (doc_id, label_col); may_train: a condition on doc_id."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    chosen = (own.filter(may_train) if may_train is not None else own).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    chosen = hash_sample(own.filter(may_train) if may_train is not None else own, "doc_id", rows)
     texts = _plain(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # at most ``rows`` ids
     label = {r["doc_id"]: r["label"] for r in chosen.collect()}
     found = sorted((r["doc_id"], r["features"]) for r in with_features(texts).limit(2 * rows).toLocalIterator())
