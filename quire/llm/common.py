@@ -1,31 +1,19 @@
-"""What the operators share: the folder all executors see, and Arrow batches of bounded size."""
+"""What the operators share: written tables, samples, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.storage import shared_folder
+
 #: Bytes after which an output batch is closed.
 BATCH_BYTES = 8_000_000
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder set here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends here, and a lost executor loses none of it."""
     path = shared_folder(df.sparkSession, purpose)
