@@ -50,6 +50,20 @@ def test_against_plain_version(spark, sf):
     assert sequences <= 1.02 * -(-sum(lengths.values()) // 1024) + 1
 
 
+def test_odd_rows(spark, sf):
+    """Nulls, empty and repeated rows pass every stage; an empty table gives no rows."""
+    text = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id = 1").first()["text"]
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text + " Its own end.", None, None, None), (5, "word " * 40_000, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            now = corpus_pipeline.written(stage(spark, now, sf), f"odd-{name}")
+            if name == "near_copies" and given is docs:
+                assert {r["doc_id"] for r in now.collect()} >= {1, None}
+        assert (now.count() > 0) == (given is docs)
+
+
 def test_the_rest_stands_alone(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
