@@ -8,6 +8,7 @@
    whole table than in a sample of it, so the share errs on the safe side.  Every row is indexed.
 3. Lists are dealt into cells of about CELL_ROWS rows, large lists by parts of them, so a list that
    holds a third of all rows is many cells.  A query goes once to each cell with a list that it probes.
+   Of equal vectors the k + 1 smallest ids are candidates; ties keep all others out of any answer.
 4. In a list, partial distances grow by column blocks; a candidate is abandoned as soon as its scaled
    partial distance fails the test (1 + EPSILON / sqrt(d)) against the query's bound, which starts as
    its (k + MARGIN)-th distance to the sample's rows in its lists.  Survivors are scored in double precision on
@@ -164,8 +165,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index.assign(_matrix(batch.column(1), d)).astype(np.int32))], names=["vec_id", "vector", "list"])
 
-    listed = written(fine.mapInArrow(assign, "vec_id long, vector array<double>, list int"), "lists")
-    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
+    # Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest; tasks cut them before the shuffle.
+    copies = Window.partitionBy("vector").orderBy("vec_id")
+    distinct = fine.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
+    candidates = written(distinct.mapInArrow(assign, "vec_id long, vector array<double>, list int"), "lists")
+    counts = {r["list"]: r["n"] for r in candidates.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
     cells = _cells(counts)
     held_by = np.array([counts.get(i, 0) for i in range(len(index.centres))])
     number = max(first + parts for first, parts in cells.values())
@@ -226,7 +230,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
                 for s in range(0, part.num_rows, SCAN_QUERIES):
                     yield _search_cell(index, d, k, part.slice(s, SCAN_QUERIES), *ready)
 
-    dealt = listed.mapInArrow(deal, _DEALT_DDL).unionByName(listed.filter(is_query).mapInArrow(send, _DEALT_DDL))
+    dealt = candidates.mapInArrow(deal, _DEALT_DDL).unionByName(fine.filter(is_query).mapInArrow(send, _DEALT_DDL))
     found = dealt.repartitionById(number, "cell").sortWithinPartitions("cell", "query").mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
