@@ -1,0 +1,156 @@
+"""Documents of similar text: components of exact Jaccard similarity, with MinHash bands for candidates.
+
+1. A text's set: words split at ASCII white space, A-Z lower-cased; XXH64 of every distinct shingle of
+   ``SIZE`` words (a shorter text is one shingle).  Equal sets are one class.
+2. Candidates share a band of ``ROWS`` minima, of ``BANDS`` bands: a pair of similarity 0.8 shares none
+   with a probability of 1.3e-7, a closer one with less.
+3. Every link is verified on the whole sets: shared / all >= ``LEAST``.  First each bucket's smallest class
+   is compared with its others; then, in buckets that these links leave in more than one component, all
+   pairs across components.  So a bucket of many copies costs no square of them.
+4. Components of the links, then each document gets its class's.
+
+Null and empty texts have the empty set, one class.  Rows of one id are texts of their own.  A null id takes
+part; a class with null ids only has a null component.  An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm.common import id_and_text, pairs, written
+from quire.llm.components import connected_components
+
+SIZE = 5
+BANDS, ROWS = 40, 5
+#: The least similarity, as a fraction of whole numbers.
+LEAST = (4, 5)
+#: Shingles whose minima are taken at once.
+BLOCK = 40_000
+
+_RNG = np.random.default_rng(5)
+_FLIP, _TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_FOLD = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= SIZE:
+        return np.array([xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    joined, n = b" ".join(words), len(words) - SIZE + 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.append(0, ends[:-1] + 1)
+    cuts = map(slice, begins[:n].tolist(), ends[SIZE - 1 :].tolist())
+    return np.unique(np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cuts)), np.uint64, n))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BANDS keys for each set; none is empty."""
+    h = np.concatenate(sets)
+    n = np.array(list(map(len, sets)))
+    begins = np.cumsum(n) - n
+    least = np.empty((len(_FLIP), len(sets)), np.uint64)
+    for k, (flip, times) in enumerate(zip(_FLIP, _TIMES, strict=True)):
+        np.minimum.reduceat((h ^ flip) * times, begins, out=least[k])
+    keys = np.zeros((BANDS, len(sets)), np.uint64)
+    for r in range(ROWS):
+        x = least[r::ROWS] * _FOLD[:, r, None]
+        keys = (keys ^ x ^ (x >> np.uint64(29))) * _FOLD[:, r, None]
+    return keys.T
+
+
+def _node(own: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, sets = [], []
+
+    def flush() -> pa.RecordBatch:
+        keys: list = [[]] * len(sets)
+        if some := [k for k, s in enumerate(sets) if len(s)]:
+            for k, row in zip(some, band_keys([sets[k] for k in some]).view(np.int64), strict=True):
+                keys[k] = row
+        out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
+        ids.clear(), sets.clear()
+        return out
+
+    held = 0
+    for doc_id, text in pairs(batches):
+        ids.append(doc_id)
+        sets.append(shingle_set(text))
+        held += len(sets[-1])
+        if held >= BLOCK or len(ids) >= 2_000:
+            yield flush()
+            held = 0
+    if ids:
+        yield flush()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nodes, sets, held = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+        nodes.clear(), sets.clear()
+        return out
+
+    for _, text in pairs(batches):
+        own = shingle_set(text)
+        nodes.append(_node(own))
+        sets.append(own)
+        held += len(own)
+        if held >= BLOCK:
+            yield flush()
+            held = 0
+    if nodes:
+        yield flush()
+
+
+def _verified(candidates: DataFrame, plain: DataFrame, prints: DataFrame) -> DataFrame:
+    """Of the candidates (u, v) those whose sets are similar."""
+    nodes = written(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "candidate-nodes")
+    holders = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("holder")).select("holder").distinct()
+    texts = plain.join(holders, plain["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
+    sets = texts.mapInArrow(_sets, "node long, hashes array<bigint>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = written(sets, "sets")
+    both = candidates.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")).hint("shuffle_hash"), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")).hint("shuffle_hash"), "v")
+    shared, (above, below) = F.size(F.array_intersect("a", "b")), LEAST
+    return both.filter(shared * (above + below) >= above * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id (the smallest doc_id reachable over links)."""
+    plain = id_and_text(docs, id_col, text_col)
+    prints = written(plain.mapInArrow(_sign, "doc_id long, node long, n int, keys array<bigint>"), "shingle-prints")
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes, "shingle-classes")
+    banded = classes.select("node", "n", F.explode("keys").alias("key"))
+    buckets = written(banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("key", "first"), "buckets")
+    members = written(banded.join(buckets, "key").select("key", "node", "n", "first"), "bucket-members")
+    above, below = LEAST
+    near = lambda a, b: below * F.least(a, b) >= above * F.greatest(a, b)  # noqa: E731  sets of other lengths can't be similar
+    star = members.filter((F.col("node") != F.col("first.node")) & near(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
+    links = written(_verified(written(star, "star-candidates"), plain, prints), "star-links")
+    named = members.join(connected_components(links).withColumnRenamed("component", "joined"), "node", "left").select("key", "node", "n", F.coalesce("joined", "node").alias("component"))
+    open_keys = (named := written(named, "named-members")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    rest = written(named.join(open_keys, "key", "left_semi"), "open-members")
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component"))) for side in "ab")
+    met = a.join(b, (a["key"] == b["key"]) & (a["node_a"] < b["node_b"]) & (a["component_a"] != b["component_b"]) & near(a["n_a"], b["n_b"])).select(F.col("node_b").alias("u"), F.col("node_a").alias("v")).distinct()
+    met = written(met, "cross-candidates")
+    links = links.unionByName(_verified(met, plain, prints))
+    member = connected_components(written(links, "similar-links"))
+    named = classes.select("node", "least").join(member, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = written(named, "similar-members")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    answer = named.join(least, "component").select("node", "component_id")
+    return prints.select("doc_id", "node").join(answer, "node").select("doc_id", "component_id")
