@@ -1,12 +1,14 @@
-"""ROUGE: multiset overlap of n-grams in column expressions; the longest common subsequence in Arrow batches."""
+"""ROUGE: multiset overlap of n-grams and the longest common subsequence, counted in Arrow batches."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import let, words
+from quire.functions.text import words
 
 
 def rouge_tokens(text: Column) -> Column:
@@ -14,30 +16,26 @@ def rouge_tokens(text: Column) -> Column:
     return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    count = F.size(tokens) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _f(overlap: Column, a: Column, b: Column) -> Column:
+    return 2.0 * overlap / F.greatest(a + b, F.lit(1))
 
 
-def _f(overlap: Column, a: Column, b: Column) -> Column:
-    return F.when((a > 0) & (b > 0) & (overlap > 0), 2.0 * overlap / (a + b)).otherwise(F.lit(0.0))
+@F.arrow_udf(T.IntegerType())
+def shared_grams(a, b, n):
+    """Equal grams of n tokens, each counted as often as both have it."""
+    import pyarrow as pa
 
+    def grams(tokens: list, k: int) -> Counter:
+        return Counter(zip(*(tokens[i:] for i in range(k)), strict=False))
 
-def _numbered(grams: Column) -> Column:
-    """Each gram with the number of equal ones before it, so that sets of them count repeats."""
-    return let(F.array_sort(grams), lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(g, x)).cast("string"))))
+    return pa.array([(grams(x or [], k) & grams(y or [], k)).total() for x, y, k in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), strict=True)], pa.int32())
 
 
 def rouge_n(candidate: Column, reference: Column, n: int = 1) -> Column:
     """F measure of shared n-grams, each counted as often as both have it."""
-    both = F.struct(_grams_of(candidate, n).alias("a"), _grams_of(reference, n).alias("b"))
-    return let(both, lambda s: _f(F.size(F.array_intersect(_numbered(s["a"]), _numbered(s["b"]))), F.size(s["a"]), F.size(s["b"])))
-
-
-def _grams_of(text: Column, n: int) -> Column:
-    return let(rouge_tokens(text), lambda t: ngrams(t, n))
+    a, b = rouge_tokens(candidate), rouge_tokens(reference)
+    count = lambda tokens: F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return _f(shared_grams(a, b, F.lit(n)), count(a), count(b))
 
 
 @F.arrow_udf(T.IntegerType())
@@ -45,12 +43,15 @@ def lcs_length(a, b):
     import pyarrow as pa
 
     def one(x: list, y: list) -> int:
-        row = [0] * (len(y) + 1)
-        for u in x:
-            before = 0
-            for j, v in enumerate(y, 1):
-                before, row[j] = row[j], before + 1 if u == v else max(row[j], row[j - 1])
-        return row[-1]
+        # one bit for each of x, cleared where the subsequence grows: a whole row at a time
+        places: dict[str, int] = {}
+        for i, u in enumerate(x):
+            places[u] = places.get(u, 0) | 1 << i
+        every = row = (1 << len(x)) - 1
+        for v in y:
+            met = row & places.get(v, 0)
+            row = (row + met | row - met) & every
+        return len(x) - row.bit_count()
 
     return pa.array([one(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 

@@ -300,6 +300,21 @@ def rouge_lcs(spark, d):
     return rows.select("pmid", F.round(rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
 
 
+def _summarised(spark, d):
+    rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
+    return summaries.add_summary(rows).select("pmid", F.col("summary").alias("candidate"), F.col("text_content").alias("reference"))
+
+
+def rouge_whole(spark, d):
+    """Each document's summary against the whole document."""
+    candidate, reference = F.col("candidate"), F.col("reference")
+    return _summarised(spark, d).select("pmid", F.round(rouge_n(candidate, reference), 6).alias("rouge1"), F.round(rouge_n(candidate, reference, 2), 6).alias("rouge2"))
+
+
+def rouge_lcs_whole(spark, d):
+    return _summarised(spark, d).select("pmid", F.round(rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
+
+
 def ranked_hits(spark, d):
     hits = search.similar(views.paper_vectors(spark, d), "5", 5)
     return charts.ranked(hits, F.desc("similarity_score"), F.col("pmid")).select(F.col("rank").cast("long").alias("rank"), "pmid", F.format_string("%.3f", "similarity_score").alias("score"))
@@ -382,7 +397,7 @@ _NAMES = (
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
-    extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
+    extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_whole, rouge_lcs_whole, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
     card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 

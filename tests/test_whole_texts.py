@@ -1,0 +1,37 @@
+"""Queries that take whole texts, against brute force."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from quire.plans import queries
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def _f(shared, a, b):
+    return round(2 * shared / (a + b), 6) if a and b else 0.0
+
+
+def test_rouge_of_whole_documents(spark, sf, texts):
+    tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
+    summaries = {r["pmid"]: tokens(r["summary"]) for r in queries.extractive_summary(spark, sf).collect()}
+    assert max(len(tokens(t)) for t in texts.values()) > 1000
+    n_rouge = {r["pmid"]: r for r in queries.rouge_whole(spark, sf).collect()}
+    lcs = {r["pmid"]: r["rouge_l"] for r in queries.rouge_lcs_whole(spark, sf).collect()}
+    assert n_rouge.keys() == lcs.keys() == texts.keys()
+    for pmid, text in texts.items():
+        a, b = summaries[pmid], tokens(text)
+        for n in (1, 2):
+            x, y = ([tuple(t[i : i + n]) for i in range(len(t) - n + 1)] for t in (a, b))
+            assert n_rouge[pmid][f"rouge{n}"] == pytest.approx(_f((Counter(x) & Counter(y)).total(), len(x), len(y)), abs=2e-6)
+        row = [0] * (len(b) + 1)
+        for u in a:
+            before = 0
+            for j, v in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if u == v else max(row[j], row[j - 1])
+        assert lcs[pmid] == pytest.approx(_f(row[-1], len(a), len(b)), abs=2e-6)
