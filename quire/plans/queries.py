@@ -289,6 +289,17 @@ def post_process(spark, d):
     return views.papers_text(spark, d).select("pmid", T.post_process(F.left("abstract", F.lit(400))).alias("summary"))
 
 
+def multi_doc_summary_whole(spark, d):
+    """The papers most like vector 0, whole abstracts summarised together."""
+    hits = search.similar(views.paper_vectors(spark, d), "0", 5)
+    done = summaries.multi_paper_summary(search.with_payload(hits, views.papers_text(spark, d)), [-F.col("similarity_score"), F.col("pmid")], "erth")
+    return done.select(F.array_join("source_papers", ",").alias("source_papers"), F.col("num_papers").cast("long"), F.col("original_length").cast("long"), "summary")
+
+
+def post_process_whole(spark, d):
+    return views.papers_text(spark, d).select("pmid", T.post_process(F.col("abstract")).alias("summary"))
+
+
 def rouge(spark, d):
     """Each document's first sentence against its first 60 words."""
     rows = views.papers_text(spark, d).select("pmid", T.first_words(F.col("abstract"), 60).alias("reference"), T.first_words(F.split_part("abstract", F.lit("."), F.lit(1)), 30).alias("candidate"))
@@ -397,7 +408,7 @@ _NAMES = (
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
-    extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_whole, rouge_lcs_whole, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
+    extractive_summary, query_summary, multi_doc_summary, multi_doc_summary_whole, post_process, post_process_whole, rouge, rouge_lcs, rouge_whole, rouge_lcs_whole, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
     card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
