@@ -56,3 +56,10 @@ def test_multi_doc_summary_joins_whole_texts(spark, sf, texts):
     papers = row["source_papers"].split(",")
     assert row["original_length"] == len(" ".join(["Topic: erth. Research findings:", *(texts[p] for p in papers)]).split()) > 40 * len(papers)
     assert row["num_papers"] == len(papers) > 0 and row["summary"]
+
+
+def test_unions_cover_the_table(spark, sf):
+    table = Counter(r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").collect())
+    assert {r["journal"]: r["papers"] for r in queries.union_distinct_sources(spark, sf).collect()} == table
+    every = {r["journal"]: r["papers"] for r in queries.union_all_sources(spark, sf).collect()}
+    assert every.keys() == table.keys() and all(every[k] in (n, 2 * n) for k, n in table.items()) and every != table
