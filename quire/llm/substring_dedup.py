@@ -1,16 +1,17 @@
 """Repeated passages leave every document but the earliest, by hashing units of lines.
 
 A unit is a stretch of a line that ends with a clause (up to a stop, comma or colon) of at least
-``CLAUSE_WORDS`` words or with the line: shorter clauses go with what follows.  Where a unit ends depends
+``CLAUSE_WORDS`` words or with the line: shorter clauses go with what follows, but of two shorter ones in
+a row the second ends the unit where a hash of the two says so, about one time in ``POOR``.  Where a unit ends depends
 on its own clauses only, so a passage set into the middle of a line has the same units there as
 anywhere else, from its second clause on.  (Whole lines as units would miss such passages.)
 
-1. Units are normalised (lower case, single blanks) and hashed to 128 bits; units of fewer words than
-   CLAUSE_WORDS are left alone.
+1. Units are normalised (lower case, single blanks) and hashed to 128 bits; only blank ones are left alone.
 2. Digests are grouped globally; the occurrence of the smallest (doc_id, unit number) is the earliest.
    Tasks reduce equal digests first, so a passage of a third of all documents is no hot group.
 3. Units that are not their digest's earliest go, where such units stand together with at least
-   ``min_words`` words.  All documents keep what is left, and the spans of what went.
+   ``min_words`` words: next to each other, or with nothing but units under CLAUSE_WORDS between them, whose
+   own words don't count then.  All documents keep what is left, and the spans of what went.
 
 Offsets are code points of the original text.  Null and empty texts have no units and stay as they are
 (null becomes empty).  Rows of one doc_id are one document: equal units at one place in them have one
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from quire.llm.common import pairs, written
 
 CLAUSE_WORDS = 6
+POOR = 3
 MIN_WORDS = 25
 #: Digests with over a HOT-th of all units, under HOT of them, are joined by broadcast.
 HOT = 1_000
@@ -41,12 +43,19 @@ _CLAUSE = re.compile(r"[^\n]*?[.!?,;:](?=[ \t])[ \t]+|[^\n]*\n+|[^\n]+")
 
 def split_units(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of the units, which cover the text."""
-    units, start, words = [], 0, 0
+    from xxhash import xxh3_64_intdigest
+
+    units, start, words, last = [], 0, 0, None
     for m in _CLAUSE.finditer(text):
         clause = m[0]
-        n = len(clause.split())
+        own = clause.split()
+        n = len(own)
         words += n
-        if n >= CLAUSE_WORDS or clause[-1] == "\n":
+        ends = n >= CLAUSE_WORDS or clause[-1] == "\n"
+        if not ends and last:
+            ends = xxh3_64_intdigest(" ".join(last + own).lower().encode("utf-8", "surrogatepass")) % POOR == 0
+        last = None if n >= CLAUSE_WORDS or clause[-1] == "\n" else own
+        if ends:
             units.append((start, m.end(), words))
             start, words = m.end(), 0
     if start < len(text):
@@ -55,10 +64,10 @@ def split_units(text: str) -> list[tuple[int, int, int]]:
 
 
 def hashed_units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units that are long enough; a unit's number is its place here."""
+    """(start, end, words, digest) of the units that are not blank; a unit's number is its place here."""
     from xxhash import xxh3_128_digest
 
-    return [(a, b, n, xxh3_128_digest(" ".join(text[a:b].lower().split()).encode("utf-8", "surrogatepass"))) for a, b, n in split_units(text) if n >= CLAUSE_WORDS]
+    return [(a, b, n, xxh3_128_digest(" ".join(text[a:b].lower().split()).encode("utf-8", "surrogatepass"))) for a, b, n in split_units(text) if n]
 
 
 UNITS = "hi long, lo long, doc_id long, number int"
@@ -133,16 +142,19 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 def removals(own: list[tuple[int, int, int, bytes]], later: list[dict], min_words: int) -> list[tuple[int, int, int]]:
     """(start, end, kept_doc_id) of later units that stand together with at least min_words words."""
     kept = {x["number"]: x["kept_doc_id"] for x in later if x["number"] < len(own) and int.from_bytes(own[x["number"]][3][8:], "little", signed=True) == x["lo"]}
-    out, run, words = [], [], 0
-    for k in [*range(len(own)), -1]:
-        if k in kept:
-            run.append((own[k][0], own[k][1], kept[k]))
-            words += own[k][2]
-            continue
-        if words >= min_words:
-            out += run
+    long = [k for k, u in enumerate(own) if u[2] >= CLAUSE_WORDS]
+    gone: set[int] = set()
+    for order in (range(len(own)), long):
         run, words = [], 0
-    return out
+        for k in [*order, -1]:
+            if k in kept:
+                run.append(k)
+                words += own[k][2]
+                continue
+            if words >= min_words:
+                gone.update(run)
+            run, words = [], 0
+    return [(own[k][0], own[k][1], kept[k]) for k in sorted(gone)]
 
 
 def cut(text: str, gone: list[tuple[int, int, int]]) -> str:
