@@ -1,7 +1,8 @@
 """Main text of web pages, by minimum-cut labelling of their blocks.
 
 1. A tolerant reader cuts a page into blocks: text between block-level tags, with its open elements.
-   Scripts, styles, comments and the head are no text.
+   Scripts, styles, titles, drawings and comments are no text.  The head ends at its end tag or where
+   the body's elements or text begin; formulas are inline text.
 2. A linear classifier gives each block a log-odds of being content, from its innermost semantic element,
    class and id words, link density, length and punctuation.  The weights are fixed values below.
 3. In a flow network the log-odds are capacities: a positive one from the source (content), a negative
@@ -29,8 +30,10 @@ from quire.llm.common import Rows
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title|textarea|select|head"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|title|textarea|select"
+MATH = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mlabeledtr mspace mstyle semantics annotation annotation-xml mpadded mphantom menclose merror mfenced mmultiscripts mprescripts none maction".split())
+HEAD = frozenset("base basefont bgsound link meta noframes html head".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr", "option": "select"}
 
@@ -51,7 +54,7 @@ W_BASE, W_GOOD, W_BAD, W_OUTSIDE, W_AGAINST, W_FOR, W_LINKS, W_WORD, W_WORDS_MOS
 S_NEXT, S_NEAR, WINDOW = 0.5, 0.3, 3
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -117,6 +120,8 @@ def read_blocks(page: str) -> list[Block]:
         text = m[8]
         if text is not None:
             text = html.unescape(text) if "&" in text else text
+            if stack[-1].tag == "head" and not text.isspace():
+                stack.pop()
             parts.append(text)
             if stack[-1].in_link:
                 links += len(text.split())
@@ -137,6 +142,10 @@ def read_blocks(page: str) -> list[Block]:
                 while stack.pop().tag != tag:
                     pass
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:
+            stack.pop()  # its end tag may be left out
+        if tag in MATH and (m[4] or m[7] or "").endswith("/"):
+            continue
         if tag in CLOSES_P:
             _close(stack, "p", ("button", "td", "th", "li", "article", "section", "div", "object"))
         elif tag in SAME_CLOSES:
