@@ -98,8 +98,8 @@ def mel_filters(rate: int, fft: int = FFT, mels: int = MELS) -> np.ndarray:
 
 def log_mel(x: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frames by filters, log energy of each frame) over overlapping frames."""
-    frames = max(1, 1 + (len(x) - FRAME) // HOP)
-    x = np.pad(x, (0, max(0, FRAME - len(x))))
+    frames = max(1, 1 - (FRAME - len(x)) // HOP)  # the last is padded with silence
+    x = np.pad(x, (0, max(0, (frames - 1) * HOP + FRAME - len(x))))
     view = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:frames]
     taper = np.hanning(FRAME).astype(np.float32)
     mel, energy = np.empty((frames, filters.shape[1]), np.float32), np.empty(frames, np.float32)
