@@ -2,8 +2,10 @@
 
 A block of texts becomes one array of code points.  Every code point has a class (letter,
 number, white space, other) and the pieces follow from class changes, so no regular expression
-runs per word.  Each piece gets two independent 64-bit polynomial hashes from prefix sums; a
-bounded cache maps them to the ids of the piece, and only pieces not seen before are encoded.
+runs per word.  Each piece gets a 64-bit polynomial hash from prefix sums; a bounded cache maps
+hashes to known pieces and their ids, and only pieces not seen before are encoded.  A hash only
+proposes: a piece is known if its code points equal the known piece's.  Of two pieces with one
+hash the later is encoded apart.
 
 The array rules are exact for the code points in ``plain_codepoints()`` (ASCII and the Latin
 blocks).  A text with any other code point is left to the caller's whole-text fallback.
@@ -19,9 +21,9 @@ LETTER, NUMBER, SPACE, OTHER, EDGE = 0, 1, 2, 3, 4
 #: Code points below this may be segmented by array rules.
 PLAIN_END = 0x250
 #: A block is closed at so many code points; a longer text is a block by itself.
-BLOCK_CHARS = 1_000_000
-#: Pieces that a worker keeps; at more it starts again, so memory stays bounded.
-CACHE_PIECES = 800_000
+BLOCK_CHARS = 600_000
+#: Pieces that a worker keeps, and their code points; at more it starts again, so memory stays bounded.
+CACHE_PIECES, CACHE_POINTS = 800_000, 12_000_000
 
 
 def plain_codepoints() -> np.ndarray:
@@ -45,10 +47,6 @@ def _classes() -> np.ndarray:
     return out
 
 
-def _odd(rng: np.random.Generator) -> np.uint64:
-    return np.uint64(int(rng.integers(1 << 62, 1 << 63)) | 1)
-
-
 class Segmenter:
     """mode "gpt": contractions, words with one leading blank, white-space runs.  mode "clip": lower case, single digits, no white space."""
 
@@ -65,19 +63,18 @@ class Segmenter:
                 elif len(low) != 1 or low != chr(c):
                     self.ok[c] = False
         rng = np.random.default_rng(20240131)
-        self.symbols = [rng.integers(1, 1 << 63, PLAIN_END + 1, dtype=np.uint64) for _ in range(2)]
-        self.bases = [_odd(rng), _odd(rng)]
+        self.symbols = rng.integers(1, 1 << 63, PLAIN_END + 1, dtype=np.uint64)
+        self.base = np.uint64(int(rng.integers(1 << 62, 1 << 63)) | 1)
         self._powers(1 << 16)
 
     def _powers(self, n: int) -> None:
-        self.power, self.inverse = [], []
-        for base in self.bases:
-            inv = np.uint64(pow(int(base), -1, 1 << 64))
-            for b, to in ((base, self.power), (inv, self.inverse)):
-                x = np.full(n, b, np.uint64)
-                x[0] = 1
-                with np.errstate(over="ignore"):
-                    to.append(np.multiply.accumulate(x))
+        def of(base: np.uint64) -> np.ndarray:
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            with np.errstate(over="ignore"):
+                return np.multiply.accumulate(x)
+
+        self.power, self.inverse = of(self.base), of(np.uint64(pow(int(self.base), -1, 1 << 64)))
 
     def is_plain(self, text: str) -> bool:
         return bool(self.ok[np.minimum(codepoints(text), PLAIN_END)].all())
@@ -119,81 +116,119 @@ class Segmenter:
         begin, end = begin[keep], end[keep]
         return cp, begin, end, np.searchsorted(edge, begin)
 
-    def hashes(self, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Two 64-bit hashes of each piece; equal code points have equal hashes wherever they stand."""
-        out = []
+    def hashes(self, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each piece; equal code points have equal hashes wherever they stand."""
         n = len(cp)
-        if n > len(self.power[0]):
+        if n > len(self.power):
             self._powers(n + n // 4)
-        for symbols, power, inverse in zip(self.symbols, self.power, self.inverse, strict=True):
-            total = np.zeros(n + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(symbols[cp] * power[:n], out=total[1:])
-                out.append((total[end] - total[begin]) * inverse[begin])
-        return out
+        total = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(self.symbols[cp] * self.power[:n], out=total[1:])
+            return (total[end] - total[begin]) * self.inverse[begin]
 
 
 def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+class Growing:
+    """An array that grows in place."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            room = np.empty(max(n, len(self.room) * 3 // 2), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+
 class PieceCache:
-    """Sorted hashes of known pieces with their ids; at most CACHE_PIECES, plus those of one block."""
+    """Known pieces by their hash, with their code points and ids; at most CACHE_PIECES and CACHE_POINTS, plus those of one block."""
 
     def __init__(self, encode_pieces: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
         self.encode_pieces = encode_pieces
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.empty(0, np.uint64)
-        self.check = np.empty(0, np.uint64)
-        self.first = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
-
-    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.key, key)
-        known = np.zeros(len(key), bool)
-        if len(self.key):
-            at = np.minimum(at, len(self.key) - 1)
-            known = (self.key[at] == key) & (self.check[at] == check)
-        return at, known
-
-    def encode(self, cp, begin, end, hashes) -> tuple[np.ndarray, np.ndarray]:
+        self.key, self.row = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.point_at, self.length, self.points = Growing(np.int64), Growing(np.int32), Growing(np.uint16)
+        self.id_at, self.count, self.ids = Growing(np.int64), Growing(np.int32), Growing(np.uint32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The row of the known piece with each hash, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.row[at], -1)
+
+    def encode(self, cp, begin, end, key) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, ids per piece)."""
         if not len(begin):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        key, check = hashes
+        length = end - begin
         order = np.argsort(key, kind="stable")
         ranked = key[order]
-        lead = np.empty(len(ranked), bool)
-        lead[0] = True
-        np.not_equal(ranked[1:], ranked[:-1], out=lead[1:])
+        lead = np.append(True, ranked[1:] != ranked[:-1])
         number = np.empty(len(key), np.int64)
         number[order] = np.cumsum(lead) - 1
-        at = order[lead]  # one piece for each distinct key
-        if (check != check[at][number]).any():
-            raise ValueError("two pieces share a 64-bit hash; change the seed of Segmenter")
-        slot, known = self.find(key[at], check[at])
-        if not known.all():
-            if len(self.key) > CACHE_PIECES:
+        at = order[lead]  # the first piece of each hash
+        row = self.find(key[at])
+        if (row < 0).any():
+            if len(self.key) > CACHE_PIECES or self.points.n > CACHE_POINTS:
                 self.clear()
-                known[:] = False
-            new = at[~known]
-            self.add(key[new], check[new], *self.encode_pieces(*piece_bytes(cp, begin[new], end[new])))
-            slot, known = self.find(key[at], check[at])
-            if not known.all():
-                raise ValueError("two pieces share a 64-bit hash; change the seed of Segmenter")
-        slot = slot[number]
-        count = self.count[slot]
-        return self.ids[spread(self.first[slot], count)], count
-
-    def add(self, key, check, ids, count) -> None:
-        """key is sorted and new."""
-        first = len(self.ids) + np.cumsum(count) - count
+                row[:] = -1
+            new = at[row < 0]
+            row[row < 0] = self.add(key[new], cp, begin[new], end[new])
+        row = row[number]
+        known = equal_pieces(cp, begin, length, self.points.room, self.point_at.room[row], self.length.room[row])
+        count = self.count.room[row].astype(np.int64)
+        if known.all():
+            return self.ids.room[spread(self.id_at.room[row], count)], count
+        ids, count[~known] = self.encode_pieces(*piece_bytes(cp, begin[~known], end[~known]))
+        first = np.cumsum(count) - count
+        out = np.empty(count.sum(), np.uint32)
+        out[spread(first[known], count[known])] = self.ids.room[spread(self.id_at.room[row[known]], count[known])]
+        out[spread(first[~known], count[~known])] = ids
+        return out, count
+
+    def add(self, key, cp, begin, end) -> np.ndarray:
+        """Encodes and keeps pieces of new hashes, which are sorted; returns their rows."""
+        ids, count = self.encode_pieces(*piece_bytes(cp, begin, end))
+        rows = np.arange(self.length.n, self.length.n + len(key), dtype=np.int32)
         where = np.searchsorted(self.key, key)
-        self.key, self.check, self.first, self.count = (np.insert(a, where, b) for a, b in ((self.key, key), (self.check, check), (self.first, first), (self.count, count)))
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.key, self.row = np.insert(self.key, where, key), np.insert(self.row, where, rows)
+        length = end - begin
+        self.point_at.extend(self.points.n + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.points.extend(cp[spread(begin, length)])
+        self.id_at.extend(self.ids.n + np.cumsum(count) - count)
+        self.count.extend(count)
+        self.ids.extend(ids)
+        return rows
+
+
+def equal_pieces(a, a_first, a_count, b, b_first, b_count) -> np.ndarray:
+    """Whether each piece of a is that of b, code point by code point; no piece is empty."""
+    same = a_count == b_count
+    rows = np.flatnonzero(same)
+    x, y, n = a_first[rows], b_first[rows], a_count[rows]
+    for k in range(16):  # a column at a time, as most pieces are short
+        if not len(rows):
+            return same
+        alike = a[x + k] == b[y + k]
+        if not alike.all():
+            same[rows[~alike]] = False
+        go_on = np.flatnonzero(n > k + 1)
+        rows, x, y, n = rows[go_on], x[go_on], y[go_on], n[go_on]
+    if len(rows):
+        differs = a[spread(x + 16, n - 16)] != b[spread(y + 16, n - 16)]
+        same[rows] &= ~np.logical_or.reduceat(differs, np.cumsum(n - 16) - (n - 16))
+    return same
 
 
 def piece_bytes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,6 +49,38 @@ def test_rank_ids_and_decoding():
     assert [table.decode(ids) for ids in encoder.encode(texts)] == [(t or "").encode() for t in texts]
 
 
+def twins(n):
+    """Two words of n letters that any polynomial hash modulo 2^64 confuses from n = 1024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 8192])
+def test_words_of_one_hash(n):
+    one, two = twins(n)
+    for texts in ([one, two, one], [f"{two} {one} {two}"]):
+        for name, mode in (("byte_bpe_50k.json", "gpt"), ("word_bpe_49k.json", "clip")):
+            tokenizer = Tokenizer.from_file(vocabulary(name))
+            encoder = library_encoder(vocabulary(name), mode)
+            for block in (texts, *([t] for t in texts)):  # in one block, then one after another
+                assert same(encoder, lambda t, k=tokenizer: k.encode(t, add_special_tokens=False).ids, block)
+        own, (encoder, _) = tiktoken_of("byte_bpe_multi_50k.tiktoken"), rank_encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+        for block in (texts, *([t] for t in texts)):
+            assert same(encoder, own.encode_ordinary, block)
+
+
+def test_cache_that_starts_again(monkeypatch):
+    from quire.llm import segment
+
+    monkeypatch.setattr(segment, "CACHE_PIECES", 5)
+    monkeypatch.setattr(segment, "BLOCK_CHARS", 40)
+    encoder, _ = rank_encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    encoder.cache.clear()
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(12)) for _ in range(60)]
+    assert same(encoder, tiktoken_of("byte_bpe_multi_50k.tiktoken").encode_ordinary, texts)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(max_size=50), max_size=10))
 def test_any_text(texts):
