@@ -8,14 +8,20 @@
    of all partitions have sum(t + 1) = distance + 1, two fingerprints within the distance are within t
    in at least one partition.  The sample decides the cost only, never what is found.
 3. A fingerprint's signatures in a partition are its bits there, with any up to t set bits cleared: two
-   values within t meet where both have lost the bits in which they differ.  Rows with one signature are
-   verified in whole arrays; each bucket gives a spanning forest of its links, not its pairs.  Buckets
-   of more than BUCKET fingerprints are dealt out as pairs of blocks, so none lands whole in a task.
+   values within t meet where both have lost the bits in which they differ.  Signatures travel packed,
+   by the task that the sample's counts deal them to.  Rows with one signature, a bucket, are verified in whole
+   arrays; each task gives a spanning forest of its links, not its pairs.  Buckets of more than BUCKET
+   fingerprints are dealt out as pairs of blocks, so none lands whole in a task.
 4. Components of the links, then each document gets its class's; classes with over a HOT-th of all
    documents, at most HOT of them, are joined by broadcast, the others by a shuffle.
 
+With ``least`` a link needs a similarity of the shingle sets too (shared / all), and classes are distinct
+sets.  Candidates then are the pairs within the distance whose second fingerprints (of mixed hashes) are
+within SECOND bits; ``exact`` verifies them on whole sets.  Similar texts further apart than the distance are missed.
+
 Null and empty texts have fingerprint zero, linked like any other.  Repeated rows share a class.  A null
-id takes part; a class with null ids only has a null component.  An empty table gives no rows.
+id takes part; a class with null ids only has a null component.  An empty table gives no rows.  Extra
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,49 +35,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import id_and_text, written
 from quire.llm.components import connected_components
+from quire.llm.exact import exact_links
+from quire.llm.segment import spread
 
-SAMPLE = 4_000
-BUCKET = 4_096
+SAMPLE, PLAN_SAMPLE = 16_000, 2_000
+BUCKET = 32_768
 HOT = 1_000
+#: Signatures that a task verifies at most (fewer, where there are many comparisons), and that a task holds before it sends them.
+TASK_ROWS, SEND_ROWS = 1_000_000, 1_000_000
+#: Values compared at once.
+COMPARE = 1_000_000
+#: Most bits in which second fingerprints of similar texts differ: at a similarity of 0.8 one pair in 5,000 has more.
+SECOND = 20
 #: Shingles whose bits are counted at once.
 COUNT_SHINGLES = 40_000
 
 
-def fingerprints(texts: Iterator[str | None], size: int = 4, seed: int = 42) -> Iterator[int]:
-    """The fingerprint of each text, as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, size: int, seed: int) -> list[bytes]:
+    """XXH64 of every shingle, as eight big-endian bytes."""
     from xxhash import xxh64_digest
 
-    digests: list[bytes] = []
-    lengths: list[int] = []
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, n = b" ".join(words), max(1, len(words) - size + 1) if words else 0
+    if n <= 1:
+        return [xxh64_digest(joined, seed)] * n
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.append(0, ends[:-1] + 1)
+    cuts = map(slice, begins[:n].tolist(), ends[size - 1 :].tolist())
+    return list(map(xxh64_digest, map(joined.__getitem__, cuts), repeat(seed, n)))
+
 
-    def flush() -> list[int]:
-        out = np.zeros(len(lengths), np.uint64)
-        n = np.array(lengths, np.int64)
-        if digests:
-            bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
-            has = np.flatnonzero(n)
-            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[has], axis=0, dtype=np.int64)
-            out[has] = np.packbits(2 * ones > n[has, None], axis=1).view(">u8").ravel()
-        digests.clear(), lengths.clear()
-        return out.tolist()
+def majorities(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run of hashes the bits that over half of them have."""
+    out = np.zeros(len(lengths), np.uint64)
+    if len(hashes):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        has = np.flatnonzero(lengths)
+        ones = np.add.reduceat(bits, (np.cumsum(lengths) - lengths)[has], axis=0, dtype=np.int64)
+        out[has] = np.packbits(2 * ones > lengths[has, None], axis=1).view(">u8").ravel()
+    return out
 
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+def _runs(texts: Iterator[str | None], size: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of some texts one after another, hashes per text)."""
+    digests: list[bytes] = []
+    lengths: list[int] = []
     for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        joined, n = b" ".join(words), max(1, len(words) - size + 1) if words else 0
-        if n > 1:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            begins = np.append(0, ends[:-1] + 1)
-            cuts = map(slice, begins[:n].tolist(), ends[size - 1 :].tolist())
-            own = list(map(xxh64_digest, map(joined.__getitem__, cuts), repeat(seed, n)))
-        else:
-            own = [xxh64_digest(joined, seed)] * n
+        own = shingle_hashes(text, size, seed)
         digests += own
-        lengths.append(n)
+        lengths.append(len(own))
         if len(digests) >= COUNT_SHINGLES:
-            yield from flush()
-    yield from flush()
+            yield np.frombuffer(b"".join(digests), ">u8").astype(np.uint64), np.array(lengths, np.int64)
+            digests, lengths = [], []
+    yield np.frombuffer(b"".join(digests), ">u8").astype(np.uint64), np.array(lengths, np.int64)
+
+
+def fingerprints(texts: Iterator[str | None], size: int = 4, seed: int = 42) -> Iterator[int]:
+    """The fingerprint of each text, as an unsigned 64-bit number."""
+    for hashes, lengths in _runs(texts, size, seed):
+        yield from majorities(hashes, lengths).tolist()
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42) -> DataFrame:
@@ -88,6 +119,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return plain.mapInArrow(run, "doc_id long, fingerprint long")
 
 
+def shingle_prints(docs: DataFrame, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
+    """Per row: doc_id, node (a hash of its set of shingles), fingerprint, second."""
+    from xxhash import xxh3_64_intdigest
+
+    names = ["doc_id", "node", "fingerprint", "second"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (t for i in range(0, batch.num_rows, 512) for t in batch.column(1).slice(i, 512).to_pylist())
+            node, first, second = [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for hashes, lengths in _runs(texts, size, seed):
+                first.append(majorities(hashes, lengths))
+                second.append(majorities(mixed(hashes), lengths))
+                node += [xxh3_64_intdigest(np.unique(own).tobytes()) for own in np.split(hashes, np.cumsum(lengths)[:-1])] if len(lengths) else []
+            prints = (np.concatenate(x).view(np.int64) for x in (first, second))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), *map(pa.array, prints)], names=names)
+
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return plain.mapInArrow(run, "doc_id long, node long, fingerprint long, second long")
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """One row of 64 bits, lowest first, for each value."""
     return (values[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
@@ -111,9 +163,9 @@ def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def plan_partitions(sample: np.ndarray, distance: int, total: int, choices: tuple[int, ...] = (3, 4, 5)) -> list[tuple[list[int], int]]:
-    """[(bits, threshold)] of the least estimated cost; a threshold of -1 leaves its partition out."""
-    signature_cost, best = 40.0, None
+def plan_partitions(sample: np.ndarray, distance: int, total: int, choices: tuple[int, ...] = (4, 5, 6)) -> list[tuple[list[int], int]]:
+    """[(bits, threshold)] of the least estimated cost; a threshold of -1 leaves its partition out.  A partition has 16 bits at most, so its buckets can be numbered."""
+    signature_cost, best = 100.0, None  # in comparisons of two fingerprints
     bits = _bits(sample)
     half = len(bits) // 2
     for parts in choices:
@@ -157,24 +209,117 @@ def signatures(values: np.ndarray, bits: list[int], threshold: int) -> tuple[np.
     return np.concatenate(index), np.concatenate(out)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+class Dealing:
+    """Numbers for the buckets of a plan, cells (buckets, or pairs of blocks of a large one), and the task of each cell."""
+
+    def __init__(self, plan: list[tuple[list[int], int]], sample: np.ndarray, total: int, bucket: int):
+        self.plan = plan
+        self.base = np.cumsum([0, *(1 << len(bits) for bits, _ in plan)])
+        held = np.zeros(self.base[-1])
+        for part in range(len(plan)):
+            _, number = self.signed(part, sample)
+            held += np.bincount(number, minlength=len(held))
+            # what the sample hasn't seen counts as a share of the partition's mean
+            own = slice(self.base[part], self.base[part + 1])
+            held[own] = np.maximum(held[own], 0.25 * len(number) / max(1, len(held[own])))
+        held *= total / max(1, len(sample))
+        self.blocks = np.maximum(1, np.where(held > bucket, np.ceil(held / (bucket // 2)), 1)).astype(np.int64)
+        cells = self.blocks * (self.blocks + 1) // 2
+        self.first = np.cumsum(cells) - cells
+        rows = held * self.blocks / cells  # of a cell; a comparison counts for a hundredth of a row
+        weight = np.cumsum(np.repeat(rows + rows * rows / 200, cells))
+        self.tasks = int(max(1, np.ceil(weight[-1] / TASK_ROWS)))
+        self.task = np.minimum((weight - weight[0]) * self.tasks / max(weight[-1], 1), self.tasks - 1).astype(np.int32)
+
+    def signed(self, part: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into values, number of a bucket) for all signatures of a partition."""
+        bits, threshold = self.plan[part]
+        index, signature = signatures(values, bits, threshold)
+        number = np.zeros(len(signature), np.int64)
+        for k, b in enumerate(bits):
+            number |= ((signature >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+        return index, number + self.base[part]
+
+    def cells(self, index: np.ndarray, number: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, cell): one for a small bucket, for a large one all pairs of blocks with the node's own."""
+        blocks = self.blocks[number]
+        if (blocks == 1).all():
+            return index, self.first[number]
+        row = np.repeat(np.arange(len(index)), blocks)
+        other = spread(np.zeros(len(blocks), np.int64), blocks)
+        with np.errstate(over="ignore"):
+            mine = ((node[index].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % blocks.astype(np.uint64)).astype(np.int64)[row]
+        high, low = np.maximum(mine, other), np.minimum(mine, other)
+        return index[row], self.first[number[row]] + high * (high + 1) // 2 + low
+
+
+_ROW = np.dtype([("cell", "<u4"), ("value", "<u8"), ("second", "<u8"), ("node", "<i8")])
+
+
+def _send(dealing: Dealing):
+    """(node, fingerprint, second) to packed signatures of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(held) if held else np.empty(0, _ROW)
+            task = dealing.task[rows["cell"]]
+            order = np.argsort(task, kind="stable")
+            rows, task = rows[order], task[order]
+            names, first = np.unique(task, return_index=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([r.tobytes() for r in np.split(rows, first[1:])][: len(names)], pa.binary())], names=["task", "rows"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4_096):
+                node, value, second = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 4_096).columns)
+                for part in range(len(dealing.plan)):
+                    index, cell = dealing.cells(*dealing.signed(part, value.view(np.uint64)), node)
+                    rows = np.empty(len(index), _ROW)
+                    rows["cell"], rows["value"], rows["second"], rows["node"] = cell, value.view(np.uint64)[index], second.view(np.uint64)[index], node[index]
+                    held.append(rows)
+                    count += len(rows)
+                    if count >= SEND_ROWS:
+                        yield flush()
+                        count = 0
+        yield flush()
+
+    return run
 
 
-def link_bucket(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one bucket: each value met is compared once with those not reached yet."""
-    left, links = np.arange(len(values)), []
+def link_bucket(value: np.ndarray, second: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one bucket of many: each value met is compared once with those not reached yet."""
+    left, links = np.arange(len(value)), []
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             i = front.pop()
-            near = _apart(values[i], values[left]) <= distance
+            near = (_apart(value[i], value[left]) <= distance) & (_apart(second[i], second[left]) <= SECOND)
             if near.any():
                 found = left[near]
-                links += zip(repeat(i), found.tolist())
+                links.append((np.full(len(found), i), found))
                 front += found.tolist()
                 left = left[~near]
-    return links
+    return tuple(np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
+
+
+def bucket_links(value: np.ndarray, second: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that have the components of all links within one bucket."""
+    n, found = len(value), []
+    step = max(1, COMPARE // n)
+    for i in range(0, n, step):
+        a, b = np.nonzero(_apart(value[i : i + step, None], value[None, i:]) <= distance)
+        a, b = a[a < b] + i, b[a < b] + i
+        near = _apart(second[a], second[b]) <= SECOND
+        found.append((a[near], b[near]))
+        if len(found[-1][0]) > 32 * step:  # crowded: no more pairs than values
+            return link_bucket(value, second, distance)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,101 +342,74 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(distance: int):
-    """Rows sorted by bucket (part, signature, blocks) to links (u, v) of class ids."""
+    """A task's packed signatures to links (u, v) of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def work(part, signature, block, value, node) -> None:
-            new = np.append(True, (part[1:] != part[:-1]) | (signature[1:] != signature[:-1]) | (block[1:] != block[:-1]))
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(part)))
-            value = value.view(np.uint64)
-            for a, n in zip(first[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-                links = np.array(link_bucket(value[a : a + n], distance), np.int64).reshape(-1, 2) + a
-                found.append((node[links[:, 0]], node[links[:, 1]]))
-            end = np.repeat(first + size, size)
-            rows = np.flatnonzero(np.repeat(size <= 32, size))
-            for step in range(1, 32):
-                rows = rows[rows + step < end[rows]]
-                if not len(rows):
-                    break
-                near = rows[_apart(value[rows], value[rows + step]) <= distance]
-                found.append((node[near], node[near + step]))
-
-        def flush() -> pa.RecordBatch:
-            u, v = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-            found.clear()
-            u, v = forest(u, v)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            n = len(rows[0])
-            if not n:
-                continue
-            # the last bucket may go on in the next batch
-            same = np.logical_and.reduce([c == c[-1] for c in rows[:3]])
-            cut = n - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = [c[cut:] for c in rows]
-            if cut:
-                work(*(c[:cut] for c in rows))
-            if sum(len(x[0]) for x in found) > 200_000:
-                yield flush()
-        if held is not None and len(held[0]):
-            work(*held)
-        yield flush()
+        packed = [x for batch in batches for x in batch.column(1).to_pylist()]
+        rows = np.frombuffer(b"".join(packed), _ROW)
+        packed.clear()
+        rows = rows[np.argsort(rows["cell"], kind="stable")]
+        value, second, node = (np.ascontiguousarray(rows[c]) for c in ("value", "second", "node"))
+        first = np.flatnonzero(np.append(True, rows["cell"][1:] != rows["cell"][:-1])) if len(rows) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(rows)))
+        u, v, found, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def near(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal u, v, held
+            other = node[a] != node[b]  # a task may have both rows of one node in a pair of blocks
+            found.append((node[a[other]], node[b[other]]))
+            held += len(found[-1][0])
+            if held > 200_000:
+                u, v = forest(*(np.concatenate([x, *y]) for x, y in zip((u, v), zip(*found, strict=True), strict=True)))
+                found.clear()
+                held = 0
+
+        for a, n in zip(first[size > 32].tolist(), size[size > 32].tolist(), strict=True):
+            i, j = bucket_links(value[a : a + n], second[a : a + n], distance)
+            near(i + a, j + a)
+        end = np.repeat(first + size, size)
+        at = np.flatnonzero(np.repeat(size <= 32, size))
+        for step in range(1, 32):
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            hit = at[(_apart(value[at], value[at + step]) <= distance) & (_apart(second[at], second[at + step]) <= SECOND)]
+            near(hit, hit + step)
+        if found:
+            u, v = forest(*(np.concatenate([x, *y]) for x, y in zip((u, v), zip(*found, strict=True), strict=True)))
+        for i in range(0, len(u), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["u", "v"])
 
     return run
 
 
 def link_fingerprints(classes: DataFrame, distance: int = 4, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
-    """classes (node long, fingerprint long; distinct) to links (u, v) that have the components of all links within ``distance``."""
+    """classes (node long, fingerprint long, second long; distinct nodes) to links (u, v) that have the components of all links within ``distance``."""
     total = classes.count()
     fraction = min(1.0, 2.0 * sample_rows / max(1, total))
     sample = np.array([r[0] for r in classes.sample(fraction, 7).select("fingerprint").limit(sample_rows).collect()], np.int64).view(np.uint64)
-    plan = plan_partitions(sample[: 2_000], distance, total)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for part, (bits, threshold) in enumerate(plan):
-                index, signature = signatures(value.view(np.uint64), bits, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), part, np.int32)), pa.array(signature.view(np.int64)), pa.array(value[index]), pa.array(node[index])], names=["part", "signature", "value", "node"])
-
-    signed = classes.select("node", "fingerprint").mapInArrow(sign, "part int, signature long, value long, node long")
-    signed = written(signed, "signatures")
-    large = signed.groupBy("part", "signature").agg(F.count("*").alias("n")).filter(F.col("n") > bucket)
-    blocks = F.ceil(F.col("n") / (bucket // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    others = F.transform(F.array_remove(F.sequence(F.lit(0), blocks - 1), mine), lambda k: F.least(k, mine) * blocks + F.greatest(k, mine))
-    dealt = (
-        signed.join(large, ["part", "signature"], "left")
-        .withColumn("block", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(others)))
-        .select("part", "signature", "block", "value", "node")
-    )
-    ordered = dealt.repartition("part", "signature", "block").sortWithinPartitions("part", "signature", "block")
-    return ordered.mapInArrow(_verify(distance), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint (long), component_id (the smallest doc_id reachable over links)."""
-    prints = written(fingerprint_documents(docs, id_col, text_col, size, seed), "fingerprints")
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    # A class is named by its fingerprint: it is unique even where ids are null or repeated.
-    links = link_fingerprints(classes.select(F.col("fingerprint").alias("node"), "fingerprint"), distance)
-    member = connected_components(links)
-    named = classes.join(member, classes["fingerprint"] == member["node"], "left").select("fingerprint", "least", "n", F.coalesce("component", "fingerprint").alias("component"))
-    named = written(named, "members")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = written(named.join(least, "component").select("fingerprint", "n", "component_id"), "components")
+    dealing = Dealing(plan_partitions(sample[:PLAN_SAMPLE], distance, total), sample, total, bucket)
+    sent = classes.select("node", "fingerprint", "second").mapInArrow(_send(dealing), "task int, rows binary")
+    return sent.repartitionById(dealing.tasks, "task").mapInArrow(_verify(distance), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int = 42, least: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fingerprint (long), component_id (the smallest doc_id reachable over links).  least: the least similarity of a link, as a fraction of whole numbers."""
+    if least:
+        prints = written(shingle_prints(docs, id_col, text_col, size, seed), "fingerprints")
+    else:  # a class is named by its fingerprint: it is unique even where ids are null or repeated
+        prints = written(fingerprint_documents(docs, id_col, text_col, size, seed).withColumns({"node": F.col("fingerprint"), "second": F.lit(0).cast("long")}), "fingerprints")
+    classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fingerprint", "second")).alias("print")).select("node", "least", "n", "print.*"), "classes")
+    links = link_fingerprints(classes, distance)
+    if least:
+        links = exact_links(connected_components(links), classes, id_and_text(docs, id_col, text_col), lambda t: np.frombuffer(b"".join(shingle_hashes(t, size, seed)), ">u8").astype(np.uint64), least)
+    member = connected_components(links).withColumnRenamed("component", "reached")
+    named = written(classes.join(member, "node", "left").select("node", "least", "n", F.coalesce("reached", "node").alias("component")), "members")
+    answer = written(named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "n", "component_id"), "components")
     rows = max(1, prints.count())
-    hot = answer.filter(F.col("n") > rows / HOT).select("fingerprint", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))  # under HOT rows
-    marked = prints.join(F.broadcast(hot), "fingerprint", "left")
-    cold = marked.filter(F.col("hot").isNull()).select("doc_id", "fingerprint").join(answer.select("fingerprint", "component_id"), "fingerprint")
+    hot = answer.filter(F.col("n") > rows / HOT).select("node", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))  # under HOT rows
+    marked = prints.select("doc_id", "fingerprint", "node").join(F.broadcast(hot), "node", "left")
+    cold = marked.filter(F.col("hot").isNull()).select("doc_id", "fingerprint", "node").join(answer.select("node", "component_id"), "node")
     return marked.filter("hot").select("doc_id", "fingerprint", F.col("hot_id").alias("component_id")).unionByName(cold.select("doc_id", "fingerprint", "component_id"))
 
 

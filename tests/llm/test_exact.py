@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
-from quire.llm import similar
+from quire.llm import exact, simhash
+
+import numpy as np
+import pytest
 
 
 def shingles(text):
@@ -46,12 +49,40 @@ def made(rng):
     return rows
 
 
-def test_against_brute_force(spark):
+def near(docs):
+    return simhash.near_duplicates(docs, 14, 5, least=(4, 5))
+
+
+@pytest.mark.parametrize("group", [256, 5])
+def test_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(exact, "GROUP", group)
     rng = random.Random(6)
     rows = made(rng) + [(None, "one two"), (900, None), (901, " \n"), (902, "One TWO"), (903, "one two three"), (900, "a second row of this id"), (905, "word " * 30_000), (None, rows_text := "only null ids have this text here"), (None, rows_text)]
-    got = [(r["doc_id"], r["component_id"]) for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    got = [(r["doc_id"], r["component_id"]) for r in near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(got, key=repr) == sorted(least_of_components(rows), key=repr)
-    assert similar.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert near(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_group_without_a_middle(spark, monkeypatch):
+    """Copies with edits of their own, of which some are linked by chains only."""
+    monkeypatch.setattr(exact, "GROUP", 8)
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(70)]
+    rows = [(i, edited(rng, words, 1 + i % 2)) for i in range(60)] + [(100 + i, edited(rng, words, 3)) for i in range(20)]
+    got = [(r["doc_id"], r["component_id"]) for r in near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = least_of_components(rows)
+    assert sorted(got) == sorted(want) and 1 < len({c for _, c in want}) < 80
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(2)
+    for n in (2, 5, 40):
+        sets = [np.unique(rng.choice(60, rng.integers(1, 60), replace=False)).astype(np.uint64) for _ in range(n)]
+        sets[-1] = sets[0]
+        own = [set(s.tolist()) for s in sets]
+        for split in (0, n // 2):
+            want = {(i, j) for i in range(n) for j in range(i + 1, n) if 2 * len(own[i] & own[j]) >= len(own[i] | own[j]) and (not split or i < split <= j)}
+            assert set(zip(*(x.tolist() for x in exact.similar_pairs(sets, split, (1, 2))), strict=True)) == want
 
 
 def test_stage_drops_copies_of_similarity_above_four_fifths(spark, sf):
