@@ -15,7 +15,7 @@ from quire.llm.library_tokens import vocabulary
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.packing import pack_documents
 from quire.llm.quality import fit, held_out, score_documents
-from quire.llm.similar import similar_documents
+from quire.llm.simhash import near_duplicates
 from quire.llm.substring_dedup import dedup_passages
 from quire.shipping import ship
 
@@ -40,10 +40,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _changed(dedup_lines(docs, carry=["doc_id", "lang", "source"]))
 
 
+#: Near copies: words of a shingle, bits between fingerprints of candidates, and the least similarity of a link.
+SHINGLE, DISTANCE, SIMILARITY = 5, 14, (4, 5)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 (5-word shingles) the document of the smallest id stays; so does a row without an id, which no other can stand for."""
     ship(spark)
-    kept = similar_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = near_duplicates(docs, DISTANCE, SHINGLE, least=SIMILARITY).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
