@@ -1,10 +1,12 @@
 """Main text of web pages, by minimum-cut labelling of their blocks.
 
 1. A tolerant reader cuts a page into blocks: text between block-level tags, with its open elements.
-   Scripts, styles, titles, drawings and comments are no text.  The head ends at its end tag or where
-   the body's elements or text begin; formulas are inline text.
-2. A linear classifier gives each block a log-odds of being content, from its innermost semantic element,
-   class and id words, link density, length and punctuation.  The weights are fixed values below.
+   Scripts, styles, titles and comments are no text, nor is what players, drawings, frames and choices hold; one
+   of these without an end tag holds nothing.  The head ends at its end tag or where the body's elements or text
+   begin; formulas are inline text.
+2. A logistic classifier gives each block a log-odds of being content, from its innermost semantic element,
+   class and id words, link density, length and punctuation.  It is trained here, on generated pages
+   whose blocks are known (``page_maker``), so its odds are on one scale with the edges.
 3. In a flow network the log-odds are capacities: a positive one from the source (content), a negative
    one to the sink (boilerplate).  Neighbouring blocks, and blocks near each other in the DOM, are
    joined by smoothness edges.  The minimum cut is the labelling of the least total cost.  Blocks whose
@@ -12,7 +14,8 @@
 4. The text is that of the content blocks, in page order.
 
 A null or empty page gives an empty text; so does one without content blocks.  Repeated rows give equal
-texts.  Unclosed and stray tags are allowed.  Whole pages are read, however long.
+texts.  Unclosed and stray tags are allowed.  Whole pages are read, however long.  Null ids and urls stay null, extra
+columns are left alone, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +35,16 @@ from quire.llm.common import Rows
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|title|textarea|select"
+RAW = "script|style|title|textarea"
+#: Elements whose content is no text of the page.
+HOLDS_NONE = frozenset("noscript template svg iframe object canvas audio video select".split())
 MATH = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mlabeledtr mspace mstyle semantics annotation annotation-xml mpadded mphantom menclose merror mfenced mmultiscripts mprescripts none maction".split())
 HEAD = frozenset("base basefont bgsound link meta noframes html head".split())
 INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr", "option": "select"}
 
-# Words of class, id and role, and the classifier's weights.
+# Words of class, id and role, and what the classifier's features look for.
 AGAINST = frozenset(
     "ad ads adv advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion popup modal overlay dialog cookie cookies consent gdpr notice alert nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead topbar toolbar footer foot copyright legal sidebar side aside widget widgets rail comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations "
@@ -50,20 +57,20 @@ NO_ARTICLE = frozenset("comment comments reply related teaser ad ads advert spon
 HEADS = frozenset(("comments", "leave a comment", "leave a reply", "related", "related articles", "related posts", "related stories", "read more", "share", "share this", "advertisement", "sponsored", "subscribe", "newsletter", "sign up", "log in", "tags"))
 FOR = frozenset("article content post entry story body main text".split())
 GOOD, BAD = frozenset(("article", "main")), frozenset("nav footer aside form button dialog menu header".split())
-W_BASE, W_GOOD, W_BAD, W_OUTSIDE, W_AGAINST, W_FOR, W_LINKS, W_WORD, W_WORDS_MOST, W_SENTENCE, W_SHORT, W_HEADING, W_HEADS = 0.2, 4.0, -6.0, -3.5, -7.0, 1.0, -4.0, 0.04, 1.6, 0.6, -0.8, 0.4, -7.0
-S_NEXT, S_NEAR, WINDOW = 0.5, 0.3, 3
+S_NEXT, S_NEAR, WINDOW = 0.8, 0.4, 3
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
+_HOLDS_NONE = re.compile(rf"<({'|'.join(sorted(HOLDS_NONE))})\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 class Element:
-    __slots__ = ("tag", "depth", "place", "against", "supports", "in_link", "parent")
+    __slots__ = ("tag", "depth", "place", "against", "supports", "in_link", "no_text", "parent")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -72,6 +79,7 @@ class Element:
         self.against = parent.against if parent else False
         self.supports = parent.supports if parent else False
         self.in_link = tag == "a" or bool(parent and parent.in_link)
+        self.no_text = tag in HOLDS_NONE or bool(parent and parent.no_text)
         if tag in GOOD or tag in BAD and not (tag == "header" and self.place == "good"):
             self.place = "good" if tag in GOOD else "bad"
         if attributes and not attributes.isspace():
@@ -98,8 +106,25 @@ class Block:
         self.text, self.words, self.links, self.element = text, text.count(" ") + 1, links, element
 
 
+def _held(page: str) -> set[int]:
+    """Where the start tags stand that hold no text and have an end tag."""
+    closed: set[int] = set()
+    if _HOLDS_NONE.search(page):
+        open_at: dict[str, list[int]] = {}
+        for m in _TOKEN.finditer(page):
+            tag = (m[3] or m[6] or "").lower()
+            if tag in HOLDS_NONE:
+                if not (m[2] or m[5]):
+                    if not (m[4] or m[7] or "").endswith("/") or tag != "svg":
+                        open_at.setdefault(tag, []).append(m.start())
+                elif open_at.get(tag):
+                    closed.add(open_at[tag].pop())
+    return closed
+
+
 def read_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
+    closed = _held(page)
     stack = [Element("", "", None)]
     parts: list[str] = []
     links = 0
@@ -120,6 +145,8 @@ def read_blocks(page: str) -> list[Block]:
         text = m[8]
         if text is not None:
             text = html.unescape(text) if "&" in text else text
+            if stack[-1].no_text:
+                continue
             if stack[-1].tag == "head" and not text.isspace():
                 stack.pop()
             parts.append(text)
@@ -144,7 +171,7 @@ def read_blocks(page: str) -> list[Block]:
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
             stack.pop()  # its end tag may be left out
-        if tag in MATH and (m[4] or m[7] or "").endswith("/"):
+        if tag in MATH and (m[4] or m[7] or "").endswith("/") or tag in HOLDS_NONE and m.start() not in closed:
             continue
         if tag in CLOSES_P:
             _close(stack, "p", ("button", "td", "th", "li", "article", "section", "div", "object"))
@@ -174,19 +201,103 @@ def _close(stack: list[Element], tag: str, within) -> None:
             return
 
 
-def log_odds(block: Block, marked: bool) -> float:
+def features(block: Block, marked: bool) -> tuple[float, ...]:
     """marked: the page has an article or main element with text, so what stands outside of it is rarely content."""
     e = block.element
-    out = W_BASE + {"good": W_GOOD, "bad": W_BAD, "": W_OUTSIDE if marked else 0.0}[e.place]
-    out += W_AGAINST * e.against + W_FOR * e.supports
-    out += W_LINKS * min(1.0, block.links / block.words) + min(W_WORDS_MOST, W_WORD * block.words)
-    if block.text[-1] in ".!?…\"'»”":
-        out += W_SENTENCE
-    elif block.words < 6:
-        out += W_SHORT
-    if block.words <= 4 and " ".join(_LETTERS.findall(block.text.lower())) in HEADS:
-        out += W_HEADS
-    return out + W_HEADING * (e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    ends = block.text[-1] in ".!?…\"'»”"
+    heads = block.words <= 4 and " ".join(_LETTERS.findall(block.text.lower())) in HEADS
+    return (
+        1.0, e.place == "good", e.place == "bad", marked and not e.place, e.against, e.supports, min(1.0, block.links / block.words),
+        min(40, block.words) / 40, ends, not ends and block.words < 6, heads, e.tag in HEADINGS,
+    )
+
+
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def is_marked(blocks: list[Block]) -> bool:
+    return any(b.element.place == "good" and not b.element.against for b in blocks)
+
+
+def page_maker(rng: np.random.Generator) -> tuple[str, dict[str, bool]]:
+    """(a page, block text -> whether it is content).  Half of the pages mark their article, some blocks say what they are."""
+    known: dict[str, bool] = {}
+
+    def words(n: int, ends: bool, content: bool) -> str:
+        letters = rng.integers(97, 123, (n, 7))
+        text = " ".join(bytes(row[: 2 + row[0] % 6].astype(np.uint8)).decode() for row in letters) + ("." if ends else "")
+        known[text] = content
+        return text
+
+    def link(n: int, content: bool = False) -> str:
+        return f'<a href="/x">{words(n, False, content)}</a>'
+
+    def phrase() -> str:
+        text = sorted(HEADS)[rng.integers(len(HEADS))] if rng.random() < 0.8 else words(2, False, False)
+        known[text] = False
+        return text
+
+    def some(*ways):
+        return ways[rng.integers(len(ways))]()
+
+    def content() -> str:
+        return some(
+            lambda: f"<p>{words(int(rng.integers(12, 90)), True, True)}</p>", lambda: f"<p>{words(int(rng.integers(12, 90)), True, True)}</p>", lambda: f"<p>{words(int(rng.integers(1, 12)), rng.random() < 0.7, True)}</p>",
+            lambda: f"<h2>{words(int(rng.integers(1, 9)), False, True)}</h2>", lambda: "<ul>" + "".join(f"<li>{words(int(rng.integers(1, 9)), rng.random() < 0.3, True)}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote>{words(20, True, True)}</blockquote>",
+            lambda: f"<div>{words(int(rng.integers(1, 20)), rng.random() < 0.5, True)}</div>", lambda: "<ul>" + "".join(f"<li>{link(2, True) if rng.random() < 0.2 else words(3, False, True)}</li>" for _ in range(2)) + "</ul>",
+        )
+
+    def against() -> str:
+        word = ("sidebar", "ad", "main-menu", "page-footer", "cookie-notice", "comments", "related-content", "promo")[rng.integers(8)]
+        return f' class="{word}"' if rng.random() < 0.5 else ""
+
+    def within() -> str:
+        """Boilerplate inside of an article, which says what it is."""
+        return some(
+            lambda: f'<div class="ad">{words(int(rng.integers(2, 30)), rng.random() < 0.5, False)}</div>', lambda: f"<form>{words(3, False, False)}</form>", lambda: f"<aside><p>{words(int(rng.integers(5, 30)), True, False)}</p></aside>",
+            lambda: f'<div class="share">{words(3, False, False)}</div>', lambda: f'<section><h2>{phrase()}</h2><article class="comment"><p>{words(int(rng.integers(4, 40)), True, False)}</p></article></section>', lambda: f"<h3>{phrase()}</h3><ul><li>{link(3)}</li></ul>",
+        )
+
+    def boilerplate() -> str:
+        return some(
+            lambda: "<nav><ul>" + "".join(f"<li>{link(int(rng.integers(1, 4)))}</li>" for _ in range(5)) + "</ul></nav>", lambda: f"<ul{against()}>" + "".join(f"<li>{link(int(rng.integers(1, 4)))}</li>" for _ in range(4)) + "</ul>",
+            lambda: f"<div{against()}>{words(int(rng.integers(2, 14)), rng.random() < 0.5, False)}</div>", lambda: f"<aside><h3>{words(2, False, False)}</h3><p>{words(int(rng.integers(5, 30)), True, False)}</p></aside>",
+            lambda: f"<footer>{words(int(rng.integers(3, 20)), True, False)}</footer>", lambda: f'<div class="comments"><p>{words(int(rng.integers(4, 40)), True, False)}</p></div>', lambda: f"<form>{words(3, False, False)}</form>",
+            lambda: f"<p>{words(int(rng.integers(1, 30)), rng.random() < 0.5, False)}</p>", lambda: f"<h3>{phrase()}</h3><ul>" + "".join(f"<li>{words(2, False, False)}</li>" for _ in range(3)) + "</ul>",
+            lambda: f'<div class="advert">{words(int(rng.integers(5, 40)), True, False)}</div>', lambda: f"<header>{words(4, False, False)}</header>",
+        )
+
+    opens, closes = (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ('<div class="content">', "</div>"))[rng.integers(4)]
+    one = lambda: content() if rng.random() < 0.85 else within()
+    before, inside, after = ("".join(make() for _ in range(rng.integers(low, high))) for make, low, high in ((boilerplate, 1, 4), (one, 3, 12), (boilerplate, 1, 5)))
+    return f"<html><body>{before}{opens}<h1>{words(6, False, True)}</h1>{inside}{closes}{after}</body></html>", known
+
+
+#: Pages that the classifier is trained on, their seed, and the ridge on its weights.
+TRAIN_PAGES, SEED, RIDGE = 400, 17, 0.5
+
+
+@cache
+def weights() -> tuple[float, ...]:
+    """Logistic regression by Newton's method on the blocks of generated pages."""
+    rng = np.random.default_rng(SEED)
+    x, y = [], []
+    for _ in range(TRAIN_PAGES):
+        page, known = page_maker(rng)
+        blocks = read_blocks(page)
+        marked = is_marked(blocks)
+        x += [features(b, marked) for b in blocks]
+        y += [known[b.text] for b in blocks]
+    x, y = np.array(x, float), np.array(y, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * w)
+    return tuple(np.round(w, 6).tolist())
+
+
+def log_odds(block: Block, marked: bool, own: tuple[float, ...]) -> float:
+    return sum(w * x for w, x in zip(own, features(block, marked), strict=True))
 
 
 def _shared(a: Element, b: Element) -> float:
@@ -266,23 +377,28 @@ def _max_flow(rest: list[int], gain: list[float], near: list[dict[int, float]])
             room[a][b] = room[a].get(b, 0.0) + flow
 
 
-def main_text(page: str | None) -> str:
+def label_blocks(blocks: list[Block], own: tuple[float, ...]) -> list[bool]:
+    """Whether each block is content."""
+    marked = is_marked(blocks)
+    return minimum_cut([log_odds(b, marked, own) for b in blocks], smoothness(blocks))
+
+
+def main_text(page: str | None, own: tuple[float, ...] | None = None) -> str:
     blocks = read_blocks(page or "")
-    marked = any(b.element.place == "good" and not b.element.against for b in blocks)
-    keep = minimum_cut([log_odds(b, marked) for b in blocks], smoothness(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return " ".join(b.text for b, k in zip(blocks, label_blocks(blocks, own or weights()), strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    own = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 for page_id, url, page in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
-                    text = main_text(page)
+                    text = main_text(page, own)
                     yield from out.add((page_id, url, text), len(text) + 128)
         yield out.flush()
 
