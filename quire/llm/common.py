@@ -61,8 +61,3 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     near = df.filter(place < int(share * (1 << 40))) if share < 1 else df
     return near.orderBy(place, *df.columns).limit(rows)
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes that the tables below df take as stored, by the optimizer's statistics; by its rows where those are unknown."""
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return known if known < 1 << 60 else df.count() * 2_000

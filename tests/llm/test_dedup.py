@@ -28,16 +28,16 @@ def test_op10_is_the_sql(spark, sf):
 
 
 def kept_lines(rows):
-    """By brute force; a row is a document."""
+    """By brute force; rows of one id are one document."""
     keys = lambda t: [line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)}) for line in (t or "").split("\n")]
     holders = {}
-    for n, (i, t) in enumerate(rows):
-        for k in set(keys(t)):
-            holders.setdefault(k, []).append((-(1 << 63) if i is None else i, n))
+    for i, t in rows:
+        for k in keys(t):
+            holders.setdefault(k, set()).add(-(1 << 63) if i is None else i)
     out = []
     for i, t in rows:
         own = -(1 << 63) if i is None else i
-        kept = [line for line, k in zip((t or "").split("\n"), keys(t), strict=True) if len(k) < 20 or len(holders[k]) < 3 or max(holders[k])[0] == own]
+        kept = [line for line, k in zip((t or "").split("\n"), keys(t), strict=True) if len(k) < 20 or len(holders[k]) < 3 or max(holders[k]) == own]
         out.append((i, "\n".join(kept)))
     return out
 
@@ -60,6 +60,28 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, []).limit(0)).count() == 0
 
 
+def test_repeated_ids_are_one_document_as_in_the_sql(spark):
+    rows = [(i, t) for i, t in ROWS if i is not None] + [(50, f"{L} x"), (50, f"{L} x\n{L} x"), (51, f"{L} x"), (50, f"{L} x"), (60, f"{L} y"), (60, f"{L} y"), (61, f"{L} y"), (62, f"{L} y\n")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(f"SELECT doc_id, n_lines, n_dropped FROM ({line_dedup.OP10_SQL})").fetchall())
+    got = {}
+    for r in line_dedup.dedup_lines(frame(spark, rows)).collect():
+        lines, dropped = got.get(r["doc_id"], (0, 0))
+        got[r["doc_id"]] = lines + r["n_lines"], dropped + r["n_dropped"]
+    assert sorted((i, *x) for i, x in got.items()) == want
+
+
+def test_joined_frame_and_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_BYTES", 2_000)
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"a line of the pool with number {rng.randrange(300)}" for _ in range(5))) for i in range(300)]
+    keys = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    joined = frame(spark, rows).join(keys, "doc_id").join(keys, "doc_id")
+    assert order([(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(joined).collect()]) == order(kept_lines(rows))
+
+
 def test_hot_lines(spark, monkeypatch):
     rng = random.Random(1)
     pool = [f"a common line of the pool number {k}" for k in range(6)]
