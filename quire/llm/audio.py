@@ -3,20 +3,25 @@
 Storing: a payload is the bytes, padded with blanks (32) to a positive multiple of ``UNIT``, as the
 samples of a mono 8-bit WAV file.  Stored media are a written table; features come from what is read.
 
-Features: the samples are resampled by a polyphase filter (each output phase has its own taps),
-overlapping frames go through a mel filterbank, and spans of high energy are segmented with two thresholds:
-a span opens at the upper and closes below the lower one.  Log-mel frames are cut into overlapping
-windows of one shape and stored as an Arrow IPC stream with a fixed-shape tensor column and the time span
-of each window.
-
-Every text is worked on alone, in blocks counted from its own start, so equal texts have equal values
-whatever their batch.  Null and empty texts are one unit of blanks.  Repeated rows give repeated rows.
+Features: the samples are resampled at 3/4 of their rate by a polyphase filter (each of the three output phases has
+its own taps), overlapping frames go through a mel filterbank, and spans of high energy are segmented with two
+thresholds: a span opens at the upper and closes below the lower one.  Log-mel frames are cut into overlapping
+windows of one shape and stored, in a written table, as an Arrow IPC stream with a fixed-shape tensor column and
+the time span of each window.
+
+All numbers are whole: taps, taper, transform and filters are rounded tables, sums stay below 2^53, where doubles
+are exact in any order, and logarithms are read from a table.  So equal texts have equal features on any
+processor, and every text is worked on alone, whatever its batch.
+
+Null and empty texts are one unit of blanks.  Repeated rows give repeated rows; null ids stay null; extra columns
+are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import Rows, id_and_text, pairs
-from quire.storage import shared_folder
+from quire.llm.common import Rows, id_and_text, pairs, written
 
 UNIT, PAD = 192, b" "
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
-FRAME, HOP, FFT, MELS = 200, 80, 256, 24
-WINDOW, STEP = 32, 16
+RATE, UP, DOWN, TAPS = 16_000, 3, 4, 16
+FRAME, HOP, FFT, MELS = 240, 120, 256, 24
+WINDOW, STEP = 32, 24
+#: Units: of a tap, of a resampled sample, of the taper, of the transform, of a filter, and steps of a logarithm to the base 2.
+TAP_ONE, SAMPLE_ONE, TAPER_ONE, WAVE_ONE, FILTER_ONE, LOG_STEPS = 1024, 16, 127, 1024, 256, 64
 OPEN, CLOSE = 0.5, -0.5
 #: Frames worked on at once.
 BLOCK_FRAMES = 4_096
@@ -66,54 +72,69 @@ def read_wav(media: bytes) -> tuple[bytes, int]:
 
 
 def polyphase_taps(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
-    """up rows of taps: a windowed sinc low-pass, dealt to its phases."""
+    """up rows of taps in units of 1 / TAP_ONE: a windowed sinc low-pass, dealt to its phases."""
     n = np.arange(up * taps) - (up * taps - 1) / 2
     cut = 1 / max(up, down)
     h = (cut * np.sinc(cut * n) * np.hamming(up * taps) * up).reshape(taps, up).T
-    return np.ascontiguousarray(h[:, ::-1] / h.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.rint(np.ascontiguousarray(h[:, ::-1] / h.sum(axis=1, keepdims=True)) * TAP_ONE).astype(np.float32)
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
-    """x at up / down times its rate; output n is phase (n * down) mod up over the inputs around n * down / up."""
+    """Whole samples at up / down times their rate, in units of 1 / SAMPLE_ONE; output n is phase (n * down) mod up over the inputs around n * down / up."""
     h = polyphase_taps(up, down, taps)
     n = -(-len(x) * up // down)
-    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (taps // 2, taps)), taps)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float32), (taps // 2, taps)), taps)
     out = np.empty(n, np.float32)
     for first in range(min(up, n)):
         at, phase = first * down // up, first * down % up
         own = windows[at::down][: len(out[first::up])]
         for i in range(0, len(own), 1 << 18):
-            out[first::up][i : i + (1 << 18)] = own[i : i + (1 << 18)] @ h[phase]
-    return out
+            out[first::up][i : i + (1 << 18)] = own[i : i + (1 << 18)] @ h[phase]  # below 2^24
+    return np.floor(out * np.float32(SAMPLE_ONE / TAP_ONE) + np.float32(0.5))
 
 
 def mel_filters(rate: int, fft: int = FFT, mels: int = MELS) -> np.ndarray:
-    """Triangles, evenly spaced on the mel scale; bins by filters."""
+    """Triangles in units of 1 / FILTER_ONE, evenly spaced on the mel scale; bins by filters."""
     top = 2595 * np.log10(1 + rate / 2 / 700)
     edges = 700 * (10 ** (np.linspace(0, top, mels + 2) / 2595) - 1)
     f = np.arange(fft // 2 + 1) * rate / fft
     up, down = (f[:, None] - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f[:, None]) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.rint(np.maximum(0, np.minimum(up, down)) * FILTER_ONE)
+
+
+_ANGLE = 2 * np.pi * np.arange(FRAME)[:, None] * np.arange(FFT // 2 + 1) / FFT
+_WAVES = np.rint(np.concatenate([np.cos(_ANGLE), np.sin(_ANGLE)], axis=1) * WAVE_ONE)
+_TAPER = np.rint(np.hanning(FRAME) * TAPER_ONE)
+_LOG = np.rint(2.0 ** (np.arange(LOG_STEPS) / LOG_STEPS - 1) * (1 << 40)) / (1 << 40)
+
+
+def whole_log(x: np.ndarray) -> np.ndarray:
+    """Logarithms of x + 1 to the base 2, rounded down, in units of 1 / LOG_STEPS."""
+    part, power = np.frexp(x + 1)
+    return ((power - 1) * LOG_STEPS + np.searchsorted(_LOG, part, side="right") - 1).astype(np.int16)
 
 
 def log_mel(x: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames by filters, log energy of each frame) over overlapping frames."""
+    """(frames by filters, log energy of each frame) over overlapping frames of whole samples."""
     frames = max(1, 1 - (FRAME - len(x)) // HOP)  # the last is padded with silence
     x = np.pad(x, (0, max(0, (frames - 1) * HOP + FRAME - len(x))))
     view = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:frames]
-    taper = np.hanning(FRAME).astype(np.float32)
-    mel, energy = np.empty((frames, filters.shape[1]), np.float32), np.empty(frames, np.float32)
+    mel, energy = np.empty((frames, filters.shape[1]), np.int16), np.empty(frames, np.int16)
+    bins = FFT // 2 + 1
     for i in range(0, frames, BLOCK_FRAMES):
-        block = view[i : i + BLOCK_FRAMES] * taper
-        spectrum = np.fft.rfft(block, FFT, axis=1)
-        mel[i : i + BLOCK_FRAMES] = np.log((spectrum.real**2 + spectrum.imag**2) @ filters + 1e-6)
-        energy[i : i + BLOCK_FRAMES] = np.log((block * block).sum(axis=1) + 1e-6)
+        block = view[i : i + BLOCK_FRAMES] * _TAPER  # whole doubles from here on
+        waves = np.floor(block @ _WAVES / (1 << 16))
+        waves *= waves
+        mel[i : i + BLOCK_FRAMES] = whole_log((waves[:, :bins] + waves[:, bins:]) @ filters)
+        energy[i : i + BLOCK_FRAMES] = whole_log((block * block).sum(axis=1))
     return mel, energy
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     """Spans of frames: opened at mean + OPEN deviations, closed below mean + CLOSE deviations."""
-    mean, spread = float(energy.mean(dtype=np.float64)), float(energy.std(dtype=np.float64))
+    energy = energy.astype(np.float64)
+    mean = float(energy.sum()) / len(energy)
+    spread = math.sqrt(max(0.0, float((energy * energy).sum()) / len(energy) - mean * mean))
     says = np.where(energy >= mean + OPEN * spread, 1, np.where(energy < mean + CLOSE * spread, 0, -1))
     last = np.maximum.accumulate(np.where(says >= 0, np.arange(len(says)), -1))
     on = np.where(last >= 0, says[last], 0).astype(np.int8)
@@ -124,10 +145,10 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 def tensor_stream(mel: np.ndarray, rate: int) -> tuple[bytes, int]:
     """(Arrow IPC stream of start_s, end_s and log-mel windows as fixed-shape tensors, windows); the last is padded with silence."""
     n = max(1, -(-max(0, len(mel) - WINDOW) // STEP) + 1)
-    padded = np.full(((n - 1) * STEP + WINDOW, mel.shape[1]), np.float32(np.log(1e-6)), np.float32)
+    padded = np.zeros(((n - 1) * STEP + WINDOW, mel.shape[1]), np.int16)
     padded[: len(mel)] = mel
     windows = np.stack([padded[i * STEP : i * STEP + WINDOW] for i in range(n)])
-    kind = pa.fixed_shape_tensor(pa.float32(), (WINDOW, mel.shape[1]), dim_names=["frame", "mel"])
+    kind = pa.fixed_shape_tensor(pa.int16(), (WINDOW, mel.shape[1]), dim_names=["frame", "mel"])
     flat = pa.FixedSizeListArray.from_arrays(pa.array(windows.ravel()), WINDOW * mel.shape[1])
     start = np.arange(n) * STEP * HOP / rate
     batch = pa.record_batch([pa.array(start), pa.array(start + (WINDOW - 1) * HOP / rate + FRAME / rate), pa.ExtensionArray.from_storage(kind, flat)], names=["start_s", "end_s", "log_mel"])
@@ -155,10 +176,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield from out.add((doc_id, len(data), media), len(media) + 64)
         yield out.flush()
 
-    path = shared_folder(docs.sparkSession, "media")
-    stored = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
-    stored.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(stored.schema).parquet(path)
+    return written(id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
 
 
 _SPAN = "struct<start_s:double,end_s:double>"
@@ -179,7 +197,7 @@ def media_features(media: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 for doc_id, n_bytes, stored in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
                     samples, rate = read_wav(stored)
-                    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+                    x = np.frombuffer(samples, np.uint8).astype(np.int16) - 128
                     own = rate * UP // DOWN
                     if own not in filters:
                         filters[own] = mel_filters(own)
@@ -194,9 +212,9 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op4_audio_features(spark, sf_dir: str) -> DataFrame:
-    """Every document's text as audio: what was stored, read back, and a digest of its features."""
+    """Every document's text as audio: what was stored, read back, and a digest of its features as they are stored."""
     from pyspark.sql import functions as F
 
-    found = media_features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    found = written(media_features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "features", compression="zstd")
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("windows="), "n_windows"), F.concat(F.lit("segments="), F.size("segments")), F.concat(F.lit("spans="), F.sha2(F.to_json("segments"), 256)), F.concat(F.lit("log_mel="), F.sha2("tensors", 256)))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -14,10 +14,10 @@ from quire.storage import shared_folder
 BATCH_BYTES = 8_000_000
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends here, and a lost executor loses none of it."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,8 @@
 """The classifier, vector search, audio and page extraction."""
 
 import hashlib
+import math
+import operator
 import zlib
 from itertools import product
 
@@ -10,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.llm import ann, audio, html_extract, quality
+from quire.llm.common import written
 
 
 def test_op1_held_out_accuracy(spark):
@@ -112,19 +115,65 @@ def test_media_odd_rows(spark):
 
 def test_resampling():
     rng = np.random.default_rng(2)
-    x = rng.standard_normal(500).astype(np.float32)
+    x = rng.integers(-128, 128, 500)
     for up, down in ((1, 2), (3, 4), (2, 3), (3, 1)):
         taps = 16
         h = audio.polyphase_taps(up, down, taps)
-        padded = np.pad(x, (taps // 2, taps)).astype(float)
-        want = [float(padded[n * down // up : n * down // up + taps] @ h[n * down % up]) for n in range(-(-len(x) * up // down))]
-        assert np.allclose(audio.resample(x, up, down, taps), want, atol=1e-4)
+        assert np.abs(h.sum(axis=1) - audio.TAP_ONE).max() <= taps / 2
+        padded = np.pad(x, (taps // 2, taps)).tolist()
+        want = [(sum(a * int(b) for a, b in zip(padded[n * down // up :], h[n * down % up].tolist(), strict=False)) * audio.SAMPLE_ONE * 2 + audio.TAP_ONE) // (2 * audio.TAP_ONE) for n in range(-(-len(x) * up // down))]
+        assert audio.resample(x, up, down, taps).tolist() == want
     t = np.arange(4000) / 16_000
-    tone = np.sin(2 * np.pi * 440 * t).astype(np.float32)
-    assert np.corrcoef(audio.resample(tone)[100:-100], tone[::2][100:-100])[0, 1] > 0.99
-    mel, energy = audio.log_mel(np.concatenate([np.zeros(4000), tone, np.zeros(4000)]).astype(np.float32), audio.mel_filters(16_000))
+    tone = np.rint(100 * np.sin(2 * np.pi * 440 * t)).astype(np.int16)
+    assert np.corrcoef(audio.resample(tone, 1, 2)[100:-100], tone[::2][100:-100])[0, 1] > 0.99
+    mel, energy = audio.log_mel(audio.SAMPLE_ONE * np.concatenate([np.zeros(4000), tone, np.zeros(4000)]), audio.mel_filters(16_000))
     (span,) = audio.segments(energy)
-    assert 46 <= span[0] <= 51 and 98 <= span[1] <= 102
+    assert 31 <= span[0] <= 34 and 65 <= span[1] <= 68
+
+
+def plain_log_mel(samples, rate):
+    """By definition, in whole Python numbers."""
+    filters = []
+    edges = [700 * (10 ** (2595 * math.log10(1 + rate / 1400) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    for low, mid, high in zip(edges, edges[1:], edges[2:], strict=False):
+        filters.append([round(256 * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid)))) for f in (b * rate / 256 for b in range(129))])
+    taper = [round(127 * (0.5 - 0.5 * math.cos(2 * math.pi * i / 239))) for i in range(240)]
+    out, at = [], 0
+    while True:
+        frame = [s * w for s, w in zip((samples[at : at + 240] + [0] * 240)[:240], taper, strict=True)]
+        power = []
+        for b in range(129):
+            re, im = (sum(x * round(1024 * wave(2 * math.pi * b * i / 256)) for i, x in enumerate(frame)) // 65536 for wave in (math.cos, math.sin))
+            power.append(re * re + im * im)
+        out.append([64 * math.log2(1 + sum(map(operator.mul, power, f))) for f in filters])
+        at += 120
+        if at + 120 >= len(samples):
+            return out
+
+
+def test_log_mel_by_definition():
+    rng = np.random.default_rng(5)
+    samples = [*rng.integers(-2048, 2048, 300).tolist(), *[0] * 200, 2047, *rng.integers(-3, 4, 99).tolist()]
+    mel, energy = audio.log_mel(np.array(samples, np.float32), audio.mel_filters(12_000))
+    want = np.array(plain_log_mel(samples, 12_000))
+    assert mel.shape == want.shape
+    assert np.abs(mel - np.floor(want)).max() <= 1 and (mel != np.floor(want)).mean() < 0.01
+    x = np.array([0, 1, 2, 3, 1023, 2.0**48])
+    assert audio.whole_log(x).tolist() == [math.floor(64 * math.log2(v + 1)) for v in x]
+
+
+def test_features_are_stored_and_read_back(spark):
+    texts = ["x", "Some text that is a little longer. " * 500, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in written(audio.media_features(audio.store_media(docs)), "features").collect():
+        payload = audio.payload_of((texts[r["doc_id"]] or "").encode())
+        mel, _ = audio.log_mel(audio.resample(np.frombuffer(payload, np.uint8).astype(np.int16) - 128), audio.mel_filters(12_000))
+        tensors, spans = audio.read_tensors(bytes(r["tensors"]))
+        assert len(mel) == r["n_frames"] and tensors.dtype == np.int16
+        for k, window in enumerate(tensors):
+            own = mel[k * audio.STEP : k * audio.STEP + audio.WINDOW]
+            assert (window[: len(own)] == own).all() and not window[len(own) :].any()
+            assert spans[k, 0] == k * audio.STEP * 120 / 12_000
 
 
 def test_segments_by_hand():
