@@ -7,15 +7,22 @@
    number that reaches TARGET_RECALL within that sample, by brute force; neighbours lie closer in the
    whole table than in a sample of it, so the share errs on the safe side.  Every row is indexed.
 3. Lists are dealt into cells of about CELL_ROWS rows, large lists by parts of them, so a list that
-   holds a third of all rows is many cells.  A query goes once to each cell with a list that it probes.
+   holds a third of all rows is many cells.  Queries of near lists go together, packed, once to each cell with a
+   list that one of them probes, and are compared there with the lists that they probe.
    Of equal vectors the k + 1 smallest ids are candidates; ties keep all others out of any answer.
 4. In a list, partial distances grow by column blocks; a candidate is abandoned as soon as its scaled
    partial distance fails the test (1 + EPSILON / sqrt(d)) against the query's bound, which starts as
-   its (k + MARGIN)-th distance to the sample's rows in its lists.  Survivors are scored in double precision on
-   the original vectors.
+   its (k + MARGIN)-th distance to the sample's rows in its lists.  While over a DENSE-th of a list is left, a block
+   of columns is one product of matrices; then only what is left is followed.  Survivors are scored in double
+   precision on the original vectors.
 
 Vectors that are null, zero, hold nulls or non-finite numbers, or have another length than most, take
-no part, nor do null ids.  Of rows with one id the least vector counts.  Ties go to the smaller id.
+no part, nor do null ids; nor do those whose squares overflow.  Of rows with one id the least vector counts.
+Ties go to the smaller id.  Repeated rows count once.  Extra columns are left alone.  A table without usable
+vectors gives no rows.
+
+How many lists a recall takes depends on the vectors: clustered ones need few, but of vectors spread evenly over a
+sphere of 64 dimensions most, whatever the index, so then the work grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import hash_sample, written
+from quire.llm.segment import spread
 
 FIT_ROWS, FIT_QUERIES = 8_192, 256
 MOST_LISTS = 4_096
@@ -37,6 +45,7 @@ BLOCK, EPSILON = 16, 2.1
 #: A bound is that of the k + MARGIN-th: tests that go wrong still leave k.
 MARGIN = 12
 SCAN_QUERIES = 256
+DENSE = 10
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -44,6 +53,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(f"`{vector_col}`").cast("array<double>")
     plain = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null and vector is not null")
     fine = plain.filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
+    fine = fine.filter(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) < float("inf"))
     return fine.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
@@ -111,22 +121,31 @@ class Index:
 
 
 def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) numbers that no test abandons, over column blocks of the rotated vectors."""
+    """(query, candidate) numbers that no test abandons, over column blocks of the rotated vectors (single precision)."""
     d = x.shape[1]
-    slack = 1e-9 * (1 + np.where(np.isfinite(bound), bound, 0))
-    a, b = q[:, :BLOCK], x[:, :BLOCK]
-    partial = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
-    done = min(BLOCK, d)
-    i, j = np.nonzero(partial * (d / done) <= ((1 + EPSILON / np.sqrt(done)) ** 2 * bound + slack)[:, None])
+    slack = 1e-4 * (1 + np.where(np.isfinite(bound), bound, 0))
+
+    def limits(done: int) -> np.ndarray:
+        factor = (1 + EPSILON / np.sqrt(done)) ** 2 if done < d else 1.0
+        return ((factor * bound + slack) * (done / d)).astype(np.float32)
+
+    partial, alive, done = 0, True, 0
+    while done < d:
+        a, b = q[:, done : done + BLOCK], x[:, done : done + BLOCK]
+        partial = partial + ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T)
+        done = min(done + BLOCK, d)
+        alive = (partial <= limits(done)[:, None]) & alive
+        if np.count_nonzero(alive) * DENSE <= alive.size:
+            break
+    i, j = np.nonzero(alive)
     partial = partial[i, j]
     while done < d and len(i):
         stop = min(done + BLOCK, d)
         gap = q[i, done:stop] - x[j, done:stop]
         partial = partial + (gap * gap).sum(axis=1)
         done = stop
-        factor = (1 + EPSILON / np.sqrt(done)) ** 2 if done < d else 1.0
-        alive = partial * (d / done) <= factor * bound[i] + slack[i]
-        i, j, partial = i[alive], j[alive], partial[alive]
+        near = partial <= limits(done)[i]
+        i, j, partial = i[near], j[near], partial[near]
     return i, j
 
 
@@ -160,111 +179,130 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
     sample_ids = np.array([r["vec_id"] for r in sample], np.int64)
     index = Index(np.array([r["vector"] for r in sample]), largest, total, k, target_recall)
 
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index.assign(_matrix(batch.column(1), d)).astype(np.int32))], names=["vec_id", "vector", "list"])
+                x = _matrix(batch.column(1), d)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(index.assign(x).astype(np.int32))], names=["vec_id", "vector", "list"])
 
     # Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest; tasks cut them before the shuffle.
+    packed = written(fine.mapInArrow(assign, "vec_id long, vector binary, list int"), "packed")
     copies = Window.partitionBy("vector").orderBy("vec_id")
-    distinct = fine.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
-    candidates = written(distinct.mapInArrow(assign, "vec_id long, vector array<double>, list int"), "lists")
+    candidates = written(packed.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"), "lists")
     counts = {r["list"]: r["n"] for r in candidates.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
     cells = _cells(counts)
     held_by = np.array([counts.get(i, 0) for i in range(len(index.centres))])
+    first_cell, parts_of = (np.array([cells.get(i, (0, 0))[n] for i in range(len(index.centres))]) for n in (0, 1))
     number = max(first + parts for first, parts in cells.values())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates to their cell."""
+        """Candidates to their cell, those of a batch and cell in one row."""
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, lists = (batch.column(c).to_numpy() for c in (0, 2))
-            cell = [first + i % parts for i, (first, parts) in zip(ids.tolist(), map(cells.__getitem__, lists.tolist()), strict=True)]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array([False] * n), batch.column(0), batch.column(1), pa.array([[x] for x in lists.tolist()], pa.list_(pa.int32())), pa.array([None] * n, pa.float64())], names=_DEALT)
+            cell = first_cell[lists] + ids % parts_of[lists]
+            x = _unpacked(batch.column(1), kind, d)
+            rows = []
+            for c in np.unique(cell).tolist():
+                own = np.flatnonzero(cell == c)
+                rows.append((c, False, ids[own].tobytes(), x[own].tobytes(), lists[own].astype("<i4").tobytes(), None, None))
+            yield _dealt(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries to every cell with a list that they probe."""
+        """Queries to every cell with a list that they probe, those of a block and cell in one row."""
         for batch in batches:
             for at in range(0, batch.num_rows, SCAN_QUERIES):
                 part = batch.slice(at, SCAN_QUERIES)
-                ids = part.column(0).to_numpy()
-                q = index.rotate(_matrix(part.column(1), d), True)
+                ids, x = part.column(0).to_numpy(), _unpacked(part.column(1), kind, d)
+                q = index.rotate(x.astype(np.float64), True)
                 order = index.order(q)
                 bound = index.bounds(ids, q, order, sample_ids)
-                rows, to, lists = [], [], []
                 # as many lists as it takes to hold k others, if the index's number of probes doesn't
                 enough = np.maximum(index.probes, 1 + (np.cumsum(held_by[order], axis=1) < k + 1).sum(axis=1))
-                for r, probed in enumerate(o[:n].tolist() for o, n in zip(order, enough, strict=True)):
-                    by_cell: dict[int, list[int]] = {}
-                    for x in probed:
-                        first, parts = cells.get(x, (0, 0))
-                        for c in range(first, first + parts):
-                            by_cell.setdefault(c, []).append(x)
-                    rows += [r] * len(by_cell)
-                    to += by_cell
-                    lists += by_cell.values()
-                take = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([True] * len(to)), part.column(0).take(take), part.column(1).take(take), pa.array(lists, pa.list_(pa.int32())), pa.array(bound[rows])], names=_DEALT)
+                row, place = np.nonzero(np.arange(order.shape[1]) < enough[:, None])
+                probed = order[row, place]
+                parts = parts_of[probed]
+                row, probed = np.repeat(row, parts), np.repeat(probed, parts)
+                cell = first_cell[probed] + spread(np.zeros(len(parts), np.int64), parts)
+                by_cell = np.lexsort((row, cell))
+                row, probed, cell = row[by_cell], probed[by_cell], cell[by_cell]
+                rows = []
+                for a, b in _runs(cell):
+                    own, number_of = np.unique(row[a:b], return_inverse=True)
+                    rows.append((int(cell[a]), True, ids[own].tobytes(), x[own].tobytes(), probed[a:b].astype("<i4").tobytes(), number_of.astype("<i4").tobytes(), bound[own].tobytes()))
+                yield _dealt(rows)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per cell its candidates come first, then its queries in blocks."""
         held, parts, ready = None, [], None
         for batch in batches:
-            cell, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (query[1:] != query[:-1])))
-            for a, b in zip(edges, np.append(edges[1:], len(cell)), strict=True):
-                if cell[a] != held:
-                    held, parts, ready = cell[a], [], None
-                part = batch.slice(a, b - a)
-                if not query[a]:
-                    parts.append(part)
+            for i in range(batch.num_rows):
+                cell, query, *packed = (c[i].as_py() for c in batch.columns)
+                if cell != held:
+                    held, parts, ready = cell, [], None
+                ids, x, lists = np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], kind).reshape(-1, d).astype(np.float64), np.frombuffer(packed[2], "<i4")
+                if not query:
+                    parts.append((ids, x, lists))
                     continue
                 if not parts:
                     continue
                 if ready is None:
-                    x = np.concatenate([_matrix(p.column(3), d) for p in parts])
-                    own = np.concatenate([p.column(4).flatten().to_numpy() for p in parts])
+                    ids_, x_, own = (np.concatenate(p) for p in zip(*parts, strict=True))
                     order = np.argsort(own, kind="stable")
-                    ids = np.concatenate([p.column(2).to_numpy() for p in parts])[order]
-                    ready = ids, x[order], index.rotate(x[order], False), own[order]
-                for s in range(0, part.num_rows, SCAN_QUERIES):
-                    yield _search_cell(index, d, k, part.slice(s, SCAN_QUERIES), *ready)
+                    ready = ids_[order], x_[order], index.rotate(x_[order], False).astype(np.float32), own[order]
+                yield _search_cell(index, k, ids, x, lists, np.frombuffer(packed[3], "<i4"), np.frombuffer(packed[4], np.float64), *ready)
 
-    dealt = candidates.mapInArrow(deal, _DEALT_DDL).unionByName(fine.filter(is_query).mapInArrow(send, _DEALT_DDL))
+    queries = packed.filter(is_query).repartitionByRange("list", "vec_id").sortWithinPartitions("list").select("vec_id", "vector")
+    dealt = candidates.mapInArrow(deal, _DEALT_DDL).unionByName(queries.mapInArrow(send, _DEALT_DDL))
     found = dealt.repartitionById(number, "cell").sortWithinPartitions("cell", "query").mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-_DEALT = ["cell", "query", "vec_id", "vector", "lists", "bound"]
-_DEALT_DDL = "cell int, query boolean, vec_id long, vector array<double>, lists array<int>, bound double"
+_DEALT = pa.schema([("cell", pa.int32()), ("query", pa.bool_()), *((c, pa.binary()) for c in ("ids", "vectors", "lists", "rows", "bounds"))])
+_DEALT_DDL = "cell int, query boolean, ids binary, vectors binary, lists binary, rows binary, bounds binary"
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DEALT, strict=True)], schema=_DEALT)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+    return list(zip(edges.tolist(), np.append(edges[1:], len(values)).tolist(), strict=True)) if len(edges) else []
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, d)
 
 
-def _search_cell(index: Index, d: int, k: int, queries: pa.RecordBatch, ids, x, rotated, own) -> pa.RecordBatch:
-    """The k nearest of each query among its lists in one cell."""
-    query_ids, original, bound = queries.column(2).to_numpy(), _matrix(queries.column(3), d), queries.column(5).to_numpy()
-    q = index.rotate(original, True)
-    probed = queries.column("lists")
-    row = np.repeat(np.arange(len(q)), np.diff(probed.offsets.to_numpy()))
-    flat = probed.flatten().to_numpy()
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64)) for _ in q]
+def _unpacked(column: pa.Array, kind: str, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d)
+
+
+def _search_cell(index: Index, k: int, query_ids, original, flat, row, bound, ids, x, rotated, own) -> pa.RecordBatch:
+    """The k nearest of each query among its lists (flat, of the queries numbered row) in one cell."""
+    q = index.rotate(original, True).astype(np.float32)
+    best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
     for x_list in np.unique(flat):
         a, b = np.searchsorted(own, [x_list, x_list + 1])
         rows = row[flat == x_list]
         i, j = scan(q[rows], rotated[a:b], bound[rows])
-        for r, at in zip(np.unique(i).tolist(), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=True) if len(i) else ():
-            r, at = rows[r], at + a
-            at = at[ids[at] != query_ids[r]]
-            score = np.concatenate([best[r][0], (x[at] * original[r]).sum(axis=1)])
-            name = np.concatenate([best[r][1], ids[at]])
-            top = np.lexsort((name, -score))[:k]
-            best[r] = score[top], name[top]
-    size = [len(s) for s, _ in best]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, size)), pa.array(np.concatenate([n for _, n in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "vec_id", "score"])
+        score = (x[j + a] * original[rows[i]]).sum(axis=1)
+        for s, e in _runs(i):
+            best[rows[i[s]]].append((score[s:e], ids[a + j[s:e]]))
+    out = []
+    for query_id, found in zip(query_ids.tolist(), best, strict=True):
+        score, name = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0), np.empty(0, np.int64))
+        others = name != query_id
+        score, name = score[others], name[others]
+        top = np.lexsort((name, -score))[:k]
+        out.append((score[top], name[top]))
+    size = [len(s) for s, _ in out]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, size)), pa.array(np.concatenate([n for _, n in out])), pa.array(np.concatenate([s for s, _ in out]))], names=["query_id", "vec_id", "score"])
 
 
 def op3_vector_search(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,7 @@ def read_wav(media: bytes) -> tuple[bytes, int]:
     raise ValueError("no data chunk")
 
 
+@cache
 def polyphase_taps(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     """up rows of taps in units of 1 / TAP_ONE: a windowed sinc low-pass, dealt to its phases."""
     n = np.arange(up * taps) - (up * taps - 1) / 2
@@ -142,13 +144,18 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
 
 
+@cache
+def _tensor_type(mels: int) -> pa.DataType:
+    return pa.fixed_shape_tensor(pa.int16(), (WINDOW, mels), dim_names=["frame", "mel"])
+
+
 def tensor_stream(mel: np.ndarray, rate: int) -> tuple[bytes, int]:
     """(Arrow IPC stream of start_s, end_s and log-mel windows as fixed-shape tensors, windows); the last is padded with silence."""
     n = max(1, -(-max(0, len(mel) - WINDOW) // STEP) + 1)
     padded = np.zeros(((n - 1) * STEP + WINDOW, mel.shape[1]), np.int16)
     padded[: len(mel)] = mel
-    windows = np.stack([padded[i * STEP : i * STEP + WINDOW] for i in range(n)])
-    kind = pa.fixed_shape_tensor(pa.int16(), (WINDOW, mel.shape[1]), dim_names=["frame", "mel"])
+    windows = padded[np.arange(n)[:, None] * STEP + np.arange(WINDOW)]
+    kind = _tensor_type(mel.shape[1])
     flat = pa.FixedSizeListArray.from_arrays(pa.array(windows.ravel()), WINDOW * mel.shape[1])
     start = np.arange(n) * STEP * HOP / rate
     batch = pa.record_batch([pa.array(start), pa.array(start + (WINDOW - 1) * HOP / rate + FRAME / rate), pa.ExtensionArray.from_storage(kind, flat)], names=["start_s", "end_s", "log_mel"])
