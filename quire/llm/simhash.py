@@ -45,8 +45,8 @@ BUCKET = 32_768
 HOT = 1_000
 #: Signatures that a task verifies at most (fewer, where there are many comparisons), and that a task holds before it sends them.
 TASK_ROWS, SEND_ROWS = 1_000_000, 1_000_000
-#: Values compared at once.
-COMPARE = 1_000_000
+#: Values compared at once, about.
+COMPARE = 1 << 16
 #: Most bits in which second fingerprints of similar texts differ: at a similarity of 0.8 one pair in 5,000 has more.
 SECOND = 20
 #: Shingles whose bits are counted at once.
@@ -67,14 +67,24 @@ def shingle_hashes(text: str | None, size: int, seed: int) -> list[bytes]:
     return list(map(xxh64_digest, map(joined.__getitem__, cuts), repeat(seed, n)))
 
 
+#: For each byte its eight bits, highest first, as eight bytes of one number.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
+#: Hashes whose bits are added up in such bytes.
+_LANE_ROWS = 255
+
+
 def majorities(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each run of hashes the bits that over half of them have."""
     out = np.zeros(len(lengths), np.uint64)
     if len(hashes):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         has = np.flatnonzero(lengths)
-        ones = np.add.reduceat(bits, (np.cumsum(lengths) - lengths)[has], axis=0, dtype=np.int64)
-        out[has] = np.packbits(2 * ones > lengths[has, None], axis=1).view(">u8").ravel()
+        n = lengths[has]
+        parts = -(-n // _LANE_ROWS)
+        cuts = np.repeat(np.cumsum(n) - n, parts) + spread(np.zeros(len(n), np.int64), parts) * _LANE_ROWS
+        lanes = _LANES[hashes.astype(">u8").view(np.uint8).reshape(-1, 8)]
+        some = np.add.reduceat(lanes, cuts, axis=0).astype("<u8").view(np.uint8).reshape(-1, 64)
+        ones = np.add.reduceat(some, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+        out[has] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel()
     return out
 
 
@@ -120,24 +130,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def shingle_prints(docs: DataFrame, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
-    """Per row: doc_id, node (a hash of its set of shingles), fingerprint, second."""
+    """Per row: doc_id, node (a hash of its set of shingles), fingerprint, second, size (of the set)."""
     from xxhash import xxh3_64_intdigest
 
-    names = ["doc_id", "node", "fingerprint", "second"]
+    names = ["doc_id", "node", "fingerprint", "second", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (t for i in range(0, batch.num_rows, 512) for t in batch.column(1).slice(i, 512).to_pylist())
-            node, first, second = [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            node, sizes, first, second = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for hashes, lengths in _runs(texts, size, seed):
                 first.append(majorities(hashes, lengths))
                 second.append(majorities(mixed(hashes), lengths))
-                node += [xxh3_64_intdigest(np.unique(own).tobytes()) for own in np.split(hashes, np.cumsum(lengths)[:-1])] if len(lengths) else []
+                for own in np.split(hashes, np.cumsum(lengths)[:-1]) if len(lengths) else ():
+                    own = np.unique(own)
+                    node.append(xxh3_64_intdigest(own.tobytes()))
+                    sizes.append(len(own))
             prints = (np.concatenate(x).view(np.int64) for x in (first, second))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), *map(pa.array, prints)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), *map(pa.array, prints), pa.array(sizes, pa.int32())], names=names)
 
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, node long, fingerprint long, second long")
+    return plain.mapInArrow(run, "doc_id long, node long, fingerprint long, second long, size int")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -253,11 +266,11 @@ class Dealing:
         return index[row], self.first[number[row]] + high * (high + 1) // 2 + low
 
 
-_ROW = np.dtype([("cell", "<u4"), ("value", "<u8"), ("second", "<u8"), ("node", "<i8")])
+_ROW = np.dtype([("cell", "<u4"), ("size", "<u4"), ("value", "<u8"), ("second", "<u8"), ("node", "<i8")])
 
 
 def _send(dealing: Dealing):
-    """(node, fingerprint, second) to packed signatures of each task."""
+    """(node, fingerprint, second, size) to packed signatures of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -273,11 +286,11 @@ def _send(dealing: Dealing):
 
         for batch in batches:
             for i in range(0, batch.num_rows, 4_096):
-                node, value, second = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 4_096).columns)
+                node, value, second, size = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 4_096).columns)
                 for part in range(len(dealing.plan)):
                     index, cell = dealing.cells(*dealing.signed(part, value.view(np.uint64)), node)
                     rows = np.empty(len(index), _ROW)
-                    rows["cell"], rows["value"], rows["second"], rows["node"] = cell, value.view(np.uint64)[index], second.view(np.uint64)[index], node[index]
+                    rows["cell"], rows["size"], rows["value"], rows["second"], rows["node"] = cell, size[index], value.view(np.uint64)[index], second.view(np.uint64)[index], node[index]
                     held.append(rows)
                     count += len(rows)
                     if count >= SEND_ROWS:
@@ -304,15 +317,24 @@ def link_bucket(value: np.ndarray, second: np.ndarray, distance: int) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
 
 
-def bucket_links(value: np.ndarray, second: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that have the components of all links within one bucket."""
+def bucket_links(value: np.ndarray, second: np.ndarray, size: np.ndarray, distance: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that have the components of all links within one bucket, which is sorted by size; sets whose sizes are further apart than ``least`` can't be similar."""
     n, found = len(value), []
-    step = max(1, COMPARE // n)
+    step = max(16, COMPARE // n)
+    reach = np.searchsorted(size, size / least, side="right") if least else np.full(n, n)
+    room = min(step, n) * n
+    differ, apart, near = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, bool)
     for i in range(0, n, step):
-        a, b = np.nonzero(_apart(value[i : i + step, None], value[None, i:]) <= distance)
+        rows, end = min(step, n - i), int(reach[min(i + step, n) - 1])
+        wide = end - i
+        k = rows * wide
+        np.bitwise_xor(value[i : i + rows, None], value[None, i:end], out=differ[:k].reshape(rows, wide))
+        np.bitwise_count(differ[:k], out=apart[:k])
+        np.less_equal(apart[:k], distance, out=near[:k])
+        a, b = np.divmod(np.flatnonzero(near[:k]), wide)
         a, b = a[a < b] + i, b[a < b] + i
-        near = _apart(second[a], second[b]) <= SECOND
-        found.append((a[near], b[near]))
+        alike = _apart(second[a], second[b]) <= SECOND
+        found.append((a[alike], b[alike]))
         if len(found[-1][0]) > 32 * step:  # crowded: no more pairs than values
             return link_bucket(value, second, distance)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -341,15 +363,15 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[keep], v[keep]
 
 
-def _verify(distance: int):
+def _verify(distance: int, least: float):
     """A task's packed signatures to links (u, v) of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = [x for batch in batches for x in batch.column(1).to_pylist()]
         rows = np.frombuffer(b"".join(packed), _ROW)
         packed.clear()
-        rows = rows[np.argsort(rows["cell"], kind="stable")]
-        value, second, node = (np.ascontiguousarray(rows[c]) for c in ("value", "second", "node"))
+        rows = rows[np.lexsort((rows["size"], rows["cell"]))]
+        value, second, node, weight = (np.ascontiguousarray(rows[c]) for c in ("value", "second", "node", "size"))
         first = np.flatnonzero(np.append(True, rows["cell"][1:] != rows["cell"][:-1])) if len(rows) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(rows)))
         u, v, found, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
@@ -365,7 +387,7 @@ def _verify(distance: int):
                 held = 0
 
         for a, n in zip(first[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            i, j = bucket_links(value[a : a + n], second[a : a + n], distance)
+            i, j = bucket_links(value[a : a + n], second[a : a + n], weight[a : a + n], distance, least)
             near(i + a, j + a)
         end = np.repeat(first + size, size)
         at = np.flatnonzero(np.repeat(size <= 32, size))
@@ -383,14 +405,14 @@ def _verify(distance: int):
     return run
 
 
-def link_fingerprints(classes: DataFrame, distance: int = 4, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
-    """classes (node long, fingerprint long, second long; distinct nodes) to links (u, v) that have the components of all links within ``distance``."""
+def link_fingerprints(classes: DataFrame, distance: int = 4, least: float = 0.0, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
+    """classes (node long, fingerprint long, second long, size int; distinct nodes) to links (u, v) that have the components of all links within ``distance``, and with sizes at least ``least`` alike."""
     total = classes.count()
     fraction = min(1.0, 2.0 * sample_rows / max(1, total))
     sample = np.array([r[0] for r in classes.sample(fraction, 7).select("fingerprint").limit(sample_rows).collect()], np.int64).view(np.uint64)
     dealing = Dealing(plan_partitions(sample[:PLAN_SAMPLE], distance, total), sample, total, bucket)
-    sent = classes.select("node", "fingerprint", "second").mapInArrow(_send(dealing), "task int, rows binary")
-    return sent.repartitionById(dealing.tasks, "task").mapInArrow(_verify(distance), "u long, v long")
+    sent = classes.select("node", "fingerprint", "second", "size").mapInArrow(_send(dealing), "task int, rows binary")
+    return sent.repartitionById(dealing.tasks, "task").mapInArrow(_verify(distance, least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int = 42, least: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,9 +420,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int
     if least:
         prints = written(shingle_prints(docs, id_col, text_col, size, seed), "fingerprints")
     else:  # a class is named by its fingerprint: it is unique even where ids are null or repeated
-        prints = written(fingerprint_documents(docs, id_col, text_col, size, seed).withColumns({"node": F.col("fingerprint"), "second": F.lit(0).cast("long")}), "fingerprints")
-    classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fingerprint", "second")).alias("print")).select("node", "least", "n", "print.*"), "classes")
-    links = link_fingerprints(classes, distance)
+        prints = written(fingerprint_documents(docs, id_col, text_col, size, seed).withColumns({"node": F.col("fingerprint"), "second": F.lit(0).cast("long"), "size": F.lit(0)}), "fingerprints")
+    classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fingerprint", "second", "size")).alias("print")).select("node", "least", "n", "print.*"), "classes")
+    links = link_fingerprints(classes, distance, least[0] / least[1] if least else 0.0)
     if least:
         links = exact_links(connected_components(links), classes, id_and_text(docs, id_col, text_col), lambda t: np.frombuffer(b"".join(shingle_hashes(t, size, seed)), ">u8").astype(np.uint64), least)
     member = connected_components(links).withColumnRenamed("component", "reached")

@@ -154,7 +154,7 @@ def test_links_of_dense_groups(spark):
         values.add(0xF0F0F0F0F0F0F0F0 ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)))
     values = sorted(values)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
-    classes = spark.createDataFrame([(s, s, 0) for s in signed], "node long, fingerprint long, second long").repartition(3)
+    classes = spark.createDataFrame([(s, s, 0, 0) for s in signed], "node long, fingerprint long, second long, size int").repartition(3)
     links = simhash.link_fingerprints(classes, bucket=64)
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}
     want = components(signed, values)
