@@ -89,7 +89,7 @@ _MONTH, _YEAR, _QUARTER, _DAY = "strftime(p, '%Y-%m')", "strftime(p, '%Y')", "st
 _FLAT = "SELECT topic_id, round(growth_rate, 6) AS growth_rate, round(growth_score, 6) AS growth_score, recent_count, round(avg_count, 6) AS avg_count, series FROM trends"
 _BY_MONTH = _trends(TOPIC_PAPERS, "topic_papers", "month", _MONTH, "-1")
 _BY_YEAR = _trends(TOPIC_PAPERS, "topic_papers", "year", _YEAR, "-1")
-_DOMAINS = "SELECT source AS journal, doc_id FROM documents WHERE source IN ('src0', 'src1', 'src2') UNION ALL SELECT source, doc_id FROM documents WHERE source IN ('src2', 'src3')"
+_DOMAINS = "SELECT source AS journal, doc_id FROM documents WHERE coalesce(source < 'src5', true) UNION ALL SELECT source, doc_id FROM documents WHERE source >= 'src3'"
 _CTFIDF = """WITH words AS (
   SELECT source AS topic_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS word FROM documents
 ), n AS (SELECT topic_id, word, count(*) AS n FROM words GROUP BY 1, 2), t AS (SELECT topic_id, sum(n) AS topic_n FROM n GROUP BY 1),
@@ -105,6 +105,16 @@ def _grams(side: str, n: int) -> str:
     return f"list_transform(range(1, greatest(len({tokens}) - {n - 2}, 1)), lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
 
 
+def _ranked(words: str, table: str, key: str = "source_papers") -> str:
+    """CTEs up to q: table's rows with ``picked``, the six parts of abstract that share most of the words."""
+    return f"""s AS (SELECT *, string_split(abstract, '. ') AS parts FROM {table}),
+            e AS (SELECT {key}, i, parts[i] AS part, list_distinct(regexp_extract_all(lower(parts[i]), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')) AS t FROM s, range(1, len(parts) + 1) r(i)),
+            w AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY len(list_intersect(t, [{words}])) / sqrt(greatest(len(t), 1)) DESC, i) AS place FROM e),
+            b AS (SELECT {key}, string_agg(part, '. ' ORDER BY i) || '.' AS best FROM w WHERE place <= 6 GROUP BY 1),
+            l AS (SELECT s.*, CASE WHEN len(parts) <= 6 THEN abstract ELSE best END AS led FROM s JOIN b USING ({key})),
+            q AS (SELECT *, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l)"""
+
+
 def _rouge(n: int, name: str) -> str:
     return f"""{name} AS (
       SELECT pmid, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * list_sum(list_append(list_transform(list_distinct(a), lambda g: least(len(list_filter(a, lambda x: x = g)), len(list_filter(b, lambda x: x = g)))), 0)) / (len(a) + len(b)) ELSE 0.0 END AS f
@@ -177,19 +187,15 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT *, CASE WHEN short THEN '' ELSE {summary} END AS summary FROM q)
             SELECT pmid, summary, CASE WHEN short THEN 'Text too short for summarization' ELSE '' END AS error, CASE WHEN short THEN 0 ELSE len({_words('abstract')}) END::BIGINT AS original_length, CASE WHEN short THEN 0 ELSE len({_words('summary')}) END::BIGINT AS summary_length, CASE WHEN short THEN 0.0 ELSE round(len({_words('summary')}) / len({_words('abstract')})::DOUBLE, 6) END AS compression_ratio FROM s""",
         "multi_doc_summary": f"""WITH h AS (SELECT vec_id, {DOT.format(0)} AS score FROM embeddings WHERE vec_id <> 0 ORDER BY score DESC, CAST(vec_id AS VARCHAR) LIMIT 5),
-            t AS (SELECT string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS source_papers, count(*) AS num_papers, 'Topic: erth. Research findings: ' || string_agg({_first_words('text', 40)}, ' ' ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS x FROM h JOIN documents ON doc_id = vec_id)
-            SELECT source_papers, num_papers, len({_words('x')})::BIGINT AS original_length FROM t""",
-        "post_process": f"SELECT pmid, {_post('x')} AS summary FROM (SELECT pmid, left(abstract, 400) AS x FROM {docs})",
-        "rouge": f"WITH pairs AS (SELECT pmid, {_first_words('abstract', 60)} AS reference, {_first_words(chr(40) + 'split_part(abstract, ' + chr(39) + '.' + chr(39) + ', 1)' + chr(41), 30)} AS candidate FROM {docs}), {_rouge(1, 'r1')}, {_rouge(2, 'r2')} SELECT pmid, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2 FROM r1 JOIN r2 USING (pmid)",
+            t AS (SELECT string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS source_papers, count(*) AS num_papers, 'Topic: erth. Research findings: ' || string_agg(text, ' ' ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS abstract FROM h JOIN documents ON doc_id = vec_id WHERE text <> ''),
+            {_ranked("'erth'", 't')}
+            SELECT source_papers, num_papers::BIGINT AS num_papers, len({_words('abstract')})::BIGINT AS original_length, {summary} AS summary FROM q""",
+        "post_process": f"SELECT pmid, {_post('abstract')} AS summary FROM {docs}",
+        "rouge": f"WITH d AS ({DOCS}), l AS (SELECT pmid, abstract, {lead} AS led FROM d), q AS (SELECT *, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l), pairs AS (SELECT pmid, abstract AS reference, CASE WHEN length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 50 THEN '' ELSE {summary} END AS candidate FROM q), {_rouge(1, 'r1')}, {_rouge(2, 'r2')} SELECT pmid, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2 FROM r1 JOIN r2 USING (pmid)",
         "ranked_hits": f"WITH h AS (SELECT CAST(vec_id AS VARCHAR) AS pmid, {DOT.format(5)} AS s FROM embeddings WHERE vec_id <> 5) SELECT row_number() OVER (ORDER BY s DESC, pmid) AS rank, pmid, printf('%.3f', s) AS score FROM h ORDER BY s DESC, pmid LIMIT 5",
         "jsonl_roundtrip": f"{META} SELECT pmid, pub_date, journal, coalesce(array_to_string(authors, '|'), '') AS authors, coalesce(array_to_string(mesh_terms, '|'), '') AS mesh_terms FROM papers_meta",
         "xml_ingest": f"{META} SELECT pmid, 'Order no. ' || pmid AS title, 'DATE: ' || pub_date || ' Second part.' AS abstract, journal, left(pub_date, 7) AS pub_date, coalesce(array_to_string(list_transform(authors, lambda a: 'S ' || a), '|'), '') AS authors, coalesce(array_to_string(mesh_terms, '|'), '') AS mesh_terms FROM papers_meta",
-        "query_summary": f"""WITH d AS ({DOCS}), s AS (SELECT pmid, abstract, string_split(abstract, '. ') AS parts FROM d),
-            e AS (SELECT pmid, i, parts[i] AS part, list_distinct(regexp_extract_all(lower(parts[i]), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')) AS t FROM s, range(1, len(parts) + 1) r(i)),
-            w AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY len(list_intersect(t, ['the', 'and', 'attion', 'thanedble'])) / sqrt(greatest(len(t), 1)) DESC, i) AS place FROM e),
-            b AS (SELECT pmid, string_agg(part, '. ' ORDER BY i) || '.' AS best FROM w WHERE place <= 6 GROUP BY 1),
-            l AS (SELECT pmid, abstract, CASE WHEN len(parts) <= 6 THEN abstract ELSE best END AS led FROM s JOIN b USING (pmid)),
-            q AS (SELECT pmid, abstract, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l)
+        "query_summary": f"""WITH d AS ({DOCS}), {_ranked("'the', 'and', 'attion', 'thanedble'", 'd', 'pmid')}
             SELECT pmid, CASE WHEN length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 50 THEN '' ELSE {summary} END AS summary FROM q""",
         "union_all_domains": f"SELECT journal, count(*) AS papers FROM ({_DOMAINS}) GROUP BY 1",
         "union_distinct_domains": f"SELECT journal, count(DISTINCT doc_id) AS papers FROM ({_DOMAINS}) GROUP BY 1",

@@ -278,51 +278,28 @@ def query_summary(spark, d):
 
 
 def multi_doc_summary(spark, d):
-    """The papers most like vector 0, summarised together."""
-    hits = search.similar(views.paper_vectors(spark, d), "0", 5)
-    papers = search.with_payload(hits, views.papers_text(spark, d)).withColumn("abstract", T.first_words(F.col("abstract"), 40))
-    done = summaries.multi_paper_summary(papers, [-F.col("similarity_score"), F.col("pmid")], "erth")
-    return done.select(F.array_join("source_papers", ",").alias("source_papers"), F.col("num_papers").cast("long"), F.col("original_length").cast("long"))
-
-
-def post_process(spark, d):
-    return views.papers_text(spark, d).select("pmid", T.post_process(F.left("abstract", F.lit(400))).alias("summary"))
-
-
-def multi_doc_summary_whole(spark, d):
     """The papers most like vector 0, whole abstracts summarised together."""
     hits = search.similar(views.paper_vectors(spark, d), "0", 5)
     done = summaries.multi_paper_summary(search.with_payload(hits, views.papers_text(spark, d)), [-F.col("similarity_score"), F.col("pmid")], "erth")
     return done.select(F.array_join("source_papers", ",").alias("source_papers"), F.col("num_papers").cast("long"), F.col("original_length").cast("long"), "summary")
 
 
-def post_process_whole(spark, d):
+def post_process(spark, d):
     return views.papers_text(spark, d).select("pmid", T.post_process(F.col("abstract")).alias("summary"))
 
 
-def rouge(spark, d):
-    """Each document's first sentence against its first 60 words."""
-    rows = views.papers_text(spark, d).select("pmid", T.first_words(F.col("abstract"), 60).alias("reference"), T.first_words(F.split_part("abstract", F.lit("."), F.lit(1)), 30).alias("candidate"))
-    return rows.select("pmid", F.round(rouge_n(F.col("candidate"), F.col("reference")), 6).alias("rouge1"), F.round(rouge_n(F.col("candidate"), F.col("reference"), 2), 6).alias("rouge2"))
-
-
-def rouge_lcs(spark, d):
-    rows = views.papers_text(spark, d).select("pmid", T.first_words(F.col("abstract"), 60).alias("reference"), T.first_words(F.split_part("abstract", F.lit("."), F.lit(2)), 30).alias("candidate"))
-    return rows.select("pmid", F.round(rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
-
-
 def _summarised(spark, d):
     rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
     return summaries.add_summary(rows).select("pmid", F.col("summary").alias("candidate"), F.col("text_content").alias("reference"))
 
 
-def rouge_whole(spark, d):
+def rouge(spark, d):
     """Each document's summary against the whole document."""
     candidate, reference = F.col("candidate"), F.col("reference")
     return _summarised(spark, d).select("pmid", F.round(rouge_n(candidate, reference), 6).alias("rouge1"), F.round(rouge_n(candidate, reference, 2), 6).alias("rouge2"))
 
 
-def rouge_lcs_whole(spark, d):
+def rouge_lcs(spark, d):
     return _summarised(spark, d).select("pmid", F.round(rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
 
 
@@ -355,8 +332,9 @@ def xml_ingest(spark, d):
 
 
 def _domains(spark, d):
+    """Two domains that cover the table, rows without a source too, and overlap."""
     papers = views.papers_text(spark, d).select("pmid", "abstract", "journal")
-    return [papers.filter(F.col("journal").isin("src0", "src1", "src2")), papers.filter(F.col("journal").isin("src2", "src3"))]
+    return [papers.filter(F.coalesce(F.col("journal") < "src5", F.lit(True))), papers.filter(F.col("journal") >= "src3")]
 
 
 def union_all_domains(spark, d):
@@ -367,21 +345,6 @@ def union_distinct_domains(spark, d):
     return union_domains(_domains(spark, d), dedup=True).groupBy("journal").agg(F.count("*").alias("papers"))
 
 
-def _all_domains(spark, d):
-    """Three domains that cover the table, rows without a source too; the last overlaps the others."""
-    papers = views.papers_text(spark, d).select("pmid", "abstract", "journal")
-    place = F.pmod(F.xxhash64("journal"), F.lit(4))
-    return [papers.filter(place < 2), papers.filter(place >= 2), papers.filter(place.isin(1, 2))]
-
-
-def union_all_sources(spark, d):
-    return union_domains(_all_domains(spark, d)).groupBy("journal").agg(F.count("*").alias("papers"))
-
-
-def union_distinct_sources(spark, d):
-    return union_domains(_all_domains(spark, d), dedup=True).groupBy("journal").agg(F.count("*").alias("papers"))
-
-
 def dedup_by_text(spark, d):
     papers = views.papers_text(spark, d).select(F.col("pmid").cast("long").alias("id"), "pmid", "abstract")
     return dedup_papers(papers, "id", "abstract").select("pmid")
@@ -423,7 +386,7 @@ _NAMES = (
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
-    extractive_summary, query_summary, multi_doc_summary, multi_doc_summary_whole, post_process, post_process_whole, rouge, rouge_lcs, rouge_whole, rouge_lcs_whole, union_all_domains, union_distinct_domains, union_all_sources, union_distinct_sources, dedup_by_text, paper_lookup, embedding_stats, system_stats,
+    extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
     card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 

@@ -23,21 +23,3 @@ SUMMARY = T.StructType([*PROCESSED_PAPER.fields, *_struct(summary=_STRING, error
 VECTOR = _struct(pmid=_STRING, embedding=T.ArrayType(T.FloatType()))
 
 ASSIGNMENT = _struct(pmid=_STRING, topic_id=_INT, topic_probability=T.DoubleType())
-
-_NAMED = _struct(LastName=_STRING, ForeName=_STRING)
-_PART = _struct(_VALUE=_STRING, _Label=_STRING)
-_DATE = _struct(Year=_STRING, Month=_STRING, Day=_STRING, MedlineDate=_STRING)
-
-#: One article element of the XML interchange format.  The title is a string, so inline markup arrives as text.
-ARTICLE = _struct(
-    MedlineCitation=_struct(
-        PMID=_struct(_VALUE=_STRING, _Version=_STRING),
-        Article=_struct(
-            ArticleTitle=_STRING,
-            Abstract=_struct(AbstractText=T.ArrayType(_PART)),
-            AuthorList=_struct(Author=T.ArrayType(_NAMED)),
-            Journal=_struct(Title=_STRING, JournalIssue=_struct(PubDate=_DATE)),
-        ),
-        MeshHeadingList=_struct(MeshHeading=T.ArrayType(_struct(DescriptorName=_struct(_VALUE=_STRING, _UI=_STRING)))),
-    )
-)

@@ -1,56 +1,74 @@
-"""Article XML to paper rows."""
+"""Article XML to paper rows, by one parser for files, lines and the remote service."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import re
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
-from quire.functions.text import strip
-from quire.schemas import ARTICLE
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quire.schemas import RAW_PAPER
 
 ROW_TAG = "PubmedArticle"
+_START = re.compile(rf"<{ROW_TAG}[\s>]")
 
 
 def read_articles(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
-    """Files of articles at any depth.  XML that is not well-formed raises: tolerant modes would lose what follows it."""
-    raw = spark.read.format("xml").option("rowTag", ROW_TAG).option("mode", "FAILFAST").schema(ARTICLE).load(path)
-    return extract_papers(raw, compat)
+    """Files of articles at any depth, split after each article, so that many tasks read one file.  XML that is not well-formed raises: tolerance would lose what follows it."""
+    return _papers(spark.read.option("lineSep", f"</{ROW_TAG}>").text(path), True, compat)
 
 
 def read_article_lines(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     """One article a line; a line that is no XML is skipped, and no other."""
-    parsed = spark.read.text(path).select(F.from_xml("value", ARTICLE.simpleString(), {"rowTag": ROW_TAG, "mode": "PERMISSIVE"}).alias("a"))
-    return extract_papers(parsed.select("a.*"), compat)
+    return _papers(spark.read.text(path), False, compat)
+
+
+def _papers(records: DataFrame, split: bool, compat: bool) -> DataFrame:
+    schema = to_arrow_schema(RAW_PAPER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1_000):
+                rows = []
+                for text in batch.column(0).slice(i, 1_000).to_pylist():
+                    start = _START.search(text)
+                    if not start:
+                        continue
+                    try:
+                        row = paper_of(ET.fromstring(f"{text[start.start():]}</{ROW_TAG}>" if split else text[start.start() :]), compat)
+                    except ET.ParseError:
+                        if split:
+                            raise
+                        continue
+                    if row:
+                        rows.append(row)
+                columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return records.mapInArrow(run, RAW_PAPER)
+
+
+def paper_of(article: ET.Element, compat: bool = False) -> tuple | None:
+    """One element as a RAW_PAPER row; None without an id, or with neither title nor abstract.  An element's text is all of it without inline tags, or with compat what stands before the first."""
 
+    def text(element: ET.Element | None) -> str:
+        return "" if element is None else (element.text or "") if compat else "".join(element.itertext())
 
-def _text(value: Column, compat: bool) -> Column:
-    """An element's text: without its inline tags, or with compat what stands before the first."""
-    value = F.coalesce(value, F.lit(""))
-    return F.regexp_extract(value, "^[^<]*", 0) if compat else F.regexp_replace(value, "<[^>]*>", "")
+    pmid = article.findtext(".//PMID")
+    title = text(article.find(".//ArticleTitle"))
+    parts = [(p.get("Label"), text(p)) for p in article.iter("AbstractText")]
+    abstract = " ".join(f"{label}: {said}" if label else said for label, said in parts if said)
+    if not pmid or not (title or abstract):
+        return None
+    authors = [f"{a.findtext('ForeName')} {a.findtext('LastName')}" for a in article.iter("Author") if a.findtext("ForeName") and a.findtext("LastName")]
+    terms = [said for d in article.iterfind(".//MeshHeading/DescriptorName") if (said := text(d))]
+    return pmid, title, abstract, authors, text(article.find(".//Journal/Title")), pub_date(article.find(".//PubDate")), terms, f"{title}. {abstract}".strip()
 
 
-def pub_date(date: Column) -> Column:
+def pub_date(date: ET.Element | None) -> str:
     """Year[-Month[-Day]], else the first ten characters of a range, else 'Unknown'."""
-    day = F.when(date["Month"].isNotNull(), date["Day"])
-    return F.when(date["Year"].isNotNull(), F.concat_ws("-", date["Year"], date["Month"], day)).when(date["MedlineDate"].isNotNull(), F.left(date["MedlineDate"], F.lit(10))).otherwise("Unknown")
-
-
-def extract_papers(articles: DataFrame, compat: bool = False) -> DataFrame:
-    """Rows without an id, and rows with neither title nor abstract, go."""
-    c, a = F.col("MedlineCitation"), F.col("MedlineCitation.Article")
-    none = F.array().cast("array<string>")
-    part = lambda p: F.when(F.coalesce(p["_Label"], F.lit("")) != "", F.concat(p["_Label"], F.lit(": "), p["_VALUE"])).otherwise(p["_VALUE"])
-    said = F.filter(a["Abstract"]["AbstractText"], lambda p: F.coalesce(p["_VALUE"], F.lit("")) != "")
-    named = F.filter(a["AuthorList"]["Author"], lambda p: p["LastName"].isNotNull() & p["ForeName"].isNotNull())
-    terms = F.filter(F.transform(c["MeshHeadingList"]["MeshHeading"], lambda m: m["DescriptorName"]["_VALUE"]), lambda t: F.coalesce(t, F.lit("")) != "")
-    rows = articles.select(
-        c["PMID"]["_VALUE"].alias("pmid"),
-        _text(a["ArticleTitle"], compat).alias("title"),
-        F.coalesce(F.array_join(F.transform(said, part), " "), F.lit("")).alias("abstract"),
-        F.coalesce(F.transform(named, lambda p: F.concat_ws(" ", p["ForeName"], p["LastName"])), none).alias("authors"),
-        F.coalesce(a["Journal"]["Title"], F.lit("")).alias("journal"),
-        pub_date(a["Journal"]["JournalIssue"]["PubDate"]).alias("pub_date"),
-        F.coalesce(terms, none).alias("mesh_terms"),
-    )
-    kept = rows.filter(F.col("pmid").isNotNull() & ~((F.col("title") == "") & (F.col("abstract") == "")))
-    return kept.withColumn("text_content", strip(F.concat("title", F.lit(". "), "abstract")))
+    year, month, day, span = (date.findtext(k) if date is not None else None for k in ("Year", "Month", "Day", "MedlineDate"))
+    return "-".join(x for x in (year, month, day if month else None) if x) if year else span[:10] if span else "Unknown"

@@ -1,8 +1,8 @@
 """A Python data source for a remote article service: one request finds ids, batches of ids are fetched in parallel.
 
 Options: url (of the service), term, date_from, date_to (YYYY/MM/DD), max_results, batch_size, pause_s, email, api_key.
-The service has two endpoints below url: esearch.fcgi and efetch.fcgi.  Date ranges and the limit are pushed to it, and
-so are conditions on pub_date.
+The service has two endpoints below url: esearch.fcgi and efetch.fcgi.  The date range and the limit of the options go to
+it.  Conditions on pub_date don't: the service ranges by day, and the column holds text such as 'Unknown' or '2019 Jan-F'.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quire.schemas import RAW_PAPER
+from quire.sources.articles import ROW_TAG, paper_of
 
 
 @dataclass
@@ -41,12 +42,6 @@ class ArticleReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (GreaterThanOrEqual, LessThanOrEqual)) and f.attribute == ("pub_date",):
-                self.options["date_from" if isinstance(f, GreaterThanOrEqual) else "date_to"] = str(f.value).replace("-", "/")
-            yield f  # the service's range is by day and textual dates aren't; Spark checks again
-
     def _get(self, endpoint: str, **query: str) -> bytes:
         own = {k: self.options[k] for k in ("email", "api_key") if self.options.get(k)}
         with urllib.request.urlopen(f"{self.options['url'].rstrip('/')}/{endpoint}?{urllib.parse.urlencode(query | own)}", timeout=60) as r:
@@ -65,33 +60,12 @@ class ArticleReader(DataSourceReader):
         if not partition.ids:
             return
         root = ET.fromstring(self._get("efetch.fcgi", db="pubmed", id=",".join(partition.ids), retmode="xml"))
-        for article in root.iter("PubmedArticle"):
+        for article in root.iter(ROW_TAG):
             row = paper_of(article)
             if row:
                 yield row
         time.sleep(float(self.options.get("pause_s", "0.1")))
 
 
-def _whole(element) -> str:
-    return "".join(element.itertext()) if element is not None else ""
-
-
-def paper_of(article) -> tuple | None:
-    """One element as a RAW_PAPER row; None without an id, or with neither title nor abstract."""
-    pmid = article.findtext(".//PMID")
-    title = _whole(article.find(".//ArticleTitle"))
-    parts = [(p.get("Label"), _whole(p)) for p in article.iter("AbstractText")]
-    abstract = " ".join(f"{label}: {text}" if label else text for label, text in parts if text)
-    if not pmid or not (title or abstract):
-        return None
-    authors = [f"{a.findtext('ForeName')} {a.findtext('LastName')}" for a in article.iter("Author") if a.findtext("ForeName") and a.findtext("LastName")]
-    terms = [d.text for h in article.iter("MeshHeading") for d in h.findall("DescriptorName") if d.text]
-    date = article.find(".//PubDate")
-    year, month, day, span = (date.findtext(k) if date is not None else None for k in ("Year", "Month", "Day", "MedlineDate"))
-    when = "-".join(x for x in (year, month, day if month else None) if x) if year else span[:10] if span else "Unknown"
-    return pmid, title, abstract, authors, article.findtext(".//Journal/Title") or "", when, terms, f"{title}. {abstract}".strip()
-
-
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArticleSource)

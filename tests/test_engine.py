@@ -55,6 +55,18 @@ def test_xml(spark, tmp_path):
     (tmp_path / "bad.xml").write_text("<Set>" + ARTICLES[0] + "<PubmedArticle><MedlineCitation></PubmedArticle>" + ARTICLES[3] + "</Set>")
     with pytest.raises(Exception):
         articles.read_articles(spark, str(tmp_path / "bad.xml")).collect()
+    marked = [
+        article("7", title="A &lt; B <i>b</i> &amp; c", parts=(("", "Level of <i>p53</i> rose in all cells."), ("END", "x<sub>2</sub> &gt; 1"))).replace("<Title>J</Title>", "<Title>J &amp; <i>K</i></Title>"),
+        article("8", title="<b>All</b> marked", parts=(("", "<i>p53</i> rose."),)),
+    ]
+    (tmp_path / "marked.xml").write_text("<Set>\n" + "\n".join(marked) + "\n</Set>\n")
+    (tmp_path / "marked.txt").write_text("\n".join(marked))
+    for read, name in ((articles.read_articles, "marked.xml"), (articles.read_article_lines, "marked.txt")):
+        rows = {r["pmid"]: r for r in read(spark, str(tmp_path / name)).collect()}
+        assert seen(read(spark, str(tmp_path / name)).filter("pmid = 7"))["7"][:2] == ("A < B b & c", "Level of p53 rose in all cells. END: x2 > 1")
+        assert rows["7"]["journal"] == "J & K" and rows["8"]["title"] == "All marked" and rows["8"]["abstract"] == "p53 rose."
+        first = read(spark, str(tmp_path / name), compat=True).filter("pmid = 7").first()
+        assert (first["title"], first["abstract"], first["journal"]) == ("A < B ", "Level of  END: x", "J & ")
     (tmp_path / "lines.txt").write_text("\n".join([ARTICLES[0], "<PubmedArticle><broken>", ARTICLES[3]]))
     assert set(seen(articles.read_article_lines(spark, str(tmp_path / "lines.txt")))) == {"001", "4"}
 
@@ -82,8 +94,11 @@ def test_remote(spark):
     remote.register(spark)
     df = spark.read.format("articles").option("url", f"http://127.0.0.1:{server.server_port}").option("term", "x").option("batch_size", "2").option("max_results", "5").option("date_from", "2018/01/01").option("date_to", "2020/01/01").option("pause_s", "0").load()
     assert sorted(r["pmid"] for r in df.collect()) == list("01234")
+    first = list(asked)
+    assert df.filter("pub_date >= '2018'").count() == 5
     server.shutdown()
-    assert sorted(q["id"][0] for p, q in asked if "efetch" in p) == ["0,1", "2,3", "4"]
+    assert {q["mindate"][0] for p, q in asked if "esearch" in p} == {"2018/01/01"}
+    assert sorted(q["id"][0] for p, q in first if "efetch" in p) == ["0,1", "2,3", "4"]
     assert any(q.get("mindate") == ["2018/01/01"] for p, q in asked if "esearch" in p)
 
 

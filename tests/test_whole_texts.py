@@ -21,8 +21,8 @@ def test_rouge_of_whole_documents(spark, sf, texts):
     tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
     summaries = {r["pmid"]: tokens(r["summary"]) for r in queries.extractive_summary(spark, sf).collect()}
     assert max(len(tokens(t)) for t in texts.values()) > 1000
-    n_rouge = {r["pmid"]: r for r in queries.rouge_whole(spark, sf).collect()}
-    lcs = {r["pmid"]: r["rouge_l"] for r in queries.rouge_lcs_whole(spark, sf).collect()}
+    n_rouge = {r["pmid"]: r for r in queries.rouge(spark, sf).collect()}
+    lcs = {r["pmid"]: r["rouge_l"] for r in queries.rouge_lcs(spark, sf).collect()}
     assert n_rouge.keys() == lcs.keys() == texts.keys()
     for pmid, text in texts.items():
         a, b = summaries[pmid], tokens(text)
@@ -46,13 +46,13 @@ def _post(text):
 
 
 def test_post_process_of_whole_texts(spark, sf, texts):
-    got = {r["pmid"]: r["summary"] for r in queries.post_process_whole(spark, sf).collect()}
+    got = {r["pmid"]: r["summary"] for r in queries.post_process(spark, sf).collect()}
     assert got == {pmid: _post(t) for pmid, t in texts.items()}
     assert max(map(len, got.values())) > 400
 
 
 def test_multi_doc_summary_joins_whole_texts(spark, sf, texts):
-    row = queries.multi_doc_summary_whole(spark, sf).first()
+    row = queries.multi_doc_summary(spark, sf).first()
     papers = row["source_papers"].split(",")
     assert row["original_length"] == len(" ".join(["Topic: erth. Research findings:", *(texts[p] for p in papers)]).split()) > 40 * len(papers)
     assert row["num_papers"] == len(papers) > 0 and row["summary"]
@@ -60,6 +60,6 @@ def test_multi_doc_summary_joins_whole_texts(spark, sf, texts):
 
 def test_unions_cover_the_table(spark, sf):
     table = Counter(r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").collect())
-    assert {r["journal"]: r["papers"] for r in queries.union_distinct_sources(spark, sf).collect()} == table
-    every = {r["journal"]: r["papers"] for r in queries.union_all_sources(spark, sf).collect()}
+    assert {r["journal"]: r["papers"] for r in queries.union_distinct_domains(spark, sf).collect()} == table
+    every = {r["journal"]: r["papers"] for r in queries.union_all_domains(spark, sf).collect()}
     assert every.keys() == table.keys() and all(every[k] in (n, 2 * n) for k, n in table.items()) and every != table
