@@ -201,25 +201,65 @@ OTHERS = [f"{w} sits by the road with one {w} and waits for a {w}." for w in ("o
 PASSAGE = " ".join(SENTENCES[:6])
 
 
+def plain_clauses(text):
+    """Up to a stop, comma or colon before a blank, with the blanks; up to the end of a line, with the empty lines after it."""
+    out, start, i = [], 0, 0
+    while i < len(text):
+        j = i + 1
+        if text[i] == "\n":
+            while j < len(text) and text[j] == "\n":
+                j += 1
+        elif text[i] in ".!?,;:" and text[j : j + 1] in (" ", "\t"):
+            while text[j : j + 1] in (" ", "\t"):
+                j += 1
+        else:
+            i = j
+            continue
+        out.append(text[start:j])
+        start = i = j
+    return out + [text[start:]] * (start < len(text))
+
+
+def plain_units(text):
+    """(start, end, words, normal form) of units that aren't blank: a clause of six words ends one, as does a line; of two shorter ones in a row the second may."""
+    out, start, at, before = [], 0, 0, None
+    for c in plain_clauses(text):
+        words = c.split()
+        at += len(c)
+        whole = len(words) >= 6 or c.endswith("\n")
+        poor = bool(before) and not whole and xxhash.xxh3_64_intdigest(" ".join(before + words).lower().encode()) % 3 == 0
+        before = None if whole else words
+        if whole or poor or at == len(text):
+            unit = text[start:at]
+            if unit.split():
+                out.append((start, at, len(unit.split()), " ".join(unit.lower().split())))
+            start = at
+    return out
+
+
 def passages_left(rows, min_words=25):
-    """The operator's rule by brute force, a document at a time in order."""
+    """The operator's rule by brute force: later units go where they stand together, all of them or those of six words or more, with min_words words."""
+    name = lambda i: -(1 << 63) if i is None else i
+    units = [plain_units(t or "") for _, t in rows]
     first = {}
-    units = [[(a, b, n, " ".join(t[a:b].lower().split())) for a, b, n in substring_dedup.split_units(t) if n >= 6] for _, t in rows]
-    for (i, _), own in sorted(zip(rows, units, strict=True), key=lambda r: r[0][0]):
+    for (i, _), own in zip(rows, units, strict=True):
         for k, u in enumerate(own):
-            first.setdefault(u[3], (i, k))
+            first[u[3]] = min(first.get(u[3], (name(i), k)), (name(i), k))
     out = []
     for (i, t), own in zip(rows, units, strict=True):
-        later = [first[u[3]] != (i, k) for k, u in enumerate(own)]
-        gone, k = [], 0
-        while k < len(own):
-            j = k
-            while j < len(own) and later[j]:
-                j += 1
-            if j > k and sum(u[2] for u in own[k:j]) >= min_words:
-                gone += [(u[0], u[1], 0) for u in own[k:j]]
-            k = max(j, k + 1)
-        out.append((i, substring_dedup.cut(t, gone)))
+        later = [first[u[3]] != (name(i), k) for k, u in enumerate(own)]
+        gone = set()
+        for among in (list(range(len(own))), [k for k, u in enumerate(own) if u[2] >= 6]):
+            runs = [[]]
+            for k in among:
+                runs[-1].append(k) if later[k] else runs.append([])
+            for run in runs:
+                if sum(own[k][2] for k in run) >= min_words:
+                    gone.update(run)
+        kept = list(t or "")
+        for k in gone:
+            kept[own[k][0] : own[k][1]] = [""] * (own[k][1] - own[k][0])
+        out.append((i, "".join(kept)))
     return out
 
 
@@ -235,6 +275,21 @@ def test_passages_against_brute_force(spark):
     assert "".join(dict(rows)[101][a:b] for a, b in spans) in PASSAGE and got[101]["removed"][0]["kept_doc_id"] == 100
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .,!\n\té", max_size=90))
+def test_units_by_definition(text):
+    assert [(a, b, n) for a, b, n, _ in plain_units(text)] == [(a, b, n) for a, b, n, _ in substring_dedup.hashed_units(text)]
+
+
+def test_verse_and_short_clauses(spark):
+    rng = random.Random(12)
+    verse = "\n".join(f"{rng.choice('abcdef')}{rng.randrange(99)} goes to {rng.randrange(99)}" for _ in range(14)) + "\n"
+    commas = " ".join(f"one {rng.randrange(999)}, two {rng.randrange(999)}; three," for _ in range(14))
+    rows = [(1, f"Its own start of the text.\n{verse}"), (2, f"{verse}And another end of it all."), (3, f"A line that begins with it, {commas} and more."), (4, f"Something else here; {commas} and less."), (None, f"{verse}")]
+    got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.dedup_passages(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted(passages_left(rows), key=repr) and got != sorted(rows, key=repr)
+
+
 def test_passages_odd_rows(spark):
     rows = [(None, PASSAGE), (1, PASSAGE), (1, PASSAGE), (2, None), (3, "")]
     got = sorted((repr(r["doc_id"]), r["text"]) for r in substring_dedup.dedup_passages(frame(spark, rows)).collect())
