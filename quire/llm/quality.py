@@ -10,7 +10,9 @@ The model is trained on the driver, on features of at most ``TRAIN_ROWS`` labell
 the smallest id hash.  Which rows may train is a filter of the caller.  With no labelled rows, or one
 class only, every score is that class's share (0.5 if there are none).
 
-Null and empty texts are scored like any other, as are repeated rows.
+Null and empty texts are scored like any other, as are repeated rows and null ids (which train nothing).  An id with
+both labels trains nothing; of rows of one id the least features train.  Extra columns are left alone.  An empty
+table gives no rows, and trains a model of no labels.
 """
 
 from __future__ import annotations
@@ -200,10 +202,11 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, label_col: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """labels (doc_id, label_col); may_train: a condition on doc_id."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     chosen = hash_sample(own.filter(may_train) if may_train is not None else own, "doc_id", rows)
-    texts = _plain(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # at most ``rows`` ids
+    texts = _plain(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most ``rows`` ids
     label = {r["doc_id"]: r["label"] for r in chosen.collect()}
-    found = sorted((r["doc_id"], r["features"]) for r in with_features(texts).limit(2 * rows).toLocalIterator())
+    found = sorted((r["doc_id"], r["features"]) for r in with_features(texts).groupBy("doc_id").agg(F.min("features").alias("features")).collect())  # at most ``rows``
     x = np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))
     return train(x, np.array([label[i] for i, _ in found], np.float64))
 

@@ -37,6 +37,35 @@ def test_quality_odd_rows(spark):
     assert quality.score_documents(docs.limit(0), one).count() == 0
 
 
+def test_scores_are_sums_of_cells(spark):
+    """Each score again, a cell at a time, from the model's tables."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels, ~quality.held_out(F.col("doc_id")))
+    assert model.pairs
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    for r in docs.collect():
+        x = quality.features(r["text"])
+        place = [sum(value >= edge for edge in edges) for value, edges in zip(x, model.edges, strict=True)]
+        margin = model.base + sum(table[k] for table, k in zip(model.tables, place, strict=True))
+        for i, j, table in model.pairs:
+            margin += table[place[i] * 12 // max(12, len(model.tables[i])), place[j] * 12 // max(12, len(model.tables[j]))]
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-margin))) < 1e-9
+
+
+def test_labels_that_conflict_or_repeat(spark):
+    rows = [(i, "Good words stand here. " * 9 if i % 2 else "x$ " * 40, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    other = spark.createDataFrame([(1, "zzz"), (1, "another text"), (None, "none")], "doc_id long, text string")
+    more = spark.createDataFrame([(1000, 0), (1000, 1), (3, 1), (None, 0), (5, 7)], "doc_id long, quality int")
+    plain = quality.fit(docs, labels)
+    again = quality.fit(docs.unionByName(docs).unionByName(spark.createDataFrame([(1000, "both")], "doc_id long, text string")), labels.unionByName(more))
+    assert all((a == b).all() for a, b in zip(plain.tables, again.tables, strict=True))
+    one, two = (quality.fit(docs.unionByName(other).repartition(n), labels) for n in (1, 5))
+    assert all((a == b).all() for a, b in zip(one.tables, two.tables, strict=True))
+
+
 def test_interactions_are_learnt():
     rng = np.random.default_rng(1)
     x = rng.random((3000, len(quality.FEATURES)))
