@@ -4,11 +4,13 @@ Texts are cut into pieces by arrays (``segment``); distinct pieces, bucketed by
 padded numpy matrices where every row merges its leftmost minimum-rank pair each round, with hashed
 pair lookup and compaction (``matrix_bpe``).  Decoding gathers the tokens' bytes.
 
-Null and empty texts give no ids.  Repeated rows and ids are encoded alike, each for itself.
+Null and empty texts give no ids.  Repeated rows and ids are encoded alike, each for itself; null ids stay null.
+Extra columns are left alone.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,17 +41,16 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = rank_encoder(vocabulary_path, pattern)
-        table, out, keys = TokenBytes(tokens), Rows(schema), []
+        table, out, keys = TokenBytes(tokens), Rows(schema), deque()
 
         def texts():
             for key, text in pairs(batches):
                 keys.append(key)
                 yield text
 
-        for i, ids in enumerate(encoder.encode(texts())):
+        for ids in encoder.encode(texts()):
             raw, decoded = ids.astype("<u4").tobytes(), table.decode(ids)
-            yield from out.add((keys[i], raw, decoded), len(raw) + len(decoded) + 64)
-            keys[i] = None
+            yield from out.add((keys.popleft(), raw, decoded), len(raw) + len(decoded) + 64)
         yield out.flush()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -9,14 +9,15 @@
    patterns for each length, however many documents there are.
 4. A piece takes its slot by its rank within its length.
 
-Null texts count as empty; an empty text is one piece with the end id alone.  Repeated rows are
-packed as often as they occur.  An empty table gives no rows.
+Null texts count as empty; an empty text is one piece with the end id alone.  Texts of any length are cut, none is
+dropped.  Repeated rows are packed as often as they occur; null ids stay null.  Extra columns are left alone.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, mode: str, end_id: int, cap
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("task_rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, keys, task = Rows(schema), [], TaskContext.get().partitionId()
+        out, keys, task = Rows(schema), deque(), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
 
         def texts():
@@ -102,13 +103,13 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, mode: str, end_id: int, cap
                 keys.append(key)
                 yield text
 
-        for i, ids in enumerate(library_encoder(tokenizer_path, mode).encode(texts())):
+        for ids in library_encoder(tokenizer_path, mode).encode(texts()):
+            key = keys.popleft()
             ids = np.append(ids, end_id).astype("<u4")
             ends = [*range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for piece, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                yield from out.add((keys[i], piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, seen[b - a]))
+                yield from out.add((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, seen[b - a]))
                 seen[b - a] += 1
-            keys[i] = None
         yield out.flush()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)

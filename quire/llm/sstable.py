@@ -10,9 +10,10 @@ A key is the document id as eight big-endian bytes with the sign bit flipped, so
 numeric order; a null id is the empty key and comes first.  A value is one byte for the width of an
 id (2 or 4), then the ids, little-endian.
 
-Shards are ranges of ids.  A task writes under a name of its own attempt and reports it in a manifest;
-a file of a lost attempt is in no manifest.  Null texts count as empty (the end id alone); repeated ids
-stay apart, ordered by their values.  An empty table gives no shard and no rows.
+Shards are ranges of (id, hash of the text), so rows of one id are no hot group.  A task encodes and writes its
+range under a name of its own attempt and reports it in a manifest; a file of a lost attempt is in no manifest.
+Null texts count as empty (the end id alone); repeated ids stay apart, ordered by the hashes of their texts.  Extra
+columns are left alone.  An empty table gives no shard and no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,53 +219,27 @@ class Table:
 
 def write_tables(docs: DataFrame, tokenizer_path: str, folder: str, mode: str = "clip", end_id: int = 2, docs_per_shard: int = DOCS_PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards below ``folder``; returns their manifest: shard int, path string, docs long, ids long."""
-    plain = id_and_text(docs, id_col, text_col)
+    plain = id_and_text(docs, id_col, text_col).withColumn("place", F.xxhash64("text"))
     shards = max(1, min(MAX_SHARDS, -(-plain.count() // docs_per_shard)))
-    bounds = np.array([], np.int64)
-    if shards > 1:
-        cut = plain.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards).alias("cut")).first()["cut"]
-        bounds = np.unique(np.array(cut or [], np.int64))
-    coded_schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("value", pa.binary())])
     manifest_schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, keys = Rows(coded_schema), []
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, keys, writer = TaskContext.get(), deque(), None
 
-        def texts():
+        def texts() -> Iterator[str]:
             for key, text in pairs(batches):
                 keys.append(key)
                 yield text
 
-        for i, ids in enumerate(library_encoder(tokenizer_path, mode).encode(texts())):
-            value = pack_ids(np.append(ids, np.uint32(end_id)))
-            shard = 0 if keys[i] is None else int(np.searchsorted(bounds, keys[i], side="left"))
-            yield from out.add((shard, keys[i], value), len(value) + 64)
-            keys[i] = None
-        yield out.flush()
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, attempt, writer, held = Rows(manifest_schema), TaskContext.get().taskAttemptId(), None, None
-
-        def done():
-            writer.close()
-            return out.add((held, path, writer.entries, writer.ids))
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                for shard, doc_id, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if shard != held:
-                        if writer:
-                            yield from done()
-                        held, path = shard, f"{folder}/shard-{shard:06d}-{attempt}.sst"
-                        writer = Writer(path)
-                    writer.add(key_of(doc_id), value)
+        path = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.sst"
+        for ids in library_encoder(tokenizer_path, mode).encode(texts()):
+            writer = writer or Writer(path)
+            writer.add(key_of(keys.popleft()), pack_ids(np.append(ids, np.uint32(end_id))))
         if writer:
-            yield from done()
-        yield out.flush()
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((context.partitionId(), path, writer.entries, writer.ids), manifest_schema, strict=True)], schema=manifest_schema)
 
-    coded = plain.mapInArrow(encode, "shard int, doc_id long, value binary")
-    ordered = coded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "value")
+    ordered = plain.repartitionByRange(shards, "doc_id", "place").sortWithinPartitions("doc_id", "place", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(write, "shard int, path string, docs long, ids long"), "manifest")
 
 

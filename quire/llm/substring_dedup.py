@@ -15,7 +15,8 @@ anywhere else, from its second clause on.  (Whole lines as units would miss such
 
 Offsets are code points of the original text.  Null and empty texts have no units and stay as they are
 (null becomes empty).  Rows of one doc_id are one document: equal units at one place in them have one
-rank.  A null id is the smallest.  An empty table gives no rows.
+rank.  A null id counts as the smallest long.  Extra columns are left alone.  An empty table gives no
+rows.
 """
 
 from __future__ import annotations

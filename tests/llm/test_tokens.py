@@ -106,6 +106,7 @@ def test_op7(spark, sf):
         ids = own.encode_ordinary(text)
         assert tuple(got.loc[i]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     odd = byte_bpe.encode_documents(odd_documents(spark), vocabulary("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+    assert byte_bpe.encode_documents(odd_documents(spark).limit(0), vocabulary("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
     assert len(odd) == len(ODD) + 3 and {bytes(r["decoded"]).decode() for r in odd} == {*((t or "") for t in ODD), "no id", "same id"}
 
 
@@ -199,6 +200,21 @@ def test_tables(spark, tmp_path):
     assert sstable.read_tables(empty).count() == 0
 
 
+def test_rows_of_one_id_are_many_shards(spark, tmp_path):
+    rows = [(7, f"text number {i} of one id") for i in range(200)] + [(1, "first"), (9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = sstable.write_tables(docs, vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/t", docs_per_shard=20)
+    assert max(r["docs"] for r in manifest.collect()) < 100
+    back = sstable.read_tables(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == [1, *[7] * 200, 9]
+    at = 0
+    for r in back:
+        assert r["start"] == at
+        at += len(r["ids"]) // 4
+    tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert sorted(bytes(r["ids"]) for r in back) == sorted(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.dictionaries(st.integers(-(1 << 63), (1 << 63) - 1), st.lists(st.integers(0, 1 << 31), max_size=5), max_size=60))
 def test_table_round_trip(entries):
