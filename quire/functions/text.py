@@ -37,8 +37,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def _clean_decomposed(text: Column) -> Column:
-    out = collapse(text)
+#: What any of these rules needs; a text without it has only its white space to clean.
+MARKS = r"[\[(©&]|doi:"
+
+
+def _clean_decomposed(text: Column, collapsed: bool = False) -> Column:
+    plain = text if collapsed else collapse(text)
+    return F.when(text.rlike(MARKS), _without_marks(plain)).otherwise(F.trim(plain))
+
+
+def _without_marks(out: Column) -> Column:
     for pattern in (CITATIONS, NUMBERS, COPYRIGHT, DOI):
         out = F.regexp_replace(out, pattern, "")
     for old, new in ENTITIES:
@@ -63,7 +71,7 @@ def word_count(text: Column) -> Column:
 def split_sentences(text: Column, min_chars: int = 20) -> Column:
     """Sentences longer than min_chars, each cleaned; text is decomposed already where clean_text gave it."""
     parts = F.split(collapse(F.coalesce(text, F.lit(""))), SENTENCE_END)
-    return F.filter(F.transform(parts, _clean_decomposed), lambda s: F.char_length(s) > min_chars)
+    return F.filter(F.transform(parts, lambda s: _clean_decomposed(s, True)), lambda s: F.char_length(s) > min_chars)
 
 
 def chunk_sentences(sentences: Column, max_words: int = 512) -> Column:

@@ -47,13 +47,14 @@ def term_year_counts(papers: DataFrame) -> DataFrame:
 
 
 def term_growth(papers: DataFrame, least_recent: int = 3) -> DataFrame:
-    """Terms of two years or more: the last year's count against the mean of the earlier ones."""
+    """Terms of two years or more: the last year's count against the mean of the earlier ones; their counts over all papers, undated ones too."""
     by_term = Window.partitionBy("term")
-    earlier = by_term.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    rows = term_year_counts(papers).select("term", "count", F.avg("count").over(earlier).alias("earlier"), F.row_number().over(by_term.orderBy(F.desc("year"))).alias("back"))
-    last = rows.filter((F.col("back") == 1) & F.col("earlier").isNotNull() & (F.col("count") >= least_recent))
-    growth = last.select("term", ((F.col("count") - F.col("earlier")) / F.greatest("earlier", F.lit(1.0))).alias("growth_rate"), F.col("count").alias("recent_count"))
-    return growth.join(term_histogram(papers).withColumnRenamed("count", "total_count"), "term")
+    counts = exploded(papers, "mesh_terms", "term").groupBy("term", dates.year(F.col("pub_date")).alias("year")).agg(F.count("*").alias("count"))
+    earlier = by_term.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # years in order, none first
+    dated = F.when(F.col("year").isNotNull(), F.col("count"))
+    rows = counts.select("term", "year", "count", F.avg(dated).over(earlier).alias("earlier"), F.max("year").over(by_term).alias("last"), F.sum("count").over(by_term).alias("total_count"))
+    last = rows.filter((F.col("year") == F.col("last")) & F.col("earlier").isNotNull() & (F.col("count") >= least_recent))
+    return last.select("term", ((F.col("count") - F.col("earlier")) / F.greatest("earlier", F.lit(1.0))).alias("growth_rate"), F.col("count").alias("recent_count"), "total_count")
 
 
 def growing_terms(papers: DataFrame, k: int = 10) -> DataFrame:
@@ -67,16 +68,17 @@ def author_counts(papers: DataFrame, k: int | None = None) -> DataFrame:
 
 def collaboration(papers: DataFrame) -> DataFrame:
     """One row of team sizes over papers with an author; no row if there are none."""
-    n = F.size("authors")
-    teams = papers.filter(n > 0).agg(
-        F.avg(n).alias("avg_authors_per_paper"),
-        F.max(n).alias("max_authors_per_paper"),
-        F.count_if(n == 1).alias("single_author"),
-        F.count_if(n.between(2, 5)).alias("small_team"),
-        F.count_if(n > 5).alias("large_team"),
+    each = papers.select(F.size("authors").alias("n"), F.posexplode("authors").alias("i", "author"))
+    team = F.when(F.col("i") == 0, F.col("n"))  # once a paper
+    found = each.agg(
+        F.avg(team).alias("avg_authors_per_paper"),
+        F.max(team).alias("max_authors_per_paper"),
+        F.count_if(team == 1).alias("single_author"),
+        F.count_if(team.between(2, 5)).alias("small_team"),
+        F.count_if(team > 5).alias("large_team"),
+        F.count_distinct("author").alias("total_unique_authors"),
     )
-    names = exploded(papers, "authors", "author").agg(F.count_distinct("author").alias("total_unique_authors"))
-    return teams.filter("max_authors_per_paper is not null").crossJoin(names)  # one row each
+    return found.filter("max_authors_per_paper is not null")
 
 
 def team_sizes(papers: DataFrame) -> DataFrame:
