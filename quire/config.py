@@ -26,6 +26,11 @@ class EngineConfig:
     min_topic_size: int = 10
     embedding_dim: int = 256
     num_topics: int = 10
+    topic_runs: int = 10
+    topic_components: int = 5
+    vocabulary_size: int = 1_000
+    keyword_candidates: int = 100
+    keywords: int = 10
     seed: int = 42
 
     @classmethod

@@ -51,18 +51,24 @@ class Engine:
         return self.ingest(*(self.spark.read.format("articles").options(**own, term=d).load() for d in c.domains), refresh=refresh)
 
     def run_pipeline(self, refresh: bool = False) -> DataFrame:
-        """Preprocess, embed, summarise, and fit topics over the ingested papers; the row counts of the stages."""
+        """Preprocess, embed, summarise, and fit topics over the ingested papers; the stages and whether each is there."""
         t = lambda name, build: tables.materialise(self.spark, self._path(name), build, refresh)
         raw = self._table("raw_papers")
-        papers = t("processed_papers", lambda: prepare.process(prepare.validate(raw, self.config), self.config))
+        if refresh or not tables._exists(self.spark, self._path("processed_papers")):
+            done, counts = prepare.process_valid(raw, self.config)
+            tables.write_parquet(done, self._path("processed_papers"))
+            seen, kept = counts.get["seen"], counts.get["processed"]
+            tables.write_parquet(self.spark.createDataFrame([(seen, kept, seen - kept)], "seen long, processed long, skipped long"), self._path("processing"))
+        papers = self.papers()
         if refresh or not tables._exists(self.spark, self._path("embedder")):
             search.Embedder(self.config).fit(papers).model.write().overwrite().save(self._path("embedder"))
         vectors = t("embeddings", lambda: self.embedder().embed(papers))
         t("summaries", lambda: summaries.summarize_papers(papers, config=self.config))
         if refresh or not tables._exists(self.spark, self._path("topic_model")):
-            topics.fit_kmeans(vectors, self.config.num_topics, self.config.seed).write().overwrite().save(self._path("topic_model"))
+            c = self.config
+            topics.fit_kmeans(vectors, c.num_topics, c.seed, c.topic_runs, reduce_to=min(c.topic_components, c.embedding_dim)).write().overwrite().save(self._path("topic_model"))
         assigned = t("topic_assignments", lambda: topics.assign_topics(vectors, PipelineModel.load(self._path("topic_model")), self.config.min_topic_size))
-        t("topic_keywords", lambda: topics.ctfidf(papers.join(assigned, "pmid")))
+        t("topic_keywords", lambda: topics.topic_keywords(papers, vectors, assigned, self.embedder().embed, self.config))
         return self.health()
 
     def health(self) -> DataFrame:
@@ -72,6 +78,10 @@ class Engine:
 
     # tables
 
+    def processing(self) -> DataFrame:
+        """One row: papers seen, processed and skipped."""
+        return self._table("processing")
+
     def papers(self) -> DataFrame:
         return self._table("processed_papers")
 

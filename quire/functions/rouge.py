@@ -11,9 +11,20 @@ from pyspark.sql import types as T
 from quire.functions.text import words
 
 
-def rouge_tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(tokens):
+    """Tokens of over three letters as their stems."""
+    import pyarrow as pa
+
+    from quire.functions.stem import stem
+
+    return pa.array([None if x is None else [stem(w) if len(w) > 3 else w for w in x] for x in tokens.to_pylist()], pa.list_(pa.string()))
+
+
+def rouge_tokens(text: Column, stemmed: bool = False) -> Column:
+    """Lower-case runs of ASCII letters and digits, or their stems."""
+    found = words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    return stems(found) if stemmed else found
 
 
 def _f(overlap: Column, a: Column, b: Column) -> Column:
@@ -31,9 +42,9 @@ def shared_grams(a, b, n):
     return pa.array([(grams(x or [], k) & grams(y or [], k)).total() for x, y, k in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), strict=True)], pa.int32())
 
 
-def rouge_n(candidate: Column, reference: Column, n: int = 1) -> Column:
+def rouge_n(candidate: Column, reference: Column, n: int = 1, stemmed: bool = False) -> Column:
     """F measure of shared n-grams, each counted as often as both have it."""
-    a, b = rouge_tokens(candidate), rouge_tokens(reference)
+    a, b = rouge_tokens(candidate, stemmed), rouge_tokens(reference, stemmed)
     count = lambda tokens: F.greatest(F.size(tokens) - (n - 1), F.lit(0))
     return _f(shared_grams(a, b, F.lit(n)), count(a), count(b))
 
@@ -56,6 +67,6 @@ def lcs_length(a, b):
     return pa.array([one(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
 
-def rouge_l(candidate: Column, reference: Column) -> Column:
-    a, b = rouge_tokens(candidate), rouge_tokens(reference)
+def rouge_l(candidate: Column, reference: Column, stemmed: bool = False) -> Column:
+    a, b = rouge_tokens(candidate, stemmed), rouge_tokens(reference, stemmed)
     return _f(lcs_length(a, b), F.size(a), F.size(b))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +96,16 @@ def topic_labels(keywords: DataFrame, n: int = 3) -> DataFrame:
 def fit_kmeans(vectors: DataFrame, k: int = 50, seed: int = 42, runs: int = 1, vector_col: str = "embedding", reduce_to: int | None = None) -> PipelineModel:
     """The best of ``runs`` seeds by training cost; reduce_to: principal components to cluster in."""
     data = vectors.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    first = [PCA(k=reduce_to, inputCol="features", outputCol="reduced")] if reduce_to else []
-    space = "reduced" if reduce_to else "features"
-    models = [Pipeline(stages=[*first, KMeans(k=k, seed=seed + i, featuresCol=space, predictionCol="topic_id")]).fit(data) for i in range(runs)]
-    return min(models, key=lambda m: m.stages[-1].summary.trainingCost)
+    before = []
+    if reduce_to:
+        before = [PCA(k=reduce_to, inputCol="features", outputCol="reduced").fit(data)]
+        data = before[0].transform(data).select("reduced")
+    data = data.persist()  # each run reads it again
+    try:
+        models = [KMeans(k=k, seed=seed + i, featuresCol="reduced" if reduce_to else "features", predictionCol="topic_id").fit(data) for i in range(runs)]
+    finally:
+        data.unpersist()
+    return PipelineModel([*before, min(models, key=lambda m: m.summary.trainingCost)])
 
 
 def assign_topics(vectors: DataFrame, model: PipelineModel, min_size: int = 1, vector_col: str = "embedding") -> DataFrame:
@@ -120,9 +127,8 @@ def assign_topics(vectors: DataFrame, model: PipelineModel, min_size: int = 1, v
 
 def topic_centres(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
     """(topic_id, centre): mean vectors of topics."""
-    long = vectors.join(assigned.select("pmid", "topic_id"), "pmid").select("topic_id", F.posexplode("embedding").alias("i", "x"))
-    mean = long.groupBy("topic_id", "i").agg(F.avg("x").alias("x"))
-    return mean.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+    rows = vectors.join(assigned.select("pmid", "topic_id"), "pmid").select("topic_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return rows.groupBy("topic_id").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centre"))
 
 
 def rerank_keywords(keywords: DataFrame, word_vectors: DataFrame, centres: DataFrame) -> DataFrame:
@@ -160,8 +166,17 @@ def topic_details(papers: DataFrame, assigned: DataFrame, keywords: DataFrame, t
     return n.crossJoin(one).crossJoin(top).crossJoin(terms).select(F.lit(topic_id).alias("topic_id"), "keywords", "num_papers", "top_papers", "top_mesh_terms", label.alias("topic_label"))  # one row each
 
 
-def fit_topics(papers: DataFrame, vectors: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[PipelineModel, DataFrame, DataFrame]:
+def topic_keywords(papers: DataFrame, vectors: DataFrame, assigned: DataFrame, embed, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(topic_id, word, score, rank): of the class-based tf-idf's best words and word pairs of the vocabulary those nearest to the topic's mean vector.  embed: papers to vectors."""
+    words = vocabulary(papers, 2, 2, config.vocabulary_size)
+    found = ctfidf(papers.join(assigned.select("pmid", "topic_id"), "pmid"), config.keyword_candidates, min_count=1, ngrams=2, words=words)
+    texts = found.select(F.col("word").alias("pmid"), F.col("word").alias("text_content")).distinct()
+    ranked = rerank_keywords(found, embed(texts).withColumnRenamed("pmid", "word"), topic_centres(vectors, assigned))
+    return ranked.filter(F.col("rank") <= config.keywords)
+
+
+def fit_topics(papers: DataFrame, vectors: DataFrame, embed, config: EngineConfig = EngineConfig()) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """(model, assignments, keywords) of papers with a text."""
-    model = fit_kmeans(vectors, config.num_topics, config.seed)
+    model = fit_kmeans(vectors, config.num_topics, config.seed, config.topic_runs, reduce_to=min(config.topic_components, config.embedding_dim))
     assigned = assign_topics(vectors, model, config.min_topic_size)
-    return model, assigned, ctfidf(papers.join(assigned, "pmid"))
+    return model, assigned, topic_keywords(papers, vectors, assigned, embed, config)

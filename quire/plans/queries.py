@@ -303,6 +303,12 @@ def rouge_lcs(spark, d):
     return _summarised(spark, d).select("pmid", F.round(rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
 
 
+def rouge_stemmed(spark, d):
+    """The three scores of each document's summary, of stems."""
+    score = lambda f, *n: F.round(f(F.col("candidate"), F.col("reference"), *n, stemmed=True), 6)
+    return _summarised(spark, d).select("pmid", score(rouge_n).alias("rouge1"), score(rouge_n, 2).alias("rouge2"), score(rouge_l).alias("rouge_l"))
+
+
 def ranked_hits(spark, d):
     hits = search.similar(views.paper_vectors(spark, d), "5", 5)
     return charts.ranked(hits, F.desc("similarity_score"), F.col("pmid")).select(F.col("rank").cast("long").alias("rank"), "pmid", F.format_string("%.3f", "similarity_score").alias("score"))
@@ -386,7 +392,7 @@ _NAMES = (
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
-    extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
+    extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_stemmed, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
     card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 

@@ -183,13 +183,16 @@ def engine(spark, tmp_path_factory):
     e = Engine(spark, str(tmp_path_factory.mktemp("home")), EngineConfig(num_topics=2, min_topic_size=2, embedding_dim=64))
     with pytest.raises(NotReady):
         e.papers()
-    e.ingest(spark.createDataFrame(rows, RAW_PAPER))
+    e.ingest(spark.createDataFrame([*rows, ("short", "", "too short", [], "", "", [], "")], RAW_PAPER))
     assert all(r["ready"] for r in e.run_pipeline().collect())
     return e
 
 
 def test_facade(engine):
     assert engine.papers().count() == 24
+    assert tuple(engine.processing().first()) == (25, 24, 1)
+    words = [r["word"] for r in engine.keywords().collect()]
+    assert len(words) == 20 and any(" " in w for w in words)
     hits = engine.search("gene cells tissue", 5).collect()
     assert len(hits) == 5 and all(h["pmid"].startswith("cell") for h in hits)
     assert engine.similar("star1", 3).filter(F.col("pmid").startswith("star")).count() == 3

@@ -129,3 +129,29 @@ def test_rouge(spark):
 @pytest.mark.parametrize(("env", "domains"), [({}, ("biomedical research",)), ({"RESEARCH_DOMAINS": " a, ,b "}, ("a", "b"))])
 def test_config(env, domains):
     assert EngineConfig.from_env(env).domains == domains
+
+
+STEMS = (
+    "caresses:caress ponies:poni ties:tie caress:caress cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss "
+    "fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit conformabli:conform radicalli:radic differentli:differ vileli:vile "
+    "analogousli:analog vietnamization:vietnam predication:predic operator:oper feudalism:feudal decisiveness:decis hopefulness:hope callousness:callous formaliti:formal sensitiviti:sensit sensibiliti:sensibl "
+    "triplicate:triplic formative:form formalize:formal electriciti:electr electrical:electr hopeful:hope goodness:good revival:reviv allowance:allow inference:infer airliner:airlin gyroscopic:gyroscop adjustable:adjust "
+    "defensible:defens irritant:irrit replacement:replac adjustment:adjust dependent:depend adoption:adopt communism:commun activate:activ angulariti:angular homologous:homolog effective:effect bowdlerize:bowdler "
+    "probate:probat rate:rate cease:ceas controll:control roll:roll dying:die news:news died:die enjoy:enjoy by:by"
+)
+
+
+def test_stems():
+    from quire.functions.stem import stem
+
+    assert {w: stem(w) for w, _ in (x.split(":") for x in STEMS.split())} == dict(x.split(":") for x in STEMS.split())
+
+
+def test_rouge_of_stems(spark):
+    from quire.functions.rouge import rouge_l, rouge_n
+
+    row = spark.createDataFrame([("Cats were running, hopefully", "a cat runs in hope")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = row.select(rouge_n(a, b), rouge_n(a, b, stemmed=True), rouge_n(a, b, 2, stemmed=True), rouge_l(a, b, stemmed=True)).first()
+    # cat were run hope; a cat run in hope
+    assert [round(x, 6) for x in got] == [0.0, 0.666667, 0.0, 0.666667]
