@@ -26,14 +26,13 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
     return moved.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links (u long, v long) to (node long, component long): every linked node and the smallest node it reaches."""
     now = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     shape = None
-    for _ in range(most_rounds):
+    while True:  # every round shortens paths until nothing moves
         now = written(_star(_star(now, True), False), "stars")
         again = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.expr("cast(v as decimal(38, 0))")).alias("s")).first()
         if again == shape:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         shape = again
-    raise RuntimeError("the stars did not settle")

@@ -12,8 +12,8 @@
    by the task that the sample's counts deal them to.  Rows with one signature, a bucket, are verified in whole
    arrays; each task gives a spanning forest of its links, not its pairs.  Buckets of more than BUCKET
    fingerprints are dealt out as pairs of blocks, so none lands whole in a task.
-4. Components of the links, then each document gets its class's; classes with over a HOT-th of all
-   documents, at most HOT of them, are joined by broadcast, the others by a shuffle.
+4. Components of the links, then each document gets its class's; hot classes, a bounded number, are joined by
+   broadcast, the others by a shuffle.
 
 With ``least`` a link needs a similarity of the shingle sets too (shared / all), and classes are distinct
 sets.  Candidates then are the pairs within the distance whose second fingerprints (of mixed hashes) are
@@ -42,7 +42,8 @@ from quire.llm.segment import spread
 
 SAMPLE, PLAN_SAMPLE = 16_000, 2_000
 BUCKET = 32_768
-HOT = 1_000
+#: A class is hot with over a HOT-th of all rows or over HOT_ROWS; so the hot ones are under HOT, or one for HOT_ROWS rows.
+HOT, HOT_ROWS = 1_000, 2_000_000
 #: Signatures that a task verifies at most (fewer, where there are many comparisons), and that a task holds before it sends them.
 TASK_ROWS, SEND_ROWS = 1_000_000, 1_000_000
 #: Values compared at once, about.
@@ -429,7 +430,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int
     named = written(classes.join(member, "node", "left").select("node", "least", "n", F.coalesce("reached", "node").alias("component")), "members")
     answer = written(named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "n", "component_id"), "components")
     rows = max(1, prints.count())
-    hot = answer.filter(F.col("n") > rows / HOT).select("node", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))  # under HOT rows
+    hot = answer.filter(F.col("n") > min(rows / HOT, HOT_ROWS)).select("node", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
     marked = prints.select("doc_id", "fingerprint", "node").join(F.broadcast(hot), "node", "left")
     cold = marked.filter(F.col("hot").isNull()).select("doc_id", "fingerprint", "node").join(answer.select("node", "component_id"), "node")
     return marked.filter("hot").select("doc_id", "fingerprint", F.col("hot_id").alias("component_id")).unionByName(cold.select("doc_id", "fingerprint", "component_id"))

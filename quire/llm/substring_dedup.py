@@ -35,8 +35,8 @@ from quire.llm.common import pairs, written
 CLAUSE_WORDS = 6
 POOR = 3
 MIN_WORDS = 25
-#: Digests with over a HOT-th of all units, under HOT of them, are joined by broadcast.
-HOT = 1_000
+#: Digests with over a HOT-th of all units, or over HOT_UNITS, are joined by broadcast: under HOT of them, or one for HOT_UNITS units.
+HOT, HOT_UNITS = 1_000, 10_000_000
 NO_ID = -(1 << 63)
 
 _CLAUSE = re.compile(r"[^\n]*?[.!?,;:](?=[ \t])[ \t]+|[^\n]*\n+|[^\n]+")
@@ -98,8 +98,8 @@ def later_units(units: DataFrame) -> DataFrame:
     groups = units.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = written(groups.select("hi", "lo", "n", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.number").alias("kept_number")), "groups")
     total = max(1, units.count())
-    hot = groups.filter(F.col("n") > total / HOT).drop("n")  # under HOT rows
-    cold = groups.filter(F.col("n") <= total / HOT).drop("n")
+    least = min(total / HOT, HOT_UNITS)
+    hot, cold = groups.filter(F.col("n") > least).drop("n"), groups.filter(F.col("n") <= least).drop("n")
     met = units.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["hi", "lo"], "left")
     rare = met.filter("hot is null").select("hi", "lo", "doc_id", "number").join(cold, ["hi", "lo"])
     both = met.filter("hot").drop("hot").unionByName(rare)
