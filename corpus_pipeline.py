@@ -1,8 +1,13 @@
 """The corpus pipeline: quality, lines, near-duplicates, passages, packing; each stage an operator of quire.llm.
 
 A stage takes (spark, docs, sf_dir) and returns what it keeps; between stages the documents are a written
-Parquet table.  All but the last stage return the columns of ``documents``; a text that a stage changes
-gets its new n_chars.
+Parquet table.  All but the last stage return the columns of ``documents``, and no extra ones; a text that a
+stage changes gets its new n_chars.
+
+Null and empty texts go through every stage (the classifier decides on them as on others; they are near copies of
+each other; they pack to the end id), as do null ids, which no other document stands for.  Ties go to the smaller
+id, of lines to the largest.  Rows of one id are one document: equal ones leave near_copies as one row, others with
+it.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,8 +52,11 @@ SHINGLE, DISTANCE, SIMILARITY = 5, 14, (4, 5)
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 (5-word shingles) the document of the smallest id stays; so does a row without an id, which no other can stand for."""
     ship(spark)
-    kept = near_duplicates(docs, DISTANCE, SHINGLE, least=SIMILARITY).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    found = near_duplicates(docs, DISTANCE, SHINGLE, least=SIMILARITY).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = docs.select(*COLUMNS)
+    once = own.join(found.filter("n = 1"), "doc_id", "left_semi")
+    again = own.join(found.filter("n > 1"), "doc_id", "left_semi").dropDuplicates(list(COLUMNS))
+    return once.unionByName(again).unionByName(own.filter("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
