@@ -15,9 +15,10 @@
 4. Components of the links, then each document gets its class's; hot classes, a bounded number, are joined by
    broadcast, the others by a shuffle.
 
-With ``least`` a link needs a similarity of the shingle sets too (shared / all), and classes are distinct
-sets.  Candidates then are the pairs within the distance whose second fingerprints (of mixed hashes) are
-within SECOND bits; ``exact`` verifies them on whole sets.  Similar texts further apart than the distance are missed.
+With ``least`` a link needs a similarity of the shingle sets (shared / all), and classes are distinct sets.  They
+have a second fingerprint, of mixed hashes.  Candidates are the pairs within the distance by either fingerprint and
+within SECOND bits by the other; ``exact`` verifies them on whole sets.  Similar texts that are further apart by
+both are missed.
 
 Null and empty texts have fingerprint zero, linked like any other.  Repeated rows share a class.  A null
 id takes part; a class with null ids only has a null component.  An empty table gives no rows.  Extra
@@ -425,6 +426,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int
     classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fingerprint", "second", "size")).alias("print")).select("node", "least", "n", "print.*"), "classes")
     links = link_fingerprints(classes, distance, least[0] / least[1] if least else 0.0)
     if least:
+        other = classes.withColumns({"fingerprint": F.col("second"), "second": F.col("fingerprint")})
+        links = links.unionByName(link_fingerprints(other, distance, least[0] / least[1]))
         links = exact_links(connected_components(links), classes, id_and_text(docs, id_col, text_col), lambda t: np.frombuffer(b"".join(shingle_hashes(t, size, seed)), ">u8").astype(np.uint64), least)
     member = connected_components(links).withColumnRenamed("component", "reached")
     named = written(classes.join(member, "node", "left").select("node", "least", "n", F.coalesce("reached", "node").alias("component")), "members")
