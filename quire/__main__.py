@@ -1,4 +1,8 @@
-"""python -m quire COMMAND HOME [ARGUMENT]: setup (from JSON lines), check, search, summary, topics, trends, stats."""
+"""python -m quire COMMAND HOME [ARGUMENT ...]
+
+setup HOME FILES (JSON lines), check, search WORDS, summary WORDS, topics, trends, stats, get ROUTE [name=value ...] (JSON),
+demo-search, demo-summary, demo-topics.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,13 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from quire import edge
 from quire.config import EngineConfig
 from quire.engine import Engine
 
+#: What the demonstrations ask.
+QUESTIONS = ("vaccine efficacy", "cancer immunotherapy", "diabetes treatment", "disease biomarkers")
+
 
 def main(args: list[str]) -> int:
     if len(args) < 2:
@@ -21,18 +29,27 @@ def main(args: list[str]) -> int:
         engine.ingest_jsonl(rest[0])
         engine.run_pipeline().show()
         return 0
+    if command == "get":
+        status, body = edge.answer(engine, rest[0], **dict(x.split("=", 1) for x in rest[1:]))
+        print(body)
+        return 0 if status == 200 else 1
+    hits = lambda q, k=None: engine.search(q, k).select("pmid", "title", "similarity_score")
     commands = {
-        "check": engine.health,
-        "search": lambda: engine.search(" ".join(rest)).select("pmid", "title", "similarity_score"),
-        "summary": lambda: engine.summarize(" ".join(rest)),
-        "topics": lambda: engine.trending_topics().drop("time_series"),
-        "trends": engine.general_trends,
-        "stats": engine.stats,
+        "check": lambda: [engine.health()],
+        "search": lambda: [hits(" ".join(rest))],
+        "summary": lambda: [engine.summarize(" ".join(rest))],
+        "topics": lambda: [engine.trending_topics().drop("time_series")],
+        "trends": lambda: [engine.general_trends()],
+        "stats": lambda: [engine.stats()],
+        "demo-search": lambda: [hits(q, 3) for q in QUESTIONS],
+        "demo-summary": lambda: [engine.summarize(q, 3).select("query", "summary", "num_papers") for q in QUESTIONS[:2]],
+        "demo-topics": lambda: [engine.topic_info(), engine.trending_topics(5).drop("time_series")],
     }
     if command not in commands:
         print(__doc__)
         return 2
-    commands[command]().show(truncate=100)
+    for df in commands[command]():
+        df.show(truncate=100)
     return 0
 
 

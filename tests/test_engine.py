@@ -8,6 +8,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from quire import edge
 from quire.config import EngineConfig
 from quire.engine import Engine, NotFound, NotReady
 from quire.functions import dates
@@ -215,6 +216,23 @@ def test_facade(engine):
     assert engine.trending_summaries().count() == 1
 
 
+def test_json_answers(engine, tmp_path, spark, capsys):
+    import quire.__main__ as command
+
+    get = lambda route, **given: (lambda status, body: (status, json.loads(body)))(*edge.answer(engine, route, **given))
+    status, found = get("/search", q="gene cells", top_k="3")
+    assert status == 200 and found["total_results"] == 3 and found["results"][0]["pmid"].startswith("cell")
+    assert get("/paper/star1")[1]["pmid"] == "star1" and get("/paper/star1/summary")[1]["summary"]
+    assert get("/similar/star1", top_k=2)[1]["total_results"] == 2
+    assert get("/stats")[1]["processing"] == {"seen": 25, "processed": 24, "skipped": 1}
+    assert get("/topic/0")[1]["keywords"] and get("/topic/0/timeline")[1]["total_results"] > 0
+    assert get("/trends")[1]["total_papers"] == 24 and get("/health")[1]["stages"]["embeddings"]
+    assert [get(r)[0] for r in ("/paper/none", "/topic/77", "/nowhere", "/search")] == [404, 404, 404, 400]
+    assert edge.answer(Engine(spark, str(tmp_path)), "/stats")[0] == 503
+    assert command.main(["get", engine.home, "/summarize", "q=stars"]) == 0 and "num_papers" in capsys.readouterr().out
+    assert command.main(["demo-topics", engine.home]) == 0 and command.main(["nothing", engine.home]) == 2
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"pmid": str(i % 3), "title": "t", "abstract": "word " * 20, "arrived": "2024-01-01T00:00:00Z"} for i in range(6)]
