@@ -14,6 +14,7 @@ from quire.config import EngineConfig
 from quire.functions import dates
 from quire.functions import vectors as V
 from quire.functions.text import let, tokens
+from quire.storage import written
 
 # Common English words that are no keywords.
 STOP_WORDS = (
@@ -79,7 +80,7 @@ def ctfidf(rows: DataFrame, k: int = 10, topic_col: str = "topic_id", text_col:
     found = rows.select(F.col(topic_col).alias("topic_id"), F.explode(terms(F.col(text_col), ngrams, stop_words)).alias("word"))
     if words is not None:
         found = found.join(words.select("word"), "word", "left_semi")
-    counts = found.groupBy("topic_id", "word").agg(F.count("*").alias("n"))
+    counts = written(found.groupBy("topic_id", "word").agg(F.count("*").alias("n")), "term-counts")  # read four times; the texts once
     totals = counts.groupBy("topic_id").agg(F.sum("n").alias("topic_n"))
     mean = totals.agg(F.avg("topic_n").alias("mean_n"))  # one row
     corpus = counts.groupBy("word").agg(F.sum("n").alias("corpus_n")).filter(F.col("corpus_n") >= min_count)
