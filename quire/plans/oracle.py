@@ -98,13 +98,6 @@ scored AS (SELECT topic_id, word, n / topic_n::DOUBLE * ln(1 + (SELECT avg(topic
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word) AS rank FROM scored), best AS (SELECT * FROM ranked WHERE rank <= 10)"""
 
 
-def _grams(side: str, n: int) -> str:
-    tokens = f"list_filter(string_split(regexp_replace(lower({side}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    if n == 1:
-        return tokens
-    return f"list_transform(range(1, greatest(len({tokens}) - {n - 2}, 1)), lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
-
-
 def _ranked(words: str, table: str, key: str = "source_papers") -> str:
     """CTEs up to q: table's rows with ``picked``, the six parts of abstract that share most of the words."""
     return f"""s AS (SELECT *, string_split(abstract, '. ') AS parts FROM {table}),
@@ -115,11 +108,17 @@ def _ranked(words: str, table: str, key: str = "source_papers") -> str:
             q AS (SELECT *, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l)"""
 
 
-def _rouge(n: int, name: str) -> str:
-    return f"""{name} AS (
-      SELECT pmid, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * list_sum(list_append(list_transform(list_distinct(a), lambda g: least(len(list_filter(a, lambda x: x = g)), len(list_filter(b, lambda x: x = g)))), 0)) / (len(a) + len(b)) ELSE 0.0 END AS f
-      FROM (SELECT pmid, {_grams('candidate', n)} AS a, {_grams('reference', n)} AS b FROM pairs))"""
+def _low_words(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
 
+def _rouge(n: int) -> str:
+    """CTEs up to r{n}: (pmid, f) of the runs of n tokens of t's lists a and b."""
+    run = " || ' ' || ".join("{0}[i + %d]" % k if k else "{0}[i]" for k in range(n))
+    counted = lambda x: f"{x}{n} AS (SELECT pmid, {run.format(x)} AS g, count(*) AS n FROM t, range(1, greatest(len({x}) - {n - 2}, 1)) r(i) GROUP BY 1, 2), n{x}{n} AS (SELECT pmid, sum(n) AS n FROM {x}{n} GROUP BY 1)"
+    return f"""{counted('a')}, {counted('b')},
+            s{n} AS (SELECT pmid, sum(least(a{n}.n, b{n}.n)) AS s FROM a{n} JOIN b{n} USING (pmid, g) GROUP BY 1),
+            r{n} AS (SELECT pmid, coalesce(2.0 * s / (na{n}.n + nb{n}.n), 0.0) AS f FROM t LEFT JOIN s{n} USING (pmid) LEFT JOIN na{n} USING (pmid) LEFT JOIN nb{n} USING (pmid))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -191,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
             {_ranked("'erth'", 't')}
             SELECT source_papers, num_papers::BIGINT AS num_papers, len({_words('abstract')})::BIGINT AS original_length, {summary} AS summary FROM q""",
         "post_process": f"SELECT pmid, {_post('abstract')} AS summary FROM {docs}",
-        "rouge": f"WITH d AS ({DOCS}), l AS (SELECT pmid, abstract, {lead} AS led FROM d), q AS (SELECT *, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l), pairs AS (SELECT pmid, abstract AS reference, CASE WHEN length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 50 THEN '' ELSE {summary} END AS candidate FROM q), {_rouge(1, 'r1')}, {_rouge(2, 'r2')} SELECT pmid, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2 FROM r1 JOIN r2 USING (pmid)",
+        "rouge": f"WITH d AS ({DOCS}), l AS (SELECT pmid, abstract, {lead} AS led FROM d), q AS (SELECT *, CASE WHEN len({_words('led')}) > 150 THEN {_first_words('led', 150)} ELSE led END AS picked FROM l), pairs AS (SELECT pmid, abstract AS reference, CASE WHEN length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 50 THEN '' ELSE {summary} END AS candidate FROM q), t AS (SELECT pmid, {_low_words('candidate')} AS a, {_low_words('reference')} AS b FROM pairs), {_rouge(1)}, {_rouge(2)} SELECT pmid, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2 FROM r1 JOIN r2 USING (pmid)",
         "ranked_hits": f"WITH h AS (SELECT CAST(vec_id AS VARCHAR) AS pmid, {DOT.format(5)} AS s FROM embeddings WHERE vec_id <> 5) SELECT row_number() OVER (ORDER BY s DESC, pmid) AS rank, pmid, printf('%.3f', s) AS score FROM h ORDER BY s DESC, pmid LIMIT 5",
         "jsonl_roundtrip": f"{META} SELECT pmid, pub_date, journal, coalesce(array_to_string(authors, '|'), '') AS authors, coalesce(array_to_string(mesh_terms, '|'), '') AS mesh_terms FROM papers_meta",
         "xml_ingest": f"{META} SELECT pmid, 'Order no. ' || pmid AS title, 'DATE: ' || pub_date || ' Second part.' AS abstract, journal, left(pub_date, 7) AS pub_date, coalesce(array_to_string(list_transform(authors, lambda a: 'S ' || a), '|'), '') AS authors, coalesce(array_to_string(mesh_terms, '|'), '') AS mesh_terms FROM papers_meta",
