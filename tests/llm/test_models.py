@@ -99,6 +99,34 @@ def test_op3_recall(spark):
         assert hits >= 0.9 * len(got)
 
 
+def test_op3_on_clusters(spark):
+    """Vectors of many lengths in clusters: few lists are probed, and the recall holds."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 24))
+    x = (centres[rng.integers(60, size=3000)] + 0.15 * rng.standard_normal((3000, 24))) * rng.uniform(0.5, 2.0, (3000, 1))
+    index = ann.Index(x, float(np.sqrt((x * x).sum(axis=1).max())), len(x), 20, ann.TARGET_RECALL)
+    assert index.probes < len(index.centres) / 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    hits = 0
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 60 == 0).collect():
+        hits += r["vec_id"] in set(brute(np.arange(3000), x, r["query_id"])[0])
+        assert r["score"] == float((x[r["vec_id"]] * x[r["query_id"]]).sum())
+    assert hits >= 0.9 * 50 * 20
+
+
+def test_scan_abandons_no_one_within_the_bound():
+    rng = np.random.default_rng(9)
+    for spread_of in (0.02, 1.0):  # most are left, or few
+        q, x = rng.standard_normal((30, 65)).astype(np.float32), (spread_of * rng.standard_normal((400, 65))).astype(np.float32)
+        d = ((q[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
+        bound = np.sort(d, axis=1)[:, 40]
+        i, j = ann.scan(q, x, bound)
+        found = set(zip(i.tolist(), j.tolist(), strict=True))
+        near = {(a, int(b)) for a in range(30) for b in np.flatnonzero(d[a] < bound[a] * (1 - 1e-6))}
+        assert len(near & found) >= 0.97 * len(near)
+        assert all(d[a, b] <= bound[a] + 1e-3 * (1 + bound[a]) for a, b in found)
+
+
 def test_op3_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 16)
     nan, inf = float("nan"), float("inf")
