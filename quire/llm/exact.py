@@ -23,6 +23,8 @@ GROUP = 256
 FEW = 6
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Groups with over a HOT-th of all candidates, under HOT of them, are joined by broadcast.
+HOT = 1_000
 COLUMNS = 4_096
 
 
@@ -117,11 +119,20 @@ def _cells(least: tuple[int, int]):
     return run
 
 
+def _of_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of their group (component, n, ...); no group lands whole in a task."""
+    hot = F.col("n") > total / HOT
+    met = rows.join(F.broadcast(groups.filter(hot).withColumn("hot", F.lit(True))), "component", "left")
+    cold = met.filter("hot is null").select(*rows.columns).join(groups.filter(~hot), "component")
+    return met.filter("hot").drop("hot").unionByName(cold)
+
+
 def exact_links(groups: DataFrame, classes: DataFrame, plain: DataFrame, hashes: Callable[[str], np.ndarray], least: tuple[int, int]) -> DataFrame:
     """groups (node, component), classes (node, least, fingerprint), plain (doc_id, text) to links (u, v): within each group they have the components of all its similar pairs."""
     members = written(groups.join(classes.select("node", "least", "fingerprint"), "node"), "candidates")
     holders = members.select("least").distinct()
-    if members.count() <= BROADCAST_IDS:
+    total = members.count()
+    if total <= BROADCAST_IDS:
         holders = F.broadcast(holders)
     texts = plain.join(holders, plain["doc_id"].eqNullSafe(holders["least"]), "left_semi")
     sets = texts.mapInArrow(_sets(hashes), "node long, hashes array<bigint>").join(members.drop("least"), "node").dropDuplicates(["node"])
@@ -129,12 +140,12 @@ def exact_links(groups: DataFrame, classes: DataFrame, plain: DataFrame, hashes:
 
     sizes = written(members.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
     large = sizes.filter(F.col("n") > GROUP).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
-    spreadout = sets.join(large, "component")
+    spreadout = _of_groups(sets, large, total)
     ones = spreadout.groupBy("component", "n", "parts").agg(*(F.sum(F.shiftrightunsigned("fingerprint", i).bitwiseAND(F.lit(1))).alias(f"bit{i}") for i in range(64)))
     most = reduce(lambda x, y: x.bitwiseOR(y), (F.when(2 * F.col(f"bit{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)))
-    middle = ones.select("component", "parts", most.alias("most"))
+    middle = ones.select("component", "n", most.alias("most"))
     place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pivot = spreadout.join(middle.drop("parts"), "component").groupBy("component", "parts").agg(F.min(F.struct(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("most"))), F.col("node").alias("node"))).alias("nearest"))
+    pivot = _of_groups(spreadout.drop("n"), middle, total).groupBy("component", "parts").agg(F.min(F.struct(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("most"))), F.col("node").alias("node"))).alias("nearest"))
     pivot = pivot.select("component", F.col("nearest.node").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pivot = pivot.join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("others")), "pivot")
     above, below = least
@@ -145,8 +156,8 @@ def exact_links(groups: DataFrame, classes: DataFrame, plain: DataFrame, hashes:
     reached = star.select(F.col("u").alias("node")).unionByName(star.select(F.col("v").alias("node")).distinct()).withColumn("reached", F.lit(True))
     marked = members.select("node", "component").join(reached, "node", "left").select("node", "component", F.coalesce("reached", F.lit(False)).alias("reached"))
     counts = marked.groupBy("component").agg(F.count_if(~F.col("reached")).alias("rest"), F.count_if("reached").alias("star")).filter("rest > 0 and rest + star > 1")
-    blocks = counts.select("component", *(F.ceil(F.col(c) / GROUP).cast("int").alias(c) for c in ("rest", "star")))
-    dealt = marked.join(blocks, "component").withColumn("block", F.when(F.col("reached"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("star"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
+    blocks = counts.select("component", (F.col("rest") + F.col("star")).alias("n"), *(F.ceil(F.col(c) / GROUP).cast("int").alias(c) for c in ("rest", "star")))
+    dealt = _of_groups(marked, blocks, total).withColumn("block", F.when(F.col("reached"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("star"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
     upto = F.when(F.col("reached"), F.col("rest")).otherwise(F.col("rest") + F.col("star"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
     cells = cells.select("component", "node", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
