@@ -5,9 +5,11 @@ from __future__ import annotations
 from quire.llm.ann import op3_vector_search
 from quire.llm.audio import op4_audio_features
 from quire.llm.byte_bpe import op7_byte_bpe
+from quire.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from quire.llm.html_extract import op5_html_extract
 from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
 from quire.llm.packing import op2_best_fit_packing
+from quire.llm.periodic_runs import op13_periodic_runs
 from quire.llm.quality import op1_quality
 from quire.llm.simhash import op9_simhash
 from quire.llm.sstable import op8_sorted_tables
@@ -26,6 +28,8 @@ def queries() -> dict:
         "op8_sorted_tables": op8_sorted_tables,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": _pipeline,
     }
 
@@ -37,4 +41,4 @@ def _pipeline(spark, sf_dir: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op10_line_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL}
