@@ -8,6 +8,7 @@ from quire.llm.byte_bpe import op7_byte_bpe
 from quire.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from quire.llm.html_extract import op5_html_extract
 from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
+from quire.llm.lm_scoring import op12_lm_scoring
 from quire.llm.packing import op2_best_fit_packing
 from quire.llm.periodic_runs import op13_periodic_runs
 from quire.llm.quality import op1_quality
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": _pipeline,
     }
