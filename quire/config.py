@@ -23,6 +23,7 @@ class EngineConfig:
     summary_max_words: int = 150
     summary_min_chars: int = 50
     input_max_words: int = 1_000
+    index_recall: float = 0.95
     min_topic_size: int = 10
     embedding_dim: int = 256
     num_topics: int = 10

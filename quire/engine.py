@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.config import EngineConfig
 from quire.functions import dates
 from quire.operators import charts, prepare, search, stats, summaries, topics, trends
+from quire.operators.vector_index import VectorIndex
 from quire.schemas import RAW_PAPER
 from quire.sources import remote, tables
 
@@ -63,6 +64,8 @@ class Engine:
         if refresh or not tables._exists(self.spark, self._path("embedder")):
             search.Embedder(self.config).fit(papers).model.write().overwrite().save(self._path("embedder"))
         vectors = t("embeddings", lambda: self.embedder().embed(papers))
+        if refresh or not tables._exists(self.spark, self._path("vector_index/meta")):
+            VectorIndex.build(vectors, self._path("vector_index"), recall=self.config.index_recall, k=self.config.top_k, seed=self.config.seed)
         t("summaries", lambda: summaries.summarize_papers(papers, config=self.config))
         if refresh or not tables._exists(self.spark, self._path("topic_model")):
             c = self.config
@@ -88,6 +91,11 @@ class Engine:
     def vectors(self) -> DataFrame:
         return self._table("embeddings")
 
+    def index(self) -> VectorIndex:
+        if not tables._exists(self.spark, self._path("vector_index/meta")):
+            raise NotReady("vector_index")
+        return VectorIndex.open(self.spark, self._path("vector_index"))
+
     def embedder(self) -> search.Embedder:
         return search.Embedder(self.config, PipelineModel.load(self._path("embedder")))
 
@@ -102,9 +110,11 @@ class Engine:
     def stats(self) -> DataFrame:
         return stats.corpus_stats(self.papers()).crossJoin(stats.embedding_stats(self.vectors()))  # one row each
 
-    def search(self, query: str, top_k: int | None = None) -> DataFrame:
+    def search(self, query: str, top_k: int | None = None, exact: bool = True) -> DataFrame:
+        """The papers nearest to the query; with ``exact`` unset only the index's nearest buckets are read."""
         vector = self.embedder().embed_text(self.spark, query)
-        return search.with_payload(search.top_k(self.vectors(), vector, top_k, self.config.top_k), self.papers())
+        hits = search.top_k(self.vectors(), vector, top_k, self.config.top_k) if exact else self.index().search(vector, top_k or self.config.top_k)
+        return search.with_payload(hits, self.papers())
 
     def paper(self, pmid: str) -> DataFrame:
         found = prepare.paper(self.papers(), pmid)
@@ -112,8 +122,9 @@ class Engine:
             raise NotFound(pmid)
         return found
 
-    def similar(self, pmid: str, top_k: int | None = None) -> DataFrame:
-        return search.with_payload(search.similar(self.vectors(), pmid, top_k, self.config.top_k), self.papers())
+    def similar(self, pmid: str, top_k: int | None = None, exact: bool = True) -> DataFrame:
+        hits = search.similar(self.vectors(), pmid, top_k, self.config.top_k) if exact else self.index().similar(pmid, top_k or self.config.top_k)
+        return search.with_payload(hits, self.papers())
 
     def summarize(self, query: str, top_k: int | None = None) -> DataFrame:
         """One summary of the papers found; the query is its topic."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 from quire.operators.topics import STOP_WORDS
-from quire.plans.queries import CHUNK_WORDS
+from quire.operators.vector_index import directions
+from quire.plans.queries import CHUNK_WORDS, LSH_BITS, LSH_QUERIES, LSH_VISITS
 from quire.plans.views import PAPERS_META, TOPIC_EVENTS, TOPIC_PAPERS
 
 #: The accented letters of the test tables; DuckDB has no compatibility decomposition.
@@ -121,6 +122,18 @@ def _rouge(n: int) -> str:
             r{n} AS (SELECT pmid, coalesce(2.0 * s / (na{n}.n + nb{n}.n), 0.0) AS f FROM t LEFT JOIN s{n} USING (pmid) LEFT JOIN na{n} USING (pmid) LEFT JOIN nb{n} USING (pmid))"""
 
 
+def _lsh() -> str:
+    planes = ", ".join(f"({i}, {[float(x) for x in p]}::DOUBLE[])" for i, p in enumerate(directions(64, LSH_BITS, 42).T))
+    return f"""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS pmid, embedding::DOUBLE[] AS e FROM embeddings), planes(bit, plane) AS (VALUES {planes}),
+        centre AS (SELECT list(m ORDER BY i) AS centre FROM (SELECT i, avg(e[i]) AS m FROM v, range(1, 65) r(i) GROUP BY i)),
+        p AS (SELECT pmid, bit, list_inner_product(e, plane) - list_inner_product(centre, plane) AS x FROM v, planes, centre),
+        b AS (SELECT pmid, sum(CASE WHEN x > 0 THEN 1 << bit ELSE 0 END)::BIGINT AS bucket FROM p GROUP BY pmid),
+        c AS (SELECT pmid AS query, n AS bucket, sum(CASE WHEN (x > 0) <> ((n >> bit) & 1 = 1) THEN x * x ELSE 0 END) AS cost FROM p, range({1 << LSH_BITS}) r(n) WHERE pmid IN {LSH_QUERIES} GROUP BY 1, 2),
+        near AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY cost, bucket) <= {LSH_VISITS}),
+        s AS (SELECT query, v.pmid, list_inner_product(v.e, q.e) AS score FROM near JOIN b USING (bucket) JOIN v ON v.pmid = b.pmid JOIN v q ON q.pmid = near.query)
+        SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, pmid) AS rank, pmid, round(score, 6) AS similarity_score FROM s QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     docs = f"({DOCS}) d"
     text = _clean(_nfkd("coalesce(abstract, '')"))
@@ -132,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "similar_topk": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, round({DOT.format(0)}, 6) AS similarity_score FROM embeddings WHERE vec_id <> 0 ORDER BY {DOT.format(0)} DESC, pmid LIMIT 10",
         "search_topk_vec": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, round({DOT.format(7)}, 6) AS similarity_score FROM embeddings ORDER BY {DOT.format(7)} DESC, pmid LIMIT 10",
+        "lsh_topk": _lsh(),
         "search_payload": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, label AS topic_id, round({DOT.format(3)}, 6) AS similarity_score FROM embeddings WHERE vec_id <> 3 ORDER BY {DOT.format(3)} DESC, pmid LIMIT 5",
         "clean_text": f"SELECT pmid, {text} AS cleaned FROM {docs}",
         "clean_text_html": f"SELECT CAST(page_id AS VARCHAR) AS pmid, {_clean(_nfkd('html'))} AS cleaned FROM pages",

@@ -13,6 +13,7 @@ from quire.functions import vectors as V
 from quire.functions.dates import between, year
 from quire.functions.rouge import rouge_l, rouge_n
 from quire.operators import charts, prepare, search, stats, summaries, topics, trends
+from quire.operators.vector_index import VectorIndex
 from quire.plans import views
 from quire.schemas import RAW_PAPER
 from quire.sources import articles, tables
@@ -387,13 +388,32 @@ def text_embedding(spark, d):
     return search.top_k(vectors, embedder.embed_text(spark, "the and attion to thanedble"))
 
 
+#: The index of lsh_topk: its projections, the buckets it visits, its queries.
+LSH_BITS, LSH_VISITS, LSH_QUERIES = 6, 40, ("0", "7", "21")
+
+
+def lsh_topk(spark, d):
+    """The rows of the nearest 40 of 64 buckets of signed projections, scored for three papers."""
+    vectors = views.paper_vectors(spark, d)
+    index = VectorIndex.build(vectors, shared_folder(spark, "vector-index"), LSH_BITS, visits=LSH_VISITS)
+    found = index.search_many(vectors.filter(F.col("pmid").isin(*LSH_QUERIES)).select(F.col("pmid").alias("query"), "embedding"))
+    return found.select("query", "rank", "pmid", r6("similarity_score"))
+
+
+def lsh_search(spark, d):
+    """Each fiftieth paper's nearest rows by an index that measures its own visits."""
+    vectors = views.paper_vectors(spark, d)
+    index = VectorIndex.build(vectors, shared_folder(spark, "vector-index"))
+    return index.search_many(vectors.filter(F.col("pmid").cast("long") % 50 == 0).select(F.col("pmid").alias("query"), "embedding"))
+
+
 _NAMES = (
     similar_topk, search_topk_vec, search_payload, clean_text, clean_text_html, validate_filter, word_counts, sentences, chunks, process_projection, corpus_stats, year_range, journal_hist, term_hist,
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_stemmed, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
-    card_display, event_windows, text_embedding, ranked_hits, jsonl_roundtrip, xml_ingest,
+    card_display, event_windows, text_embedding, lsh_topk, lsh_search, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
 
