@@ -27,6 +27,7 @@ class EngineConfig:
     min_topic_size: int = 10
     embedding_dim: int = 256
     num_topics: int = 10
+    topic_method: str = "kmeans"  # or "density"
     topic_runs: int = 10
     topic_components: int = 5
     vocabulary_size: int = 1_000

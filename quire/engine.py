@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
 from quire.functions import dates
-from quire.operators import charts, prepare, search, stats, summaries, topics, trends
+from quire.operators import charts, density, prepare, search, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.schemas import RAW_PAPER
 from quire.sources import remote, tables
@@ -67,13 +67,19 @@ class Engine:
         if refresh or not tables._exists(self.spark, self._path("vector_index/meta")):
             VectorIndex.build(vectors, self._path("vector_index"), recall=self.config.index_recall, k=self.config.top_k, seed=self.config.seed)
         t("summaries", lambda: summaries.summarize_papers(papers, config=self.config))
-        if refresh or not tables._exists(self.spark, self._path("topic_model")):
-            c = self.config
-            topics.fit_kmeans(vectors, c.num_topics, c.seed, c.topic_runs, reduce_to=min(c.topic_components, c.embedding_dim)).write().overwrite().save(self._path("topic_model"))
-        assigned = t("topic_assignments", lambda: topics.assign_topics(vectors, PipelineModel.load(self._path("topic_model")), self.config.min_topic_size))
+        assigned = t("topic_assignments", lambda: self._assigned(vectors, refresh))
         t("topic_keywords", lambda: topics.topic_keywords(papers, vectors, assigned, self.embedder().embed, self.config))
         return self.health()
 
+    def _assigned(self, vectors: DataFrame, refresh: bool) -> DataFrame:
+        """Topics of the papers by the configured method: a kept k-means model, or density clusters."""
+        c = self.config
+        if c.topic_method == "density":
+            return density.density_clusters(vectors, c.min_topic_size, components=min(c.topic_components, c.embedding_dim))
+        if refresh or not tables._exists(self.spark, self._path("topic_model")):
+            topics.fit_kmeans(vectors, c.num_topics, c.seed, c.topic_runs, reduce_to=min(c.topic_components, c.embedding_dim)).write().overwrite().save(self._path("topic_model"))
+        return topics.assign_topics(vectors, PipelineModel.load(self._path("topic_model")), c.min_topic_size)
+
     def health(self) -> DataFrame:
         """The stages and whether each is there."""
         names = ("raw_papers", "processed_papers", "embeddings", "summaries", "topic_assignments", "topic_keywords")

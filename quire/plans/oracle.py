@@ -7,7 +7,7 @@ import unicodedata
 from quire.operators.topics import STOP_WORDS
 from quire.operators.vector_index import directions
 from quire.plans.queries import CHUNK_WORDS, LSH_BITS, LSH_QUERIES, LSH_VISITS
-from quire.plans.views import PAPERS_META, TOPIC_EVENTS, TOPIC_PAPERS
+from quire.plans.views import PAPERS_META, TOPIC_EVENTS, TOPIC_OUTLIERS, TOPIC_PAPERS
 
 #: The accented letters of the test tables; DuckDB has no compatibility decomposition.
 ACCENTED = "ÉÈÊéèêÇçÄäÖöÜüÍíÓóÑñ"
@@ -146,6 +146,10 @@ def oracle_sql() -> dict[str, str]:
         "similar_topk": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, round({DOT.format(0)}, 6) AS similarity_score FROM embeddings WHERE vec_id <> 0 ORDER BY {DOT.format(0)} DESC, pmid LIMIT 10",
         "search_topk_vec": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, round({DOT.format(7)}, 6) AS similarity_score FROM embeddings ORDER BY {DOT.format(7)} DESC, pmid LIMIT 10",
         "lsh_topk": _lsh(),
+        "density_neighbours": """WITH p AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_acctbal::DOUBLE / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier),
+            d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM p a JOIN p b ON a.id <> b.id)
+            SELECT id, other, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, other) <= 5""",
+        "topic_trends_outliers": f"{_trends(TOPIC_OUTLIERS, 'topic_outliers', 'quarter', _QUARTER, '-1')} {_FLAT}",
         "search_payload": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, label AS topic_id, round({DOT.format(3)}, 6) AS similarity_score FROM embeddings WHERE vec_id <> 3 ORDER BY {DOT.format(3)} DESC, pmid LIMIT 5",
         "clean_text": f"SELECT pmid, {text} AS cleaned FROM {docs}",
         "clean_text_html": f"SELECT CAST(page_id AS VARCHAR) AS pmid, {_clean(_nfkd('html'))} AS cleaned FROM pages",

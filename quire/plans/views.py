@@ -52,6 +52,18 @@ def topic_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pmid"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("topic_id"), F.col("o_orderdate").alias("date"))
 
 
+def topic_papers_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic_papers with the topic of pending orders unknown."""
+    own = table(spark, sf_dir, "orders")
+    topic = F.when(F.col("o_orderstatus") == "P", -1).otherwise(F.left("o_orderpriority", F.lit(1)).cast("int"))
+    return own.select(F.col("o_orderkey").cast("string").alias("pmid"), topic.alias("topic_id"), F.col("o_orderdate").alias("date"))
+
+
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points: balance in hundreds, nation."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.array(F.col("s_acctbal").cast("double") / 100, F.col("s_nationkey").cast("double")).alias("v"), F.lit(1).cast("long").alias("weight"))
+
+
 def topic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("pmid"), F.col("event_type").alias("topic_id"), F.col("ts").alias("date"))
 
@@ -68,4 +80,5 @@ line_lists AS (
 )"""
 
 TOPIC_PAPERS = "topic_papers AS (SELECT CAST(o_orderkey AS VARCHAR) AS pmid, CAST(left(o_orderpriority, 1) AS INTEGER) AS topic_id, o_orderdate AS date FROM orders)"
+TOPIC_OUTLIERS = "topic_outliers AS (SELECT CAST(o_orderkey AS VARCHAR) AS pmid, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE CAST(left(o_orderpriority, 1) AS INTEGER) END AS topic_id, o_orderdate AS date FROM orders)"
 TOPIC_EVENTS = "topic_events AS (SELECT CAST(event_id AS VARCHAR) AS pmid, event_type AS topic_id, ts AS date FROM events)"
