@@ -21,6 +21,13 @@ def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Frees the disk of a table from ``written`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, whole: bool = True) -> DataFrame:
     """(doc_id long, text string), with null text as empty where ``whole``; other columns go, so their names can't clash."""
     text = F.col(f"`{text_col}`").cast("string")

@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Rows, id_and_text, written
-from quire.llm.ngram_trie import ABSENT, VALUES, NGramTrie, quantised
+from quire.llm.common import Rows, deleted, id_and_text, written
+from quire.llm.ngram_trie import ABSENT, NGramTrie, Quantiser
 from quire.llm.sstable import filesystem
 from quire.storage import shared_folder
 
@@ -53,7 +53,7 @@ HIGH = np.uint64(32)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned or signed integers, byte plane by byte plane, compressed."""
+    """Arrays of numbers, byte plane by byte plane, compressed."""
     import zstandard
 
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.str[1]), a.itemsize, len(a)))], np.int64)
@@ -270,7 +270,10 @@ class Asked:
                 own = self.order[a:b]
                 begin = np.flatnonzero(np.append(True, np.diff(self.pair[own]) != 0))
                 pairs = self.pair[own[begin]]
-                yield shard, pack((self.pairs[pairs] >> HIGH).astype(np.uint32), (self.pairs[pairs] & LOW).astype(np.uint32), self.first_total[pairs], np.diff(np.append(begin, b - a)).astype(np.uint32), self.third[own], self.times[own])
+                first = (self.pairs[pairs] >> HIGH).astype(np.uint32)
+                heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+                sizes = [np.diff(np.append(x, n)).astype(np.uint32) for x, n in ((heads, len(pairs)), (begin, b - a))]
+                yield shard, pack(first[heads], self.first_total[pairs[heads]], sizes[0], (self.pairs[pairs] & LOW).astype(np.uint32), sizes[1], self.third[own], self.times[own])
 
     def answers(self, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(chance of the second word of each pair, what the pair leaves to shorter contexts, chance of each trigram) from the shards' replies in order."""
@@ -279,10 +282,11 @@ class Asked:
         for (a, b), reply in zip(used, replies, strict=True):
             own = self.order[a:b]
             begin = np.flatnonzero(np.append(True, np.diff(self.pair[own]) != 0))
-            two, rest, three = unpack(reply)
+            steps, two, rest, three = unpack(reply)
+            values = [Quantiser(x).values for x in steps.tolist()]
             pairs = self.pair[own[begin]]
-            chance2[pairs], chance3[own] = VALUES[two], VALUES[three]
-            left[pairs] = np.where(rest == ABSENT, 1.0, VALUES[rest])
+            chance2[pairs], chance3[own] = values[0][two], values[2][three]
+            left[pairs] = np.where(rest == ABSENT, 1.0, values[1][rest])
         return chance2, left, chance3
 
 
@@ -328,8 +332,9 @@ def answer_trigrams(asked: DataFrame, folder: str, shards: int, hot: list[tuple[
 
 def answers(messages: list[tuple[str, list[np.ndarray]]], fixed: dict[int, int], fs, path: str) -> Iterator[tuple[str, bytes]]:
     """Builds, writes and maps the trie of one shard, and answers its messages."""
-    size2, size3 = [len(m[0]) for _, m in messages], [len(m[4]) for _, m in messages]
-    first, second, total, repeats, third, times = (np.concatenate(x) for x in zip(*(m for _, m in messages), strict=True))
+    size2, size3 = [len(m[3]) for _, m in messages], [len(m[5]) for _, m in messages]
+    first, total, heads, second, repeats, third, times = (np.concatenate(x) for x in zip(*(m for _, m in messages), strict=True))
+    first, total = np.repeat(first, heads), np.repeat(total, heads)
     pairs, pair_at, pair_of = np.unique(first.astype(np.uint64) << HIGH | second, return_index=True, return_inverse=True)
     total = total[pair_at].astype(np.float64)
     triple, triple_of = np.unique(np.repeat(pair_of.astype(np.uint64), repeats) << HIGH | third, return_inverse=True)
@@ -350,24 +355,24 @@ def answers(messages: list[tuple[str, list[np.ndarray]]], fixed: dict[int, int],
     NGramTrie.build(
         firsts[learnt],
         seconds[learnt],
-        quantised(held[learnt] / (total[learnt] + PAIR)),
-        quantised(TRIPLE / (held[learnt] + TRIPLE)),
+        held[learnt] / (total[learnt] + PAIR),
+        TRIPLE / (held[learnt] + TRIPLE),
         rank[pair[real]],
         third[real],
-        quantised(seen[real] / (held[pair[real]] + TRIPLE)),
+        seen[real] / (held[pair[real]] + TRIPLE),
     ).write(fs, path)
     trie = NGramTrie.open(fs, path)
     at2 = trie.pairs(firsts, seconds)
     at3 = np.where(third > 0, trie.thirds(at2[pair], third), -1)
 
     def codes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, values[np.maximum(at, 0)], np.uint16(ABSENT)).astype(np.uint16) if len(values) else np.full(len(at), ABSENT, np.uint16)
+        return np.append(values, np.uint8(ABSENT))[at]  # place -1 is the last
 
     chance2, left, chance3 = codes(trie.chance2, at2), codes(trie.left, at2), codes(trie.chance3, at3)
     a2 = a3 = 0
     for (name, _), n2, n3 in zip(messages, size2, size3, strict=True):
         own2, own3 = pair_of[a2 : a2 + n2], triple_of[a3 : a3 + n3]
-        yield name, pack(chance2[own2], left[own2], chance3[own3])
+        yield name, pack(trie.steps, chance2[own2], left[own2], chance3[own3])
         a2, a3 = a2 + n2, a3 + n3
 
 
@@ -415,6 +420,7 @@ def score_documents(docs: DataFrame, held: str, id_col: str = "doc_id", text_col
     distinct = known.agg(F.sum("learnt")).first()[0] or 0
     shards = max(1, -(-all_tokens // shard_tokens))
     hot = hot_ids(packed, known, hot_pairs(packed, folder, learnt))
+    deleted(packed)  # what follows reads the blocks and the counts
     asked = ask_trigrams(known, folder, learnt, shards, hot)
     return score_blocks(known, answer_trigrams(asked, tries, shards, hot), folder, learnt, distinct, shards, hot)
 

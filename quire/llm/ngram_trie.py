@@ -20,30 +20,40 @@ import pyarrow as pa
 import pyarrow.fs
 
 MAGIC = b"QUIRETRI"
-#: A probability x is the code ceil(-log10(x) / STEP), so no coded one is above its own; ABSENT stands for none.
-STEP, ABSENT = 1 / 256, 0xFFFF
+#: Codes of a level are 0 to MOST; ABSENT stands for none.
+MOST, ABSENT = 254, 255
 ONE = np.uint64(1)
+#: Each byte's 1, each byte's highest bit.
+LOWS, HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Of each byte the places of its set bits.
+SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint64)
 
 
-def quantised(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        code = np.ceil(-np.log10(x) / STEP - 1e-9)
-    return np.clip(code, 0, ABSENT - 1).astype(np.uint16)
+class Quantiser:
+    """Probabilities of a level as codes of one byte: a probability x is ceil(-log10(x) / step), so no coded one is above its own."""
 
+    def __init__(self, step: float):
+        self.step = step
+        self.values = np.append(10.0 ** (-np.arange(ABSENT) * step), 0.0)  # ABSENT is nought
 
-VALUES = np.append(10.0 ** (-np.arange(ABSENT) * STEP), 0.0)  # ABSENT is nought
+    @classmethod
+    def over(cls, x: np.ndarray) -> Quantiser:
+        """The finest steps that reach the least of x."""
+        return cls(max(1e-6, float(-np.log10(x.min())) / MOST) if len(x) else 1.0)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.minimum(np.ceil(-np.log10(x) / self.step - 1e-9), MOST).astype(np.uint8)
 
 
 def select_in_words(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The place of the set bit number rank (from 0) of each word, by halving."""
-    place = np.zeros(len(words), np.uint64)
-    left = rank.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count((words >> place) & np.uint64((1 << width) - 1)).astype(np.uint64)
-        go = left >= low
-        place += np.where(go, np.uint64(width), np.uint64(0))
-        left -= np.where(go, low, np.uint64(0))
-    return place
+    """The place of the set bit number rank (from 0) of each word: its byte by prefix sums of all eight bytes' bits, its place in the byte by a table."""
+    rank = rank.astype(np.uint64)
+    half = words - ((words >> ONE) & np.uint64(0x5555555555555555))
+    half = (half & np.uint64(0x3333333333333333)) + ((half >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    prefix = ((half + (half >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * LOWS
+    byte = np.bitwise_count(((rank * LOWS | HIGHS) - prefix) & HIGHS).astype(np.uint64) * np.uint64(8)  # those whose sum is rank at most
+    before = ((prefix << np.uint64(8)) >> byte) & np.uint64(0xFF)
+    return byte + SELECT[((words >> byte) & np.uint64(0xFF)).astype(np.int64), (rank - before).astype(np.int64)]
 
 
 class EliasFano:
@@ -96,18 +106,17 @@ class EliasFano:
         live = np.flatnonzero(begin < end)
         if not len(live):
             return at
-        low, stop = begin[live].copy(), end[live]
+        low, high = begin[live].copy(), end[live].copy()
         before = np.zeros(len(live), np.uint64)
         later = low > 0
         before[later] = self.get(low[later] - 1)
-        sought, high = words[live].astype(np.uint64) + before, stop.copy()
-        while len(open_ := np.flatnonzero(low < high)):
+        sought = words[live].astype(np.uint64) + before
+        while len(open_ := np.flatnonzero(high - low > 1)):  # one place is left to the comparison below
             mid = (low[open_] + high[open_]) >> 1
-            less = self.get(mid) < sought[open_]
-            low[open_[less]] = mid[less] + 1
-            high[open_[~less]] = mid[~less]
-        inside = np.flatnonzero(low < stop)
-        hit = inside[self.get(low[inside]) == sought[inside]]
+            over = self.get(mid) > sought[open_]
+            high[open_[over]] = mid[over]
+            low[open_[~over]] = mid[~over]
+        hit = np.flatnonzero(self.get(low) == sought)
         at[live[hit]] = low[hit]
         return at
 
@@ -120,15 +129,16 @@ def relative(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 class NGramTrie:
-    """The three levels; ``chance2`` and ``left`` stand beside level two, ``chance3`` beside level three, as codes."""
+    """The three levels; ``chance2`` and ``left`` stand beside level two, ``chance3`` beside level three, as codes in ``steps``."""
 
-    def __init__(self, first: EliasFano, to_second: EliasFano, second: EliasFano, to_third: EliasFano, third: EliasFano, chance2: np.ndarray, left: np.ndarray, chance3: np.ndarray):
+    def __init__(self, first: EliasFano, to_second: EliasFano, second: EliasFano, to_third: EliasFano, third: EliasFano, steps: np.ndarray, chance2: np.ndarray, left: np.ndarray, chance3: np.ndarray):
         self.sequences = (first, to_second, second, to_third, third)
-        self.chance2, self.left, self.chance3 = chance2, left, chance3
+        self.steps, self.chance2, self.left, self.chance3 = steps, chance2, left, chance3
 
     @classmethod
     def build(cls, first: np.ndarray, second: np.ndarray, chance2: np.ndarray, left: np.ndarray, pair: np.ndarray, third: np.ndarray, chance3: np.ndarray) -> NGramTrie:
-        """From sorted pairs (first, second) with their codes, and third words sorted by the number of their pair."""
+        """From sorted pairs (first, second) with their probabilities, and third words sorted by the number of their pair."""
+        kinds = [Quantiser.over(x) for x in (chance2, left, chance3)]
         begin1 = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(first)])
         begin2 = np.searchsorted(pair, np.arange(len(first) + 1))
         own = np.flatnonzero(begin2[:-1] < begin2[1:])
@@ -138,16 +148,17 @@ class NGramTrie:
             EliasFano.of(relative(second, begin1)),
             EliasFano.of(begin2),
             EliasFano.of(relative(third, begin2[:-1][own])),
-            chance2,
-            left,
-            chance3,
+            np.array([k.step for k in kinds]),
+            *(k.codes(x) for k, x in zip(kinds, (chance2, left, chance3), strict=True)),
         )
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The place of each pair in level two, or -1."""
+        """The place of each pair in level two, or -1; equal first words stand together."""
         roots, pointers, seconds = self.sequences[:3]
-        at = roots.find(first, np.zeros(len(first), np.int64), np.full(len(first), roots.size, np.int64))
-        return seconds.find(second, *self._range(pointers, at))
+        begin = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(first)])
+        at = roots.find(first[begin], np.zeros(len(begin), np.int64), np.full(len(begin), roots.size, np.int64))
+        size = np.diff(np.append(begin, len(first)))
+        return seconds.find(second, *(np.repeat(x, size) for x in self._range(pointers, at)))
 
     def thirds(self, pair: np.ndarray, third: np.ndarray) -> np.ndarray:
         """The place of each third word in level three, given its pair's place, or -1."""
@@ -162,7 +173,7 @@ class NGramTrie:
         return begin, end
 
     def write(self, fs: pa.fs.FileSystem, path: str) -> None:
-        arrays = [a for s in self.sequences for a in s.arrays()] + [self.chance2, self.left, self.chance3]
+        arrays = [a for s in self.sequences for a in s.arrays()] + [self.steps, self.chance2, self.left, self.chance3]
         head = MAGIC + struct.pack("<Q", len(arrays)) + b"".join(struct.pack("<8sQ", a.dtype.str.encode(), len(a)) for a in arrays)
         with fs.open_output_stream(path) as out:
             out.write(head)

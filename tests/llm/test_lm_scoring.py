@@ -9,7 +9,10 @@ import pyarrow.fs
 import pytest
 
 from quire.llm import lm_scoring as lm
-from quire.llm.ngram_trie import STEP, EliasFano, NGramTrie
+from quire.llm.ngram_trie import ABSENT, EliasFano, NGramTrie, Quantiser, select_in_words
+
+#: The most that a code takes off a log probability here; each of a token's three may be coded.
+STEP = 0.03
 
 HELD = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2"
 
@@ -96,11 +99,14 @@ def test_trie_finds_its_trigrams_in_a_mapped_file(tmp_path):
     grams = sorted(set(map(tuple, rng.integers(1, 40, (6000, 3)).tolist())))
     a = np.array(grams, np.uint32)
     pairs, which = np.unique(a[:, 0].astype(np.uint64) << lm.HIGH | a[:, 1], return_inverse=True)
-    codes = np.arange(len(pairs)).astype(np.uint16)
+    chance = np.linspace(1e-6, 1, len(pairs))
     fs = pyarrow.fs.LocalFileSystem()
-    NGramTrie.build((pairs >> lm.HIGH).astype(np.uint32), (pairs & lm.LOW).astype(np.uint32), codes, codes, which, a[:, 2], np.arange(len(a)).astype(np.uint16)).write(fs, str(tmp_path / "t"))
+    NGramTrie.build((pairs >> lm.HIGH).astype(np.uint32), (pairs & lm.LOW).astype(np.uint32), chance, chance, which, a[:, 2], np.linspace(0.01, 0.5, len(a))).write(fs, str(tmp_path / "t"))
     trie = NGramTrie.open(fs, str(tmp_path / "t"))
     asked = rng.integers(0, 45, (20_000, 3)).astype(np.uint32)
+    asked = asked[np.argsort(asked[:, 0], kind="stable")]
+    coded = Quantiser(trie.steps[0]).values[trie.chance2]
+    assert (coded <= chance * (1 + 1e-9)).all() and (coded >= chance * 10 ** -(trie.steps[0] * 1.001)).all()
     place = {g: i for i, g in enumerate(grams)}
     assert trie.thirds(trie.pairs(asked[:, 0], asked[:, 1]), asked[:, 2]).tolist() == [place.get(tuple(g), -1) for g in asked.tolist()]
 
@@ -109,3 +115,13 @@ def test_packed_arrays_come_back():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.uint32), np.array([-3, 4], np.int64), np.array([1, 0], np.uint8)]
     for a, b in zip(arrays, lm.unpack(lm.pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_select():
+    rng = np.random.default_rng(3)
+    words = np.append(rng.integers(0, 1 << 63, 500, dtype=np.uint64) << np.uint64(1) | np.uint64(1), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64))
+    for word in words.tolist():
+        bits = [i for i in range(64) if word >> i & 1]
+        got = select_in_words(np.full(len(bits), word, np.uint64), np.arange(len(bits)))
+        assert got.tolist() == bits
+    assert Quantiser(0.1).values[ABSENT] == 0
