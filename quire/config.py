@@ -25,7 +25,10 @@ class EngineConfig:
     input_max_words: int = 1_000
     index_recall: float = 0.95
     min_topic_size: int = 10
+    embedding: str = "hashed"  # or "latent"
     embedding_dim: int = 256
+    latent_dim: int = 64
+    latent_vocabulary: int = 20_000
     num_topics: int = 10
     topic_method: str = "kmeans"  # or "density"
     topic_runs: int = 10
@@ -35,6 +38,10 @@ class EngineConfig:
     keywords: int = 10
     seed: int = 42
 
+    @property
+    def vector_dim(self) -> int:
+        return self.latent_dim if self.embedding == "latent" else self.embedding_dim
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> EngineConfig:
         """RESEARCH_DOMAINS (comma-separated), PAPERS_PER_DOMAIN, DATE_FROM, DATE_TO, TOP_K_RESULTS, MIN_TOPIC_SIZE."""

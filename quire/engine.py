@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
 from quire.functions import dates
-from quire.operators import charts, density, prepare, search, stats, summaries, topics, trends
+from quire.operators import charts, density, latent, prepare, search, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.schemas import RAW_PAPER
 from quire.sources import remote, tables
@@ -61,8 +61,11 @@ class Engine:
             seen, kept = counts.get["seen"], counts.get["processed"]
             tables.write_parquet(self.spark.createDataFrame([(seen, kept, seen - kept)], "seen long, processed long, skipped long"), self._path("processing"))
         papers = self.papers()
-        if refresh or not tables._exists(self.spark, self._path("embedder")):
-            search.Embedder(self.config).fit(papers).model.write().overwrite().save(self._path("embedder"))
+        if refresh or not tables._exists(self.spark, self._path(self._embedder_stage)):
+            if self.config.embedding == "latent":
+                latent.LatentEmbedder(self.config).fit(papers).save(self.spark, self._path("latent_embedder"))
+            else:
+                search.Embedder(self.config).fit(papers).model.write().overwrite().save(self._path("embedder"))
         vectors = t("embeddings", lambda: self.embedder().embed(papers))
         if refresh or not tables._exists(self.spark, self._path("vector_index/meta")):
             VectorIndex.build(vectors, self._path("vector_index"), recall=self.config.index_recall, k=self.config.top_k, seed=self.config.seed)
@@ -75,9 +78,9 @@ class Engine:
         """Topics of the papers by the configured method: a kept k-means model, or density clusters."""
         c = self.config
         if c.topic_method == "density":
-            return density.density_clusters(vectors, c.min_topic_size, components=min(c.topic_components, c.embedding_dim))
+            return density.density_clusters(vectors, c.min_topic_size, components=min(c.topic_components, c.vector_dim))
         if refresh or not tables._exists(self.spark, self._path("topic_model")):
-            topics.fit_kmeans(vectors, c.num_topics, c.seed, c.topic_runs, reduce_to=min(c.topic_components, c.embedding_dim)).write().overwrite().save(self._path("topic_model"))
+            topics.fit_kmeans(vectors, c.num_topics, c.seed, c.topic_runs, reduce_to=min(c.topic_components, c.vector_dim)).write().overwrite().save(self._path("topic_model"))
         return topics.assign_topics(vectors, PipelineModel.load(self._path("topic_model")), c.min_topic_size)
 
     def health(self) -> DataFrame:
@@ -102,7 +105,13 @@ class Engine:
             raise NotReady("vector_index")
         return VectorIndex.open(self.spark, self._path("vector_index"))
 
-    def embedder(self) -> search.Embedder:
+    @property
+    def _embedder_stage(self) -> str:
+        return "latent_embedder" if self.config.embedding == "latent" else "embedder"
+
+    def embedder(self) -> search.Embedder | latent.LatentEmbedder:
+        if self.config.embedding == "latent":
+            return latent.LatentEmbedder.load(self.spark, self._path("latent_embedder"), self.config)
         return search.Embedder(self.config, PipelineModel.load(self._path("embedder")))
 
     def assignments(self) -> DataFrame:

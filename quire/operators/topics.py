@@ -178,6 +178,6 @@ def topic_keywords(papers: DataFrame, vectors: DataFrame, assigned: DataFrame, e
 
 def fit_topics(papers: DataFrame, vectors: DataFrame, embed, config: EngineConfig = EngineConfig()) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """(model, assignments, keywords) of papers with a text."""
-    model = fit_kmeans(vectors, config.num_topics, config.seed, config.topic_runs, reduce_to=min(config.topic_components, config.embedding_dim))
+    model = fit_kmeans(vectors, config.num_topics, config.seed, config.topic_runs, reduce_to=min(config.topic_components, config.vector_dim))
     assigned = assign_topics(vectors, model, config.min_topic_size)
     return model, assigned, topic_keywords(papers, vectors, assigned, embed, config)

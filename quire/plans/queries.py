@@ -12,7 +12,7 @@ from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.functions.dates import between, year
 from quire.functions.rouge import rouge_l, rouge_n
-from quire.operators import charts, density, prepare, search, stats, summaries, topics, trends
+from quire.operators import charts, density, latent, prepare, search, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.plans import views
 from quire.schemas import RAW_PAPER
@@ -423,13 +423,31 @@ def topic_trends_outliers(spark, d):
     return _flat_trends(topics.topic_trends(views.topic_papers_outliers(spark, d), "quarter"))
 
 
+def latent_neighbours(spark, d):
+    """The documents nearest to a text by latent semantic vectors."""
+    papers = prepare.process(prepare.validate(views.papers_text(spark, d)))
+    embedder = latent.LatentEmbedder().fit(papers)
+    return search.top_k(embedder.embed(papers), embedder.embed_text(spark, "the and attion to thanedble"))
+
+
+def latent_quality(spark, d):
+    """How well the opening of a conversation finds the rest of it among all, by hashed and by latent vectors."""
+    opening, rest = views.conversation_halves(spark, d)
+    asked = opening.filter(F.col("pmid").cast("long") % 50 == 0)
+    each = []
+    for name, embedder in (("hashed", search.Embedder()), ("latent", latent.LatentEmbedder())):
+        embedder.fit(rest)
+        each.append(latent.rank_quality(embedder.embed(asked), embedder.embed(rest)).select(F.lit(name).alias("vectors"), "queries", r6("recall"), r6("reciprocal_rank")))
+    return each[0].unionByName(each[1])
+
+
 _NAMES = (
     similar_topk, search_topk_vec, search_payload, clean_text, clean_text_html, validate_filter, word_counts, sentences, chunks, process_projection, corpus_stats, year_range, journal_hist, term_hist,
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_stemmed, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
-    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, ranked_hits, jsonl_roundtrip, xml_ingest,
+    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
 

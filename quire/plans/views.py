@@ -48,6 +48,14 @@ def paper_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("pmid"), "embedding", F.col("label").alias("topic_id"))
 
 
+def conversation_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two papers a conversation of two turns or more: (pmid, text_content) of its first turns and of the others, as they come in order."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).filter(F.size("t") > 1)
+    half = F.ceil(F.size("t") / 2).cast("int")
+    part = lambda first, n: turns.select(F.col("conv_id").cast("string").alias("pmid"), F.array_join(F.transform(F.slice("t", first, n), lambda x: x["text"]), "\n").alias("text_content"))
+    return part(F.lit(1), half), part(half + 1, F.size("t"))
+
+
 def topic_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pmid"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("topic_id"), F.col("o_orderdate").alias("date"))
 
