@@ -315,16 +315,19 @@ def _hot_ids(hot: list[tuple[int, int, int]]) -> dict[int, int]:
     return {a << 32 | b: n for a, b, n in hot}
 
 
-def answer_trigrams(asked: DataFrame, folder: str, shards: int, hot: list[tuple[int, int, int]]) -> DataFrame:
-    """(block, part, payload): each shard's trie answers what blocks asked it."""
+def answer_trigrams(asked: DataFrame, folder: str, shards: int, hot: list[tuple[int, int, int]], keep: bool) -> DataFrame:
+    """(block, part, payload): each shard's trie answers what blocks asked it, and is deleted then unless it is to be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         attempt, out, fixed = TaskContext.get().taskAttemptId(), Rows(pa.schema([("block", pa.string()), ("part", pa.int32()), ("payload", pa.binary())])), _hot_ids(hot)
         for (shard,), rows in grouped(batches, 1):
-            for name, data in answers([(name, unpack(data)) for name, data in rows], fixed, fs, f"{path}/shard-{shard}-{attempt}"):
+            file = f"{path}/shard-{shard}-{attempt}"
+            for name, data in answers([(name, unpack(data)) for name, data in rows], fixed, fs, file):
                 yield from out.add((name, shard, data), len(data) + 64)
+            if not keep:
+                fs.delete_file(file)
         yield out.flush()
 
     return asked.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, "block string, part int, payload binary")
@@ -409,10 +412,12 @@ def score_blocks(known: DataFrame, replies: DataFrame, folder: str, learnt: int,
     return both.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, columns)
 
 
-def score_documents(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Per row: doc_id long, held_out boolean (``held``, an SQL condition on doc_id), n_tokens, n_known, train_tokens long, base_score, score double."""
+def score_documents(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, tries: str | None = None) -> DataFrame:
+    """Per row: doc_id long, held_out boolean (``held``, an SQL condition on doc_id), n_tokens, n_known, train_tokens long, base_score, score double.
+
+    ``tries``: a folder in which the shards' files stay; a file of a lost task's attempt may stay beside them."""
     spark = docs.sparkSession
-    folder, tries = shared_folder(spark, "lm-blocks"), shared_folder(spark, "lm-tries")
+    folder = shared_folder(spark, "lm-blocks")
     own = id_and_text(docs, id_col, text_col).withColumn("held", F.coalesce(F.expr(held), F.lit(False)))
     packed = written(pack_documents(own, folder, block_tokens), "lm-words")
     all_tokens, learnt, words = (x or 0 for x in packed.agg(F.sum("tokens"), F.sum("learnt"), F.sum("words")).first())
@@ -422,7 +427,7 @@ def score_documents(docs: DataFrame, held: str, id_col: str = "doc_id", text_col
     hot = hot_ids(packed, known, hot_pairs(packed, folder, learnt))
     deleted(packed)  # what follows reads the blocks and the counts
     asked = ask_trigrams(known, folder, learnt, shards, hot)
-    return score_blocks(known, answer_trigrams(asked, tries, shards, hot), folder, learnt, distinct, shards, hot)
+    return score_blocks(known, answer_trigrams(asked, tries or shared_folder(spark, "lm-tries"), shards, hot, tries is not None), folder, learnt, distinct, shards, hot)
 
 
 def hot_ids(packed: DataFrame, known: DataFrame, hot: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -87,6 +87,15 @@ def test_odd_rows(spark):
     assert {(r.train_tokens, r.n_known, r.base_score, r.score) for r in nothing} == {(0, 0, 0.0, 0.0)}
 
 
+def test_tries_can_be_kept(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = lm.score_documents(docs, HELD, shard_tokens=20_000, tries=str(tmp_path)).count()
+    files = sorted(tmp_path.iterdir())
+    assert n == docs.count() and len(files) == 4
+    trie = NGramTrie.open(pyarrow.fs.LocalFileSystem(), str(files[0]))
+    assert trie.sequences[2].size == len(trie.chance2) > 1000 and trie.sequences[4].size == len(trie.chance3) > 1000
+
+
 def test_elias_fano_gives_back_what_it_holds():
     rng = np.random.default_rng(1)
     for n, most in ((0, 1), (1, 0), (1, 1 << 45), (7, 3), (5000, 10), (5000, 1 << 40)):
