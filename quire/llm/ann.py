@@ -17,7 +17,8 @@
    precision on the original vectors.
 
 Vectors that are null, zero, hold nulls or non-finite numbers, or have another length than most, take
-no part, nor do null ids; nor do those whose squares overflow.  Of rows with one id the least vector counts.
+no part, nor do null ids.  Vectors of any finite size are compared scaled by one power of two; a score beyond the doubles' range is
+what double arithmetic makes of it.  Of rows with one id the least vector counts.
 Ties go to the smaller id.  Repeated rows count once.  Extra columns are left alone.  A table without usable
 vectors gives no rows.
 
@@ -27,6 +28,7 @@ sphere of 64 dimensions most, whatever the index, so then the work grows with qu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,16 +55,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(f"`{vector_col}`").cast("array<double>")
     plain = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null and vector is not null")
     fine = plain.filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
-    fine = fine.filter(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) < float("inf"))
     return fine.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 class Index:
     """What tasks need to know: the rotation, the lists' centres, and the sample for first bounds."""
 
-    def __init__(self, sample: np.ndarray, largest: float, total: int, k: int, target: float, seed: int = 11):
+    def __init__(self, sample: np.ndarray, largest: float, total: int, k: int, target: float, seed: int = 11, scale: float = 1.0):
+        """largest: the greatest norm of what vectors times ``scale``, a power of two, are."""
         rng = np.random.default_rng(seed)
-        self.k, self.largest = k, largest
+        self.k, self.scale, self.largest = k, scale, largest
         n, d = sample.shape
         self.rotation = np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0]
         self.sample = sample
@@ -73,6 +75,7 @@ class Index:
         self.probes = self._calibrate(target)
 
     def rotate(self, x: np.ndarray, query: bool) -> np.ndarray:
+        x = x * self.scale
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.largest**2 - (x * x).sum(axis=1), 0))
         return np.column_stack([x, extra]) @ self.rotation
 
@@ -100,7 +103,7 @@ class Index:
 
     def _calibrate(self, target: float) -> int:
         q = self.rotate(self.sample[:FIT_QUERIES], True)
-        near = self.sample[:FIT_QUERIES] @ self.sample.T
+        near = (self.sample[:FIT_QUERIES] * self.scale) @ (self.sample * self.scale).T
         near[np.arange(len(q)), np.arange(len(q))] = -np.inf
         k = min(self.k, len(self.sample) - 1)
         if k < 1:
@@ -121,7 +124,9 @@ class Index:
 
 
 def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) numbers that no test abandons, over column blocks of the rotated vectors (single precision)."""
+    """(query, candidate) numbers that no test abandons, over column blocks of the rotated vectors (single precision).
+
+    Vectors come scaled, with a greatest component from 1/2 to 1, so the slack is one of their size."""
     d = x.shape[1]
     slack = 1e-4 * (1 + np.where(np.isfinite(bound), bound, 0))
 
@@ -170,14 +175,16 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, target
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     fine = written(usable(vectors, id_col, vector_col), "vectors")
-    sizes = fine.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).alias("largest")).orderBy(F.desc("n"), "d").first()
+    sizes = fine.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("most")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], result)
-    d, total, largest = sizes["d"], sizes["n"], sizes["largest"]
+    d, total = sizes["d"], sizes["n"]
     fine = fine.filter(F.size("vector") == d)
+    scale = 2.0 ** -min(1000, max(-1000, math.frexp(sizes["most"])[1]))  # exact, and no square overflows
+    largest = math.sqrt(fine.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * scale * (x * scale)))).first()[0])
     sample = hash_sample(fine, "vec_id", FIT_ROWS).collect()
     sample_ids = np.array([r["vec_id"] for r in sample], np.int64)
-    index = Index(np.array([r["vector"] for r in sample]), largest, total, k, target_recall)
+    index = Index(np.array([r["vector"] for r in sample]), largest, total, k, target_recall, scale=scale)
 
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
 

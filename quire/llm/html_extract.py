@@ -35,7 +35,7 @@ from quire.llm.common import Rows
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|title|textarea"
+RAW = frozenset("script style title textarea".split())
 #: Elements whose content is no text of the page.
 HOLDS_NONE = frozenset("noscript template svg iframe object canvas audio video select".split())
 MATH = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mlabeledtr mspace mstyle semantics annotation annotation-xml mpadded mphantom menclose merror mfenced mmultiscripts mprescripts none maction".split())
@@ -56,38 +56,109 @@ NO_ARTICLE = frozenset("comment comments reply related teaser ad ads advert spon
 #: Short blocks that head or are boilerplate.
 HEADS = frozenset(("comments", "leave a comment", "leave a reply", "related", "related articles", "related posts", "related stories", "read more", "share", "share this", "advertisement", "sponsored", "subscribe", "newsletter", "sign up", "log in", "tags"))
 FOR = frozenset("article content post entry story body main text".split())
+COMMENTS = frozenset("reply replies respond discussion disqus".split())
+#: Words of a class that tell how a page is laid out, not what an element holds.
+LAYOUT = re.compile(r"^(?:no|has|with|without|is|hide|show|js)[-_]|[-_]?(?:layout|page|template|theme)$|^(?:layout|page|template|theme)[-_]", re.I)
 GOOD, BAD = frozenset(("article", "main")), frozenset("nav footer aside form button dialog menu header".split())
 S_NEXT, S_NEAR, WINDOW = 0.8, 0.4, 3
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _HOLDS_NONE = re.compile(rf"<({'|'.join(sorted(HOLDS_NONE))})\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
+class Scanner:
+    """The tokens of a page, in one pass: where a tag ends is looked up once for each quote and each gap between special characters."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[int, int] = {}  # where a tag ends that meets this opening quote
+        self.seen: dict[str, tuple[int, int]] = {}
+
+    def _next(self, what: str, at: int) -> int:
+        """The next place of one of these characters, or the page's length."""
+        begin, found = self.seen.get(what, (0, -1))
+        if not begin <= at <= found:
+            places = [p for p in (self.page.find(what, at),) if p >= 0] if len(what) == 1 else [p for p in (self._next(c, at) for c in what) if p < len(self.page)]
+            found = min(places, default=len(self.page))
+            self.seen[what] = (at, found)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag; quoted ones don't, but where a quote stays open the next one does.  Without any, the page's length."""
+        begin, passed, size = at, [], len(self.page)
+        while True:
+            at = self._next(">\"'", at)
+            if at == size or self.page[at] == ">":
+                break
+            if at in self.ends:
+                at = self.ends[at]
+                break
+            passed.append(at)
+            at = self._next(self.page[at], at + 1) + 1
+            if at > size:
+                at = size
+                break
+        for quote in passed:
+            self.ends[quote] = at
+        return at if at < size else self._next(">", begin)
+
+    def tokens(self) -> Iterator[tuple[int, str, str, str]]:
+        """(place, kind, name, what): kind is text, start, end or raw; of a start tag what are its attributes, of text itself."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            if page[at] != "<":
+                end = self._next("<", at)
+                yield at, "text", "", page[at:end]
+                at = end
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+            elif name := _NAME.match(page, at + 1 + (page[at + 1 : at + 2] == "/")):
+                end, tag = self.tag_end(name.end()), name[0].lower()
+                if end == size:
+                    return  # a tag that never ends
+                if page[at + 1] == "/":
+                    yield at, "end", tag, ""
+                elif tag in RAW:
+                    yield at, "raw", tag, ""
+                    close = _RAW_END[tag].search(page, end + 1)
+                    end = close.end() - 1 if close else size
+                else:
+                    yield at, "start", tag, page[name.end() : end]
+                at = end + 1
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                at = self._next(">", at) + 1
+            else:
+                yield at, "text", "", "<"
+                at += 1
+
+
 class Element:
-    __slots__ = ("tag", "depth", "place", "against", "supports", "in_link", "no_text", "parent")
+    """An open element: what it says of itself (against), and what holds for its text once a page is read (place, against)."""
+
+    __slots__ = ("tag", "depth", "place", "against", "supports", "in_link", "no_text", "parent", "block", "comments", "words", "holds_main", "holds_good")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.place = parent.place if parent else ""
-        self.against = parent.against if parent else False
+        self.place, self.against, self.words = "", False, 0
+        self.comments, self.holds_main, self.holds_good = False, tag == "main", False
         self.supports = parent.supports if parent else False
         self.in_link = tag == "a" or bool(parent and parent.in_link)
         self.no_text = tag in HOLDS_NONE or bool(parent and parent.no_text)
-        if tag in GOOD or tag in BAD and not (tag == "header" and self.place == "good"):
-            self.place = "good" if tag in GOOD else "bad"
+        self.block = parent.block if tag in INLINE and parent else self
         if attributes and not attributes.isspace():
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role"):
+                    value = " ".join(v for v in value.split() if not LAYOUT.search(v))
                     words = {w.lower() for w in _WORDS.findall(value)}
                     self.supports |= bool(words & FOR)
+                    self.comments |= bool(words & COMMENTS) or "comment" in value.lower()
                     if tag == "article":
                         self.against |= bool(words & NO_ARTICLE)
                     elif tag not in ("html", "body", "main"):
@@ -98,6 +169,19 @@ class Element:
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     self.against = True
 
+    def settle(self, total: int, marked: bool) -> None:
+        """place and against, given those of the parent, the page's words and whether it has an article or main element.
+
+        What wraps the page is no boilerplate, whatever its name: an element around the main element, or one with over half of all words, other
+        than comments, where no article is marked elsewhere; nor is a form of either kind."""
+        most = 2 * self.words > total and not self.comments
+        wraps = self.holds_main or most and (not marked or self.holds_good)
+        own, place = self.against and not wraps, "good" if self.tag in GOOD else "bad" if self.tag in BAD else ""
+        if place == "bad" and (self.tag == "form" and (most or self.holds_good) or self.tag == "header" and self.parent.place == "good"):
+            place = ""
+        self.place = place or (self.parent.place if self.parent else "")
+        self.against = own or bool(self.parent and self.parent.against)
+
 
 class Block:
     __slots__ = ("text", "words", "links", "element")
@@ -111,21 +195,54 @@ def _held(page: str) -> set[int]:
     closed: set[int] = set()
     if _HOLDS_NONE.search(page):
         open_at: dict[str, list[int]] = {}
-        for m in _TOKEN.finditer(page):
-            tag = (m[3] or m[6] or "").lower()
+        for at, kind, tag, what in Scanner(page).tokens():
             if tag in HOLDS_NONE:
-                if not (m[2] or m[5]):
-                    if not (m[4] or m[7] or "").endswith("/") or tag != "svg":
-                        open_at.setdefault(tag, []).append(m.start())
+                if kind == "start":
+                    if not what.endswith("/") or tag != "svg":
+                        open_at.setdefault(tag, []).append(at)
                 elif open_at.get(tag):
                     closed.add(open_at[tag].pop())
     return closed
 
 
+class Stack:
+    """The open elements, and where each tag stands among them."""
+
+    def __init__(self):
+        self.items, self.at, self.blocks = [Element("", "", None)], {}, []
+
+    @property
+    def top(self) -> Element:
+        return self.items[-1]
+
+    def push(self, element: Element) -> None:
+        for places in [self.at.setdefault(element.tag, [])] + [self.blocks] * (element.tag not in INLINE):
+            places.append(len(self.items))
+        self.items.append(element)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, 0 if none is open."""
+        return (self.at.get(tag) or [0])[-1]
+
+    def cut(self, place: int) -> None:
+        """Closes everything from a place on."""
+        while len(self.items) > place:
+            tag = self.items.pop().tag
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def close(self, tag: str, within) -> None:
+        """Closes the innermost open ``tag``, unless one of ``within`` is open inside it."""
+        place = self.last(tag)
+        if place and all(self.last(other) < place for other in within if other != tag):
+            self.cut(place)
+
+
 def read_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     closed = _held(page)
-    stack = [Element("", "", None)]
+    stack, elements = Stack(), []
     parts: list[str] = []
     links = 0
 
@@ -134,71 +251,62 @@ def read_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                container = stack[-1]
-                while container.tag in INLINE and container.parent:
-                    container = container.parent
-                blocks.append(Block(text, links, container))
+                blocks.append(Block(text, links, stack.top.block))
+                stack.top.block.words += blocks[-1].words - min(links, blocks[-1].words)
             parts.clear()
             links = 0
 
-    for m in _TOKEN.finditer(page):
-        text = m[8]
-        if text is not None:
-            text = html.unescape(text) if "&" in text else text
-            if stack[-1].no_text:
+    for at, kind, tag, what in Scanner(page).tokens():
+        if kind == "text":
+            if stack.top.no_text:
                 continue
-            if stack[-1].tag == "head" and not text.isspace():
-                stack.pop()
+            text = html.unescape(what) if "&" in what else what
+            if stack.top.tag == "head" and not text.isspace():
+                stack.cut(stack.last("head"))
             parts.append(text)
-            if stack[-1].in_link:
+            if stack.top.in_link:
                 links += len(text.split())
             continue
-        name = m[3] or m[6]
-        if not name:
-            if m[1]:
-                end_block()
+        if kind == "raw":
+            end_block()
             continue
-        tag = name.lower()
         if tag not in INLINE:
             end_block()
-        if m[2] or m[5]:
-            if any(e.tag == tag for e in stack[1:]):
-                if tag in INLINE and any(e.tag not in INLINE for e in _above(stack, tag)):
-                    continue  # an inline end tag doesn't close blocks
-                end_block() if tag not in INLINE else None
-                while stack.pop().tag != tag:
-                    pass
+        if kind == "end":
+            place = stack.last(tag)
+            if place and not (tag in INLINE and stack.blocks and stack.blocks[-1] > place):  # an inline end tag doesn't close blocks
+                stack.cut(place)
             continue
-        if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()  # its end tag may be left out
-        if tag in MATH and (m[4] or m[7] or "").endswith("/") or tag in HOLDS_NONE and m.start() not in closed:
+        if stack.top.tag == "head" and tag not in HEAD:
+            stack.cut(stack.last("head"))  # its end tag may be left out
+        if tag in MATH and what.endswith("/") or tag in HOLDS_NONE and at not in closed:
             continue
         if tag in CLOSES_P:
-            _close(stack, "p", ("button", "td", "th", "li", "article", "section", "div", "object"))
+            stack.close("p", ("button", "td", "th", "li", "article", "section", "div", "object"))
         elif tag in SAME_CLOSES:
             for other in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
-                _close(stack, other, SAME_CLOSES[tag].split())
+                stack.close(other, SAME_CLOSES[tag].split())
         if tag not in VOID:
-            stack.append(Element(tag, m[4] or m[7] or "", stack[-1]))
+            stack.push(Element(tag, what, stack.top))
+            elements.append(stack.top)
     end_block()
+    _settle(elements)
     return blocks
 
 
-def _above(stack: list[Element], tag: str) -> list[Element]:
-    k = len(stack) - 1
-    while stack[k].tag != tag:
-        k -= 1
-    return stack[k + 1 :]
-
-
-def _close(stack: list[Element], tag: str, within) -> None:
-    """Closes the innermost open ``tag``, unless one of ``within`` is open inside it."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in within:
-            return
+def _settle(elements: list[Element]) -> None:
+    """From the words that elements hold, what holds for their text; parents come before their children."""
+    marked = False
+    for e in reversed(elements):
+        good = e.tag in GOOD and not e.against
+        marked |= good and e.words > 0
+        if e.parent:
+            e.parent.words += e.words
+            e.parent.holds_main |= e.holds_main
+            e.parent.holds_good |= good or e.holds_good
+    total = elements[0].parent.words if elements else 0
+    for e in elements:
+        e.settle(total, marked)
 
 
 def features(block: Block, marked: bool) -> tuple[float, ...]:
