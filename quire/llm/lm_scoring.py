@@ -44,7 +44,7 @@ from quire.llm.ngram_trie import ABSENT, NGramTrie, Quantiser
 from quire.llm.sstable import filesystem
 from quire.storage import shared_folder
 
-BLOCK_TOKENS, SHARD_TOKENS, RANGE_WORDS = 2_000_000, 2_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS, RANGE_WORDS = 1_000_000, 1_500_000, 1_500_000
 HOT = 1024
 FLOOR, PAIR, TRIPLE = 0.6, 400.0, 2.0
 END = b""
