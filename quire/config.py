@@ -19,6 +19,7 @@ class EngineConfig:
     chunk_words: int = 512
     top_k: int = 10
     summary_top_k: int = 5
+    summary_method: str = "lead"  # or "graph"
     summary_sentences: int = 6
     summary_max_words: int = 150
     summary_min_chars: int = 50

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.config import EngineConfig
 from quire.functions import text as T
 from quire.functions.text import tokens
+from quire.operators.graph_summary import graph_sentences
 from quire.operators.prepare import with_text
 
 TOO_SHORT = "Text too short for summarization"
@@ -36,11 +37,26 @@ def summary_text(text: Column, query: str | None = None, config: EngineConfig =
     return T.post_process(T.let(picked, lambda x: _at_most(x, min(config.input_max_words, config.summary_max_words))))
 
 
+def graph_summary_text(rows: DataFrame, text: Column, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """rows with ``summary``: the sentences that rank best in the text's sentence graph, the leading ones where none is long enough to be one."""
+    most = min(config.input_max_words, config.summary_max_words)
+    marked = rows.withColumn("_sentences", T.split_sentences(text, config.sentence_min_chars))
+    best = graph_sentences(F.col("_sentences"), config.summary_sentences, most)
+    whole = T.post_process(T.first_words(best, most))
+    return marked.withColumn("summary", F.when(F.size("_sentences") > 0, whole).otherwise(summary_text(text, None, config))).drop("_sentences")
+
+
 def add_summary(rows: DataFrame, text_col: str = "text_content", query: str | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Adds summary, error, original_length, summary_length, compression_ratio; columns of those names are replaced."""
+    """Adds summary, error, original_length, summary_length, compression_ratio; columns of those names are replaced.
+
+    Sentences are taken by the query's words, or else by the configured method."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     short = F.char_length(T.strip(text)) < config.summary_min_chars
-    out = rows.withColumn("summary", F.when(short, F.lit("")).otherwise(summary_text(text, query, config)))
+    if query is None and config.summary_method == "graph":
+        out = graph_summary_text(rows, text, config)
+        out = out.withColumn("summary", F.when(short, F.lit("")).otherwise(F.col("summary")))
+    else:
+        out = rows.withColumn("summary", F.when(short, F.lit("")).otherwise(summary_text(text, query, config)))
     return out.withColumns(
         {
             "error": F.when(short, F.lit(TOO_SHORT)),

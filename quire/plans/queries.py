@@ -310,6 +310,24 @@ def rouge_stemmed(spark, d):
     return _summarised(spark, d).select("pmid", score(rouge_n).alias("rouge1"), score(rouge_n, 2).alias("rouge2"), score(rouge_l).alias("rouge_l"))
 
 
+def graph_summary(spark, d):
+    """Each document's best sentences by their graph."""
+    rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
+    done = summaries.add_summary(rows, config=EngineConfig(summary_method="graph"))
+    return done.select("pmid", "summary", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("summary_length", F.lit(0)).cast("long").alias("summary_length"))
+
+
+def summary_methods(spark, d):
+    """Mean scores of leading and of graph-ranked sentences against whole documents."""
+    rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content")).filter(F.size(T.split_sentences(F.col("abstract"))) > 6)
+    each = []
+    for method in ("lead", "graph"):
+        done = summaries.add_summary(rows, config=EngineConfig(summary_method=method))
+        scores = [F.round(F.avg(rouge_n(F.col("summary"), F.col("text_content"), n)), 6).alias(f"rouge{n}") for n in (1, 2)]
+        each.append(done.agg(F.count("*").alias("documents"), *scores).select(F.lit(method).alias("method"), "documents", "rouge1", "rouge2"))
+    return each[0].unionByName(each[1])
+
+
 def ranked_hits(spark, d):
     hits = search.similar(views.paper_vectors(spark, d), "5", 5)
     return charts.ranked(hits, F.desc("similarity_score"), F.col("pmid")).select(F.col("rank").cast("long").alias("rank"), "pmid", F.format_string("%.3f", "similarity_score").alias("score"))
@@ -447,7 +465,7 @@ _NAMES = (
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_stemmed, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
-    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, ranked_hits, jsonl_roundtrip, xml_ingest,
+    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, graph_summary, summary_methods, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
 

@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(path))
     _SHIPPED.add(sc.applicationId)
+
+
+def ship_here() -> None:
+    """Ships to the session that is active, for functions that make columns."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
