@@ -15,6 +15,7 @@ class EngineConfig:
     date_to: str = "2024/12/31"
     min_text_length: int = 50
     max_text_length: int = 10_000
+    sentence_splitter: str = "rule"  # or "trained"
     sentence_min_chars: int = 20
     chunk_words: int = 512
     top_k: int = 10

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
 from quire.functions import dates
+from quire.functions.sentences import train
 from quire.operators import charts, density, latent, prepare, search, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.schemas import RAW_PAPER
@@ -56,7 +57,8 @@ class Engine:
         t = lambda name, build: tables.materialise(self.spark, self._path(name), build, refresh)
         raw = self._table("raw_papers")
         if refresh or not tables._exists(self.spark, self._path("processed_papers")):
-            done, counts = prepare.process_valid(raw, self.config)
+            splitter = train(raw, "abstract") if self.config.sentence_splitter == "trained" else None
+            done, counts = prepare.process_valid(raw, self.config, splitter)
             tables.write_parquet(done, self._path("processed_papers"))
             seen, kept = counts.get["seen"], counts.get["processed"]
             tables.write_parquet(self.spark.createDataFrame([(seen, kept, seen - kept)], "seen long, processed long, skipped long"), self._path("processing"))

@@ -68,9 +68,9 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def split_sentences(text: Column, min_chars: int = 20) -> Column:
-    """Sentences longer than min_chars, each cleaned; text is decomposed already where clean_text gave it."""
-    parts = F.split(collapse(F.coalesce(text, F.lit(""))), SENTENCE_END)
+def split_sentences(text: Column, min_chars: int = 20, parts: Column | None = None) -> Column:
+    """Sentences longer than min_chars, each cleaned; text is decomposed already where clean_text gave it.  ``parts``: the text as another rule has split it."""
+    parts = F.split(collapse(F.coalesce(text, F.lit(""))), SENTENCE_END) if parts is None else parts
     return F.filter(F.transform(parts, lambda s: _clean_decomposed(s, True)), lambda s: F.char_length(s) > min_chars)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
 from quire.functions import text as T
+from quire.functions.sentences import Splitter, split_trained
 
 
 def is_valid(config: EngineConfig = EngineConfig()) -> Column:
@@ -20,8 +21,8 @@ def validate(papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFr
     return papers.filter(is_valid(config))
 
 
-def process(papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """The 13 columns of a processed paper.  Each derived array is computed once and reused."""
+def process(papers: DataFrame, config: EngineConfig = EngineConfig(), splitter: Splitter | None = None) -> DataFrame:
+    """The 13 columns of a processed paper.  Each derived array is computed once and reused.  ``splitter``: a trained one, instead of the rule."""
     none = F.array().cast("array<string>")
     cleaned = papers.select(
         "pmid",
@@ -32,7 +33,11 @@ def process(papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
         F.coalesce("pub_date", F.lit("Unknown")).alias("pub_date"),
         F.coalesce("mesh_terms", none).alias("mesh_terms"),
     ).withColumn("text_content", T.text_content(F.col("title"), F.col("abstract")))
-    split = cleaned.withColumn("sentences", T.split_sentences(F.col("text_content"), config.sentence_min_chars))
+    if splitter is None:
+        split = cleaned.withColumn("sentences", T.split_sentences(F.col("text_content"), config.sentence_min_chars))
+    else:
+        parts = cleaned.withColumn("_parts", split_trained(T.collapse(F.col("text_content")), splitter))
+        split = parts.withColumn("sentences", T.split_sentences(F.col("text_content"), config.sentence_min_chars, F.col("_parts")))
     chunked = split.withColumn("chunks", T.chunk_sentences(F.col("sentences"), config.chunk_words))
     return chunked.select(
         "pmid", "title", "abstract", "text_content", "sentences", "chunks", "authors", "journal", "pub_date", "mesh_terms",
@@ -40,11 +45,11 @@ def process(papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     )
 
 
-def process_valid(papers: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, Observation]:
+def process_valid(papers: DataFrame, config: EngineConfig = EngineConfig(), splitter: Splitter | None = None) -> tuple[DataFrame, Observation]:
     """Processed valid papers, and an observation with ``seen`` and ``processed`` once an action has run."""
     counts = Observation("papers")
     seen = papers.observe(counts, F.count("*").alias("seen"), F.count_if(is_valid(config)).alias("processed"))
-    return process(validate(seen, config), config), counts
+    return process(validate(seen, config), config, splitter), counts
 
 
 def with_text(papers: DataFrame) -> DataFrame:

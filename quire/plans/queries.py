@@ -12,6 +12,7 @@ from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.functions.dates import between, year
 from quire.functions.rouge import rouge_l, rouge_n
+from quire.functions.sentences import split_trained, train
 from quire.operators import charts, density, latent, prepare, search, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.plans import views
@@ -310,6 +311,13 @@ def rouge_stemmed(spark, d):
     return _summarised(spark, d).select("pmid", score(rouge_n).alias("rouge1"), score(rouge_n, 2).alias("rouge2"), score(rouge_l).alias("rouge_l"))
 
 
+def trained_sentences(spark, d):
+    """Sentences by a splitter that has learnt from these documents."""
+    papers = views.papers_text(spark, d).select("pmid", "abstract")
+    found = papers.select("pmid", F.posexplode(split_trained(T.collapse(F.col("abstract")), train(papers, "abstract"))).alias("i", "sentence"))
+    return found.select("pmid", F.col("i").cast("long").alias("i"), "sentence")
+
+
 def graph_summary(spark, d):
     """Each document's best sentences by their graph."""
     rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
@@ -465,7 +473,7 @@ _NAMES = (
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_stemmed, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
-    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, graph_summary, summary_methods, ranked_hits, jsonl_roundtrip, xml_ingest,
+    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, trained_sentences, graph_summary, summary_methods, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
 
