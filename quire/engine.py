@@ -35,7 +35,7 @@ class Engine:
         return f"{self.home}/{name}"
 
     def _table(self, name: str) -> DataFrame:
-        if not tables._exists(self.spark, self._path(name)):
+        if not tables.ready(self.spark, self._path(name)):
             raise NotReady(name)
         return self.spark.read.parquet(self._path(name))
 
@@ -56,20 +56,21 @@ class Engine:
         """Preprocess, embed, summarise, and fit topics over the ingested papers; the stages and whether each is there."""
         t = lambda name, build: tables.materialise(self.spark, self._path(name), build, refresh)
         raw = self._table("raw_papers")
-        if refresh or not tables._exists(self.spark, self._path("processed_papers")):
+        if refresh or not tables.ready(self.spark, self._path("processed_papers")):
             splitter = train(raw, "abstract") if self.config.sentence_splitter == "trained" else None
             done, counts = prepare.process_valid(raw, self.config, splitter)
             tables.write_parquet(done, self._path("processed_papers"))
             seen, kept = counts.get["seen"], counts.get["processed"]
             tables.write_parquet(self.spark.createDataFrame([(seen, kept, seen - kept)], "seen long, processed long, skipped long"), self._path("processing"))
         papers = self.papers()
-        if refresh or not tables._exists(self.spark, self._path(self._embedder_stage)):
+        if refresh or not tables.ready(self.spark, self._path(self._embedder_stage)):
             if self.config.embedding == "latent":
                 latent.LatentEmbedder(self.config).fit(papers).save(self.spark, self._path("latent_embedder"))
             else:
                 search.Embedder(self.config).fit(papers).model.write().overwrite().save(self._path("embedder"))
+                tables.finish(self.spark, self._path("embedder"))
         vectors = t("embeddings", lambda: self.embedder().embed(papers))
-        if refresh or not tables._exists(self.spark, self._path("vector_index/meta")):
+        if refresh or not tables.ready(self.spark, self._path("vector_index/meta")):
             VectorIndex.build(vectors, self._path("vector_index"), recall=self.config.index_recall, k=self.config.top_k, seed=self.config.seed)
         t("summaries", lambda: summaries.summarize_papers(papers, config=self.config))
         assigned = t("topic_assignments", lambda: self._assigned(vectors, refresh))
@@ -81,14 +82,15 @@ class Engine:
         c = self.config
         if c.topic_method == "density":
             return density.density_clusters(vectors, c.min_topic_size, components=min(c.topic_components, c.vector_dim))
-        if refresh or not tables._exists(self.spark, self._path("topic_model")):
+        if refresh or not tables.ready(self.spark, self._path("topic_model")):
             topics.fit_kmeans(vectors, c.num_topics, c.seed, c.topic_runs, reduce_to=min(c.topic_components, c.vector_dim)).write().overwrite().save(self._path("topic_model"))
+            tables.finish(self.spark, self._path("topic_model"))
         return topics.assign_topics(vectors, PipelineModel.load(self._path("topic_model")), c.min_topic_size)
 
     def health(self) -> DataFrame:
         """The stages and whether each is there."""
         names = ("raw_papers", "processed_papers", "embeddings", "summaries", "topic_assignments", "topic_keywords")
-        return self.spark.createDataFrame([(n, tables._exists(self.spark, self._path(n))) for n in names], "stage string, ready boolean")
+        return self.spark.createDataFrame([(n, tables.ready(self.spark, self._path(n))) for n in names], "stage string, ready boolean")
 
     # tables
 
@@ -103,7 +105,7 @@ class Engine:
         return self._table("embeddings")
 
     def index(self) -> VectorIndex:
-        if not tables._exists(self.spark, self._path("vector_index/meta")):
+        if not tables.ready(self.spark, self._path("vector_index/meta")):
             raise NotReady("vector_index")
         return VectorIndex.open(self.spark, self._path("vector_index"))
 

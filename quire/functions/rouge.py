@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import words
+from quire.shipping import ship_here
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -23,6 +24,7 @@ def stems(tokens):
 
 def rouge_tokens(text: Column, stemmed: bool = False) -> Column:
     """Lower-case runs of ASCII letters and digits, or their stems."""
+    ship_here()
     found = words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
     return stems(found) if stemmed else found
 

@@ -8,21 +8,52 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.schemas import RAW_PAPER
+from quire.shipping import ship
 
 ROW_TAG = "PubmedArticle"
 _START = re.compile(rf"<{ROW_TAG}[\s>]")
 
 
-def read_articles(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
-    """Files of articles at any depth, split after each article, so that many tasks read one file.  XML that is not well-formed raises: tolerance would lose what follows it."""
-    return _papers(spark.read.option("lineSep", f"</{ROW_TAG}>").text(path), True, compat)
+class NotWellFormed(ValueError):
+    """A file whose elements around its articles don't close, or whose last article is cut off."""
+
+
+def read_articles(spark: SparkSession, path: str, compat: bool = False, check: bool = True) -> DataFrame:
+    """Files of articles at any depth, split after each article, so that many tasks read one file.  XML that is not well-formed raises: tolerance would lose what follows it.
+
+    An article is checked as it is parsed; what stands around the articles in a pass of its own over the files, before, unless ``check`` is unset."""
+    ship(spark)
+    records = spark.read.option("lineSep", f"</{ROW_TAG}>").text(path)
+    if check:
+        check_wrappers(records)
+    return _papers(records, True, compat)
+
+
+def check_wrappers(records: DataFrame) -> None:
+    """Raises where a file's elements outside of articles are not closed as often as opened, or stray text or an unclosed article stands there."""
+    around = F.regexp_extract("value", rf"(?s)^(.*?)(?:<{ROW_TAG}[\s>].*)?$", 1)
+    left = records.select(F.col("_metadata.file_path").alias("file"), around.alias("text")).filter(F.trim(F.regexp_replace("text", r"\s+", "")) != "")
+    bare = F.regexp_replace("text", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>\[]*(?:\[.*?\]\s*)?>", "")
+    tag = F.explode(F.regexp_extract_all(bare, F.lit(r"</?[A-Za-z_:][^<>]*>"), F.lit(0)))
+    tags = left.select("file", tag.alias("tag")).select(
+        "file",
+        F.regexp_extract("tag", r"^</?([^\s/>]+)", 1).alias("name"),
+        F.when(F.col("tag").startswith("</"), -1).when(F.col("tag").endswith("/>"), 0).otherwise(1).alias("step"),
+    )
+    open_ = tags.groupBy("file", "name").agg(F.sum("step").alias("open")).filter("open <> 0")
+    stray = left.filter(F.regexp_replace(bare, r"</?[A-Za-z_:][^<>]*>|\s+", "") != "").select("file", F.lit("text").alias("name"), F.lit(1).cast("long").alias("open"))
+    found = open_.unionByName(stray).orderBy("file", "name").limit(5).collect()
+    if found:
+        raise NotWellFormed("; ".join(f"{r['file']}: {r['name']} ({r['open']:+d})" for r in found))
 
 
 def read_article_lines(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     """One article a line; a line that is no XML is skipped, and no other."""
+    ship(spark)
     return _papers(spark.read.text(path), False, compat)
 
 
