@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
@@ -155,6 +155,23 @@ class LatentEmbedder:
         one = self.embed(spark.createDataFrame([("", text)], "pmid string, text_content string")).first()
         return list(one["embedding"]) if one else [0.0] * self.config.latent_dim
 
+    def sentence_cosines(self, sentences: Column, query: list[float]) -> Column:
+        """The cosine of each of an array of sentences and a query's vector, within the row; sentences without a known term have 0."""
+        number, weights, along = {w: i for i, w in enumerate(self.terms)}, self.weights, self.directions
+        wanted = np.array(query, np.float64)[: along.shape[1]]
+
+        def score(words) -> float:
+            known = [number[w] for w in words if w in number]
+            vector = weights[known] @ along[known] if known else np.zeros(along.shape[1])
+            norm = np.linalg.norm(vector) * np.linalg.norm(wanted)
+            return float(vector @ wanted / norm) if norm > 0 else 0.0
+
+        @F.pandas_udf("array<double>")
+        def cosines(column: pd.Series) -> pd.Series:
+            return pd.Series([[score(words) for words in (() if all_words is None else all_words)] for all_words in column])
+
+        return cosines(F.transform(sentences, tokens))
+
     def word_vectors(self, spark: SparkSession) -> DataFrame:
         """(word, embedding) of every term: the vector of a text of this word alone."""
         norm = np.linalg.norm(self.directions, axis=1, keepdims=True)

@@ -46,6 +46,19 @@ def graph_summary_text(rows: DataFrame, text: Column, config: EngineConfig = Eng
     return marked.withColumn("summary", F.when(F.size("_sentences") > 0, whole).otherwise(summary_text(text, None, config))).drop("_sentences")
 
 
+def semantic_summary(rows: DataFrame, embedder, query: str, text_col: str = "text_content", config: EngineConfig = EngineConfig()) -> DataFrame:
+    """rows with ``summary``: the sentences whose vectors are nearest to the query's, in the text's order, cut to the summary's words.  Nothing is shuffled; ties go to the earlier sentence.
+
+    embedder: one with sentence_cosines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    wanted = embedder.embed_text(rows.sparkSession, query)
+    marked = rows.withColumn("_sentences", T.split_sentences(text, config.sentence_min_chars)).withColumn("_near", embedder.sentence_cosines(F.col("_sentences"), wanted))
+    order = F.array_sort(F.transform("_near", lambda x, i: F.struct((-F.round(x, 9)).alias("far"), i.alias("i"))))
+    best = F.array_sort(F.transform(F.slice(order, 1, config.summary_sentences), lambda x: x["i"]))
+    said = F.array_join(F.transform(best, lambda i: F.get(F.col("_sentences"), i)), " ")
+    return marked.withColumn("summary", F.when(F.size("_sentences") > 0, T.post_process(T.first_words(said, min(config.input_max_words, config.summary_max_words)))).otherwise("")).drop("_sentences", "_near")
+
+
 def add_summary(rows: DataFrame, text_col: str = "text_content", query: str | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Adds summary, error, original_length, summary_length, compression_ratio; columns of those names are replaced.
 

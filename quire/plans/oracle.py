@@ -146,6 +146,12 @@ def oracle_sql() -> dict[str, str]:
         "similar_topk": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, round({DOT.format(0)}, 6) AS similarity_score FROM embeddings WHERE vec_id <> 0 ORDER BY {DOT.format(0)} DESC, pmid LIMIT 10",
         "search_topk_vec": f"SELECT CAST(vec_id AS VARCHAR) AS pmid, round({DOT.format(7)}, 6) AS similarity_score FROM embeddings ORDER BY {DOT.format(7)} DESC, pmid LIMIT 10",
         "lsh_topk": _lsh(),
+        "topic_distribution": """WITH c AS (SELECT label AS topic_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),
+            d AS (SELECT CAST(vec_id AS VARCHAR) AS pmid, topic_id, sum((embedding[i]::DOUBLE - m) ** 2) AS d FROM embeddings JOIN c ON true GROUP BY 1, 2),
+            w AS (SELECT *, exp(min(d) OVER (PARTITION BY pmid) - d) AS w FROM d)
+            SELECT pmid, topic_id, round(w / sum(w) OVER (PARTITION BY pmid), 6) AS probability FROM w""",
+        "author_sketches": f"{META}, a AS (SELECT left(pub_date, 4) AS period, unnest(authors) AS author FROM papers_meta), f AS (SELECT author, min(period) AS first FROM a GROUP BY 1), p AS (SELECT DISTINCT period FROM a) SELECT period, (SELECT count(*) FROM f WHERE first <= period) AS distinct_values FROM p",
+        "author_sketch_range": f"{META}, a AS (SELECT left(pub_date, 4) AS period, unnest(authors) AS author FROM papers_meta) SELECT count(DISTINCT author) AS distinct_values, count(*) AS rows FROM a WHERE period BETWEEN '1994' AND '1996'",
         "density_neighbours": """WITH p AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_acctbal::DOUBLE / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier),
             d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM p a JOIN p b ON a.id <> b.id)
             SELECT id, other, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, other) <= 5""",

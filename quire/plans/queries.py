@@ -13,7 +13,7 @@ from quire.functions import vectors as V
 from quire.functions.dates import between, year
 from quire.functions.rouge import rouge_l, rouge_n
 from quire.functions.sentences import split_trained, train
-from quire.operators import charts, density, latent, prepare, search, stats, summaries, topics, trends
+from quire.operators import charts, density, hierarchy, latent, mixtures, prepare, search, sketches, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.plans import views
 from quire.schemas import RAW_PAPER
@@ -467,13 +467,56 @@ def latent_quality(spark, d):
     return each[0].unionByName(each[1])
 
 
+def topic_distribution(spark, d):
+    """Each paper's shares of all topics, by the distances of its vector to their means."""
+    vectors = views.paper_vectors(spark, d)
+    return mixtures.soft_assignments(vectors, topics.topic_centres(vectors.select("pmid", "embedding"), vectors.select("pmid", "topic_id"))).select("pmid", "topic_id", r6("probability"))
+
+
+def topic_mixtures(spark, d):
+    """Each document's shares of ten topics by latent Dirichlet allocation."""
+    rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
+    found = mixtures.TopicMixture.fit(rows, 10).shares(rows)
+    return found.select("pmid", F.posexplode("shares").alias("topic_id", "share")).select("pmid", "topic_id", r6("share"))
+
+
+def topic_hierarchy(spark, d):
+    vectors = views.paper_vectors(spark, d)
+    return hierarchy.topic_hierarchy(vectors, vectors).select("step", "left", "right", r6("distance"), "size", F.array_join(F.transform("topics", lambda t: t.cast("string")), ",").alias("topics"))
+
+
+def topic_map(spark, d):
+    vectors = views.paper_vectors(spark, d)
+    return hierarchy.topic_map(vectors, vectors).select("topic_id", r6("x"), r6("y"), "size")
+
+
+def semantic_summary(spark, d):
+    """Each document's sentences nearest to a query by latent vectors."""
+    rows = views.papers_text(spark, d).select("pmid", F.col("abstract").alias("text_content"))
+    return summaries.semantic_summary(rows, latent.LatentEmbedder().fit(rows), "the and attion thanedble").select("pmid", "summary")
+
+
+def _author_sketches(spark, d):
+    papers = views.papers_meta(spark, d).select("pub_date", F.explode("authors").alias("author"))
+    return sketches.period_sketches(papers, year(F.col("pub_date")), "author")
+
+
+def author_sketches(spark, d):
+    """Authors up to each year, from a sketch a year."""
+    return sketches.running_distinct(_author_sketches(spark, d)).select("period", "distinct_values")
+
+
+def author_sketch_range(spark, d):
+    return sketches.distinct_between(_author_sketches(spark, d), "1994", "1996")
+
+
 _NAMES = (
     similar_topk, search_topk_vec, search_payload, clean_text, clean_text_html, validate_filter, word_counts, sentences, chunks, process_projection, corpus_stats, year_range, journal_hist, term_hist,
     yearly_counts, monthly_counts, time_summary, annual_growth, peak_year, journal_trends, journal_diversity, term_counts, term_year_counts, growing_terms, author_counts, collab_stats,
     team_size_distribution, topic_period_counts, topic_trends_month, topic_trends_quarter, topic_trends_year, topic_trends_week, topic_trends_day, topic_trends_one_period, topic_date_range,
     trending_topics, topic_timeline, trend_plot_data, growth_bars, topic_details, topic_top_terms, topic_info, ctfidf_keywords, topic_labels, vocabulary_terms, date_range_filter, kmeans_clusters, topic_assign, topic_similarity,
     extractive_summary, query_summary, multi_doc_summary, post_process, rouge, rouge_lcs, rouge_stemmed, union_all_domains, union_distinct_domains, dedup_by_text, paper_lookup, embedding_stats, system_stats,
-    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, trained_sentences, graph_summary, summary_methods, ranked_hits, jsonl_roundtrip, xml_ingest,
+    card_display, event_windows, text_embedding, lsh_topk, lsh_search, density_neighbours, density_topics, topic_trends_outliers, latent_neighbours, latent_quality, trained_sentences, graph_summary, summary_methods, topic_distribution, topic_mixtures, topic_hierarchy, topic_map, semantic_summary, author_sketches, author_sketch_range, ranked_hits, jsonl_roundtrip, xml_ingest,
 )
 
 
