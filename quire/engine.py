@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.config import EngineConfig
 from quire.functions import dates
 from quire.functions.sentences import train
-from quire.operators import charts, density, latent, prepare, search, stats, summaries, topics, trends
+from quire.operators import charts, density, hierarchy, latent, mixtures, prepare, search, stats, summaries, topics, trends
 from quire.operators.vector_index import VectorIndex
 from quire.schemas import RAW_PAPER
 from quire.sources import remote, tables
@@ -151,8 +151,11 @@ class Engine:
         done = summaries.multi_paper_summary(hits, [-F.col("similarity_score"), F.col("pmid")], query, self.config)
         return done.withColumn("query", F.lit(query))
 
-    def paper_summary(self, pmid: str) -> DataFrame:
-        return summaries.add_summary(self.paper(pmid), config=self.config)
+    def paper_summary(self, pmid: str, query: str | None = None) -> DataFrame:
+        """A paper's summary; with a query its sentences nearest to it, by vectors where they are latent, else by words."""
+        if query is not None and self.config.embedding == "latent":
+            return summaries.semantic_summary(self.paper(pmid), self.embedder(), query, config=self.config)
+        return summaries.add_summary(self.paper(pmid), query=query, config=self.config)
 
     def _dated(self) -> DataFrame:
         return self.assignments().join(self.papers().select("pmid", dates.as_date(F.col("pub_date")).alias("date")), "pmid")
@@ -173,6 +176,17 @@ class Engine:
     def topic_timeline(self, topic_id: int, window: str = "month") -> DataFrame:
         return topics.timeline(self.topic_trends(window), topic_id)
 
+    def topic_distribution(self, pmid: str) -> DataFrame:
+        """A paper's shares of all topics, the greatest first."""
+        centres = topics.topic_centres(self.vectors(), self.assignments().filter(F.col("topic_id") != density.OUTLIER))
+        return mixtures.soft_assignments(self.vectors().filter(F.col("pmid") == pmid), centres).orderBy(F.desc("probability"), "topic_id")
+
+    def topic_hierarchy(self) -> DataFrame:
+        return hierarchy.topic_hierarchy(self.vectors(), self.assignments())
+
+    def topic_map(self) -> DataFrame:
+        return hierarchy.topic_map(self.vectors(), self.assignments()).join(topics.topic_labels(self.keywords()), "topic_id", "left")
+
     def topic_info(self) -> DataFrame:
         return topics.topic_info(self.assignments(), topics.topic_labels(self.keywords()))
 
@@ -195,6 +209,8 @@ class Engine:
             "trend_lines": charts.trend_lines(t),
             "growth_bars": charts.growth_bars(t.drop("topic_label"), topics.topic_labels(self.keywords())),
             "topic_similarity": charts.topic_similarity(self.vectors(), self.assignments()),
+            "topic_map": self.topic_map(),
+            "topic_hierarchy": self.topic_hierarchy(),
             "years": trends.yearly_counts(papers),
             "journals": trends.top_journals(papers),
             "terms": stats.term_histogram(papers, 15),
