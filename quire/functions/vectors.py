@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,4 +29,6 @@ def normalise(a: Column) -> Column:
 
 
 def literal(vector: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in vector))
+    """A vector as one literal, parsed at once."""
+    each = [float(x) for x in vector]
+    return F.expr(f"array({', '.join(f'{x!r}D' if math.isfinite(x) else f'double({str(x)!r})' for x in each)})" if each else "cast(array() as array<double>)")

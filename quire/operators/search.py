@@ -49,11 +49,9 @@ def vector_of(vectors: DataFrame, pmid: str) -> list[float] | None:
 
 
 def similar(vectors: DataFrame, pmid: str, k: int | None = None, default: int = 10) -> DataFrame:
-    """The nearest other papers; none for an unknown id.  One plan: the paper's vector is a broadcast row."""
-    own = vectors.filter(F.col("pmid") == pmid).select(F.col("embedding").alias("own")).limit(1)
-    others = vectors.filter(F.col("pmid") != pmid).select("pmid", "embedding").crossJoin(F.broadcast(own))  # one row
-    scored = others.select("pmid", V.dot(F.col("embedding"), F.col("own")).alias("similarity_score"))
-    return scored.orderBy(F.desc("similarity_score"), "pmid").limit(k or default)
+    """The nearest other papers; none for an unknown id.  The paper's vector is looked up first, then it is a literal of the search."""
+    own = vector_of(vectors, pmid)
+    return top_k(vectors.filter(F.col("pmid") != pmid) if own is not None else vectors.limit(0), own or [], k, default)
 
 
 def with_payload(hits: DataFrame, papers: DataFrame) -> DataFrame:
