@@ -29,8 +29,8 @@ def let(value: Column, body) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space, also Unicode's, to one blank."""
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    """Runs of white space, also Unicode's, to one blank; a single blank is left as it is."""
+    return F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " ")
 
 
 def strip(text: Column) -> Column:
@@ -65,7 +65,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """How many ``words`` there are, without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
 
 
 def split_sentences(text: Column, min_chars: int = 20, parts: Column | None = None) -> Column:

@@ -45,9 +45,15 @@ def papers_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pmid"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("pub_date"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer files than there are cores, as one file may be one task whatever its size; a table of many files stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def papers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         F.col("doc_id").cast("string").alias("pmid"), F.lit("").alias("title"), F.col("text").alias("abstract"), none.alias("authors"), F.col("source").alias("journal"), F.lit("Unknown").alias("pub_date"), none.alias("mesh_terms")
     )
 
