@@ -5,22 +5,34 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
 from quire.operators.prepare import with_text
 from quire.operators.topics import terms, vocabulary
+from quire.shipping import ship
+from quire.storage import written
+
+#: What is added to each count of a topic in a text and of a word in a topic (Dirichlet priors of 1.1, at their mode).
+PRIOR = 0.1
+#: Rounds of a text's shares within a pass, the change that ends them, and entries that a task works on at once.
+ROUNDS, CLOSE, ENTRIES = 30, 1e-4, 100_000
 
 
 @dataclass(frozen=True)
 class TopicMixture:
-    """Latent Dirichlet allocation over a bounded vocabulary of words.  ``perplexity`` is that of every second word of the texts held out, by the shares that their other words give (None without any)."""
+    """Latent Dirichlet allocation over a bounded vocabulary of words.  ``perplexity`` is that of every second word of the texts held out, by the shares that their other words give (None without any).
+
+    ``weights`` (words x topics; a topic's add up to 1) come from expectation maximisation over all texts: a pass settles each text's shares under
+    the weights so far, in the task that reads it, and adds up words x topics numbers; texts have no state, and nothing of them is shuffled."""
 
-    model: LDAModel
+    weights: np.ndarray
     words: list[str]
     topics: int
     perplexity: float | None
@@ -29,45 +41,134 @@ class TopicMixture:
     def fit(cls, papers: DataFrame, topics: int = 10, held_out: int = 10, passes: int = 20, config: EngineConfig = EngineConfig()) -> TopicMixture:
         """Learns from the papers with a text; every ``held_out``-th by the hash of its id only measures the model."""
         rows = with_text(papers).select("pmid", "text_content")
+        ship(rows.sparkSession)
         words = [r["word"] for r in vocabulary(rows, 1, 2, config.vocabulary_size).collect()] or [""]
         held = F.coalesce(F.pmod(F.xxhash64("pmid"), F.lit(held_out)) == 0, F.lit(False))
-        model = LDA(k=topics, maxIter=passes, seed=config.seed, featuresCol="counts", optimizer="em", docConcentration=[1.1], topicConcentration=1.1).fit(_counted(rows.filter(~held), words))
-        mixture = cls(model, words, topics, None)
-        return cls(model, words, topics, mixture.perplexity_of(rows.filter(held)))
+        counted = written(_counted(rows.filter(~held), words).drop("pmid"), "counted")
+        weights = _weights(np.random.default_rng(config.seed).gamma(100.0, 0.01, (len(words), topics)))
+        for _ in range(passes):
+            weights = _weights(_expected(counted, weights))
+        mixture = cls(weights, words, topics, None)
+        return cls(weights, words, topics, mixture.perplexity_of(rows.filter(held)))
 
     def perplexity_of(self, rows: DataFrame) -> float | None:
         """Of (pmid, text_content): every second known word, under the topics' shares by the others."""
-        known = F.filter(terms(F.col("text_content")), lambda w: F.array_contains(F.lit(self.words), w))
-        part = lambda k: F.filter("known", lambda w, i: i % 2 == k)
-        halves = rows.select("pmid", known.alias("known")).select("pmid", part(0).alias("words"), part(1).alias("asked")).filter(F.size("asked") > 0)
-        counted = CountVectorizerModel.from_vocabulary(self.words, "words", "counts").transform(halves)
-        shares = self.model.transform(counted).select(_in_all_one(vector_to_array("topicDistribution"), self.topics).alias("shares"), F.explode("asked").alias("word"))
-        weights = self.model.topicsMatrix().toArray()
-        weights = weights / weights.sum(axis=0)
-        table = F.broadcast(rows.sparkSession.createDataFrame([(w, [float(x) for x in v]) for w, v in zip(self.words, weights, strict=True)], "word string, weights array<double>"))  # a row a word
-        chance = F.aggregate(F.zip_with("shares", "weights", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        mean = shares.join(table, "word").agg(F.avg(F.ln(F.greatest(chance, F.lit(1e-300))))).first()[0]
-        return None if mean is None else math.exp(-mean)
+        weights = self.weights
 
-    def shares(self, papers: DataFrame) -> DataFrame:
-        """(pmid, shares array<double>): of every paper with a text what each topic has of it, in all 1; without a known word all topics share alike."""
-        found = self.model.transform(_counted(with_text(papers).select("pmid", "text_content"), self.words))
-        return found.select("pmid", _in_all_one(vector_to_array("topicDistribution"), self.topics).alias("shares"))
+        def run(batches):
+            for batch in batches:
+                total, n = 0.0, 0
+                for a, b, at, counts, offsets in _blocks(batch, "places", "counts"):
+                    shares = _settled(weights, at, counts, offsets)[0]
+                    asked, times, begin = _part(batch, "asked", "times", a, b)
+                    chance = (shares[np.repeat(np.arange(b - a), np.diff(begin))] * weights[asked]).sum(axis=1)
+                    total, n = total + float(times @ np.log(np.maximum(chance, 1e-300))), n + float(times.sum())
+                yield pa.RecordBatch.from_pydict({"total": [total], "n": [n]})
 
-    def topic_words(self, n: int = 10) -> DataFrame:
-        """(topic_id, rank, word, weight): the words of greatest weight, a topic's weights in all 1."""
-        found = self.model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "t"))
-        word = F.element_at(F.array(*(F.lit(w) for w in self.words)), F.col("t.termIndices") + 1)
-        return found.select(F.col("topic").alias("topic_id"), (F.col("i") + 1).alias("rank"), word.alias("word"), F.col("t.termWeights").alias("weight"))
+        total, n = _counted(rows, self.words, True).mapInArrow(run, "total double, n double").agg(F.sum("total"), F.sum("n")).first()
+        return math.exp(-total / n) if n else None
 
+    def shares(self, papers: DataFrame) -> DataFrame:
+        """(pmid, shares array<double>): of every paper with a text what each topic has of it, in all 1; without a known word all topics share alike."""
+        weights, topics = self.weights, self.topics
 
-def _counted(rows: DataFrame, words: list[str]) -> DataFrame:
-    return CountVectorizerModel.from_vocabulary(words, "words", "counts").transform(rows.select("pmid", terms(F.col("text_content")).alias("words"))).drop("words")
+        def run(batches):
+            for batch in batches:
+                found = [_settled(weights, at, counts, offsets)[0] for _, _, at, counts, offsets in _blocks(batch, "places", "counts")]
+                flat = np.concatenate(found).ravel() if found else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column("pmid"), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * topics, flat)], ["pmid", "shares"])
 
+        return _counted(with_text(papers).select("pmid", "text_content"), self.words).mapInArrow(run, f"pmid {papers.schema['pmid'].dataType.simpleString()}, shares array<double>")
 
-def _in_all_one(shares: Column, topics: int) -> Column:
-    total = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(shares, lambda x: x / total)).otherwise(F.array_repeat(F.lit(1.0 / topics), topics))
+    def topic_words(self, n: int = 10) -> DataFrame:
+        """(topic_id, rank, word, weight): the words of greatest weight, a topic's weights in all 1."""
+        from pyspark.sql import SparkSession
+
+        rows = [(t, i + 1, self.words[w], float(self.weights[w, t])) for t in range(self.topics) for i, w in enumerate(np.argsort(-self.weights[:, t], kind="stable")[:n])]
+        return SparkSession.active().createDataFrame(rows, "topic_id int, rank int, word string, weight double")
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    return (counts + PRIOR) / (counts + PRIOR).sum(axis=0)
+
+
+def _lists(keys: np.ndarray, width: int, n: int) -> tuple[pa.Array, pa.Array]:
+    """The places and counts of n rows from keys row * width + place."""
+    own, counts = np.unique(keys, return_counts=True)
+    offsets = pa.array(np.searchsorted(own // width, np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array((own % width).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.float64)))
+
+
+def _counted(rows: DataFrame, words: list[str], halves: bool = False) -> DataFrame:
+    """(pmid, places, counts) of the known words of (pmid, text_content); with halves of every second one, and (asked, times) of the others."""
+    names = ["pmid", "places", "counts"] + ["asked", "times"] * halves
+
+    def run(batches):
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(1)
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            place = pc.fill_null(pc.index_in(flat, value_set=pa.array(words, flat.type)), -1).to_numpy(zero_copy_only=False)
+            row, place = row[place >= 0], place[place >= 0]
+            keys, turn = row * len(words) + place, np.arange(len(row)) - np.searchsorted(row, row)
+            parts = [keys[turn % 2 == 0], keys[turn % 2 == 1]] if halves else [keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(x for k in parts for x in _lists(k, len(words), n))], names)
+
+    schema = f"pmid {rows.schema['pmid'].dataType.simpleString()}, places array<int>, counts array<double>" + ", asked array<int>, times array<double>" * halves
+    return rows.select("pmid", terms(F.col("text_content")).alias("words")).mapInArrow(run, schema)
+
+
+def _part(batch: pa.RecordBatch, places: str, counts: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, values = batch.column(places).slice(a, b - a), batch.column(counts).slice(a, b - a)
+    offsets = at.offsets.to_numpy()
+    return at.flatten().to_numpy(), values.flatten().to_numpy(), offsets - offsets[0]
+
+
+def _blocks(batch: pa.RecordBatch, places: str, counts: str):
+    """(first row, last, places, counts, offsets) of rows of about ENTRIES entries."""
+    ends, a = batch.column(places).offsets.to_numpy(), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + ENTRIES, "right")) - 1)
+        yield a, b, *_part(batch, places, counts, a, b)
+        a = b
+
+
+def _settled(weights: np.ndarray, at: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each row's shares of the topics, each entry's counts by topic) once the shares change no more."""
+    n, topics = len(offsets) - 1, weights.shape[1]
+    shares, own, row = np.full((n, topics), 1 / topics), np.flatnonzero(np.diff(offsets)), np.repeat(np.arange(n), np.diff(offsets))
+    held = weights[at]
+    parts = np.zeros((0, topics))
+    for _ in range(ROUNDS if len(own) else 0):
+        parts = held * shares[row]
+        parts *= (counts / parts.sum(axis=1))[:, None]
+        new = np.full((n, topics), PRIOR)
+        new[own] += np.add.reduceat(parts, offsets[own], axis=0)
+        new /= new.sum(axis=1, keepdims=True)
+        moved, shares = np.abs(new - shares).max(), new
+        if moved < CLOSE:
+            break
+    return shares, parts
+
+
+def _expected(counted: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """The expected counts, words x topics, over all rows (places, counts)."""
+
+    def run(batches):
+        total = np.zeros_like(weights)
+        for batch in batches:
+            for _, _, at, counts, offsets in _blocks(batch, "places", "counts"):
+                parts = _settled(weights, at, counts, offsets)[1]
+                for t in range(weights.shape[1] if len(parts) else 0):
+                    total[:, t] += np.bincount(at, parts[:, t], len(weights))
+        own = np.flatnonzero(total.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"place": own, "sums": pa.array(list(total[own]), pa.list_(pa.float64()))})
+
+    out = np.zeros_like(weights)
+    sums = counted.mapInArrow(run, "place int, sums array<double>").groupBy("place").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    for r in sums.collect():  # a row a word
+        out[r["place"]] = r["sums"]
+    return out
 
 
 def soft_assignments(vectors: DataFrame, centres: DataFrame) -> DataFrame:
