@@ -1,4 +1,6 @@
-"""ROUGE: multiset overlap of n-grams and the longest common subsequence, counted in Arrow batches."""
+"""ROUGE: multiset overlap of n-grams and the longest common subsequence, counted in Arrow batches.
+
+A batch may hold 10,000 long texts, so its rows become Python values SLICE at a time."""
 
 from __future__ import annotations
 
@@ -12,6 +14,16 @@ from quire.functions.text import words
 from quire.shipping import ship_here
 
 
+#: Rows that are Python values at once.
+SLICE = 64
+
+
+def _slices(*columns):
+    """The columns' values, SLICE rows of them at a time."""
+    for i in range(0, len(columns[0]), SLICE):
+        yield from zip(*(c.slice(i, SLICE).to_pylist() for c in columns), strict=True)
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def stems(tokens):
     """Tokens of over three letters as their stems."""
@@ -19,7 +31,7 @@ def stems(tokens):
 
     from quire.functions.stem import stem
 
-    return pa.array([None if x is None else [stem(w) if len(w) > 3 else w for w in x] for x in tokens.to_pylist()], pa.list_(pa.string()))
+    return pa.array((None if x is None else [stem(w) if len(w) > 3 else w for w in x] for (x,) in _slices(tokens)), pa.list_(pa.string()))
 
 
 def rouge_tokens(text: Column, stemmed: bool = False) -> Column:
@@ -33,15 +45,33 @@ def _f(overlap: Column, a: Column, b: Column) -> Column:
     return 2.0 * overlap / F.greatest(a + b, F.lit(1))
 
 
+def _shared(a: list, b: list, n: int) -> int:
+    grams = lambda tokens: Counter(zip(*(tokens[i:] for i in range(n)), strict=False) if n > 1 else tokens)
+    few, many = grams(a), grams(b)
+    if len(few) > len(many):
+        few, many = many, few
+    return sum(min(k, many.get(g, 0)) for g, k in few.items())
+
+
+def _common(x: list, y: list) -> int:
+    # one bit for each of x, cleared where the subsequence grows: a whole row at a time
+    places: dict[str, int] = {}
+    for i, u in enumerate(x):
+        places[u] = places.get(u, 0) | 1 << i
+    every = row = (1 << len(x)) - 1
+    for v in y:
+        met = row & places.get(v, 0)
+        if met:
+            row = (row + met | row - met) & every
+    return len(x) - row.bit_count()
+
+
 @F.arrow_udf(T.IntegerType())
 def shared_grams(a, b, n):
     """Equal grams of n tokens, each counted as often as both have it."""
     import pyarrow as pa
 
-    def grams(tokens: list, k: int) -> Counter:
-        return Counter(zip(*(tokens[i:] for i in range(k)), strict=False))
-
-    return pa.array([(grams(x or [], k) & grams(y or [], k)).total() for x, y, k in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), strict=True)], pa.int32())
+    return pa.array((_shared(x or [], y or [], k) for x, y, k in _slices(a, b, n)), pa.int32())
 
 
 def rouge_n(candidate: Column, reference: Column, n: int = 1, stemmed: bool = False) -> Column:
@@ -55,18 +85,7 @@ def rouge_n(candidate: Column, reference: Column, n: int = 1, stemmed: bool = Fa
 def lcs_length(a, b):
     import pyarrow as pa
 
-    def one(x: list, y: list) -> int:
-        # one bit for each of x, cleared where the subsequence grows: a whole row at a time
-        places: dict[str, int] = {}
-        for i, u in enumerate(x):
-            places[u] = places.get(u, 0) | 1 << i
-        every = row = (1 << len(x)) - 1
-        for v in y:
-            met = row & places.get(v, 0)
-            row = (row + met | row - met) & every
-        return len(x) - row.bit_count()
-
-    return pa.array([one(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+    return pa.array((_common(x or [], y or []) for x, y in _slices(a, b)), pa.int32())
 
 
 def rouge_l(candidate: Column, reference: Column, stemmed: bool = False) -> Column:
