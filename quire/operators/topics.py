@@ -71,8 +71,17 @@ def terms(text: Column, ngrams: int = 1, stop_words: bool = True) -> Column:
 
 def vocabulary(rows: DataFrame, ngrams: int = 2, min_df: int = 2, size: int = 1000, text_col: str = "text_content", stop_words: bool = True) -> DataFrame:
     """(word, count, df) of the most frequent terms that min_df rows or more hold; ties by word."""
-    each = rows.select(F.explode(terms(F.col(text_col), ngrams, stop_words)).alias("word"), "pmid").groupBy("word", "pmid").agg(F.count("*").alias("n"))
-    return each.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("df")).filter(F.col("df") >= min_df).orderBy(F.desc("count"), "word").limit(size)
+    found = rows.select("pmid", terms(F.col(text_col), ngrams, stop_words).alias("t"))
+    again = written(rows.groupBy("pmid").agg(F.count("*").alias("n")).filter("n > 1 or pmid is null").select("pmid"), "repeated-ids")  # ids are shuffled, no texts
+    share = lambda array, n, df: F.transform(array, lambda w: F.struct(w.alias("word"), F.lit(n).cast("long").alias("n"), F.lit(df).cast("long").alias("df")))
+    each = lambda texts: texts.select(F.explode(F.concat(share(F.col("t"), 1, 0), share(F.array_distinct("t"), 0, 1))).alias("w")).select("w.*")
+    if again.isEmpty():
+        counted = each(found)  # a row is a text: terms are counted before anything is shuffled
+    else:
+        one, many = found.join(again, "pmid", "left_anti").filter("pmid is not null"), found.join(again, found["pmid"].eqNullSafe(again["pmid"]), "left_semi")
+        held = many.select("pmid", F.explode("t").alias("word")).groupBy("word", "pmid").agg(F.count("*").alias("n"))
+        counted = each(one).unionByName(held.select("word", "n", F.lit(1).cast("long").alias("df")))
+    return counted.groupBy("word").agg(F.sum("n").alias("count"), F.sum("df").alias("df")).filter(F.col("df") >= min_df).orderBy(F.desc("count"), "word").limit(size)
 
 
 def ctfidf(rows: DataFrame, k: int = 10, topic_col: str = "topic_id", text_col: str = "text_content", stop_words: bool = True, min_count: int = 2, ngrams: int = 1, words: DataFrame | None = None) -> DataFrame:
