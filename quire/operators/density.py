@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.components import connected_components
+from quire.operators.components import connected_components, meeting
 from quire.storage import written
 
 #: Rows that the boxes are cut by, points wanted in a box, boxes at most; beyond that boxes grow.
@@ -143,7 +143,7 @@ def nearest(points: DataFrame, k: int, box_points: int = BOX_POINTS) -> DataFram
     def there(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return _closest(asked["id"].to_numpy(), _matrix(asked["v"]), held["id"].to_numpy(), _matrix(held["v"]), held["weight"].to_numpy(), k)
 
-    wide = placed.join(radius, "id", "left").fillna(float("inf"), ["radius"]).select("box", "id", "v", "radius")
+    wide = placed.join(meeting(radius), "id", "left").fillna(float("inf"), ["radius"]).select("box", "id", "v", "radius")
     asked = wide.mapInPandas(reach, "box int, id string, v array<double>")
     second = asked.groupBy("box").cogroup(placed.groupBy("box")).applyInPandas(there, schema)
     best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
@@ -153,10 +153,10 @@ def nearest(points: DataFrame, k: int, box_points: int = BOX_POINTS) -> DataFram
 def core_distances(points: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """(id, core): the distance to the k-th nearest row, a point's own copies and its neighbours' counted; null where there are fewer."""
     upto = F.sum("weight").over(Window.partitionBy("id").orderBy("distance", "other"))
-    own = near.select("id", "distance", upto.alias("rows")).join(points.select("id", F.col("weight").alias("copies")), "id")
+    own = near.select("id", "distance", upto.alias("rows")).join(meeting(points.select("id", F.col("weight").alias("copies"))), "id")
     reached = own.filter(F.col("rows") + F.col("copies") - 1 >= k).groupBy("id").agg(F.min("distance").alias("core"))
     alone = F.when(F.col("weight") > k, F.lit(0.0)).otherwise(F.col("core"))
-    return points.join(reached, "id", "left").select("id", alone.alias("core"))
+    return points.join(meeting(reached), "id", "left").select("id", alone.alias("core"))
 
 
 def links(near: DataFrame, cores: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def links(near: DataFrame, cores: DataFrame) -> DataFrame:
     one = near.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "distance")
     back = near.filter("id > other").select(F.col("other").alias("a"), F.col("id").alias("b"))
     core = lambda name: cores.select(F.col("id").alias(name), F.col("core").alias(f"core_{name}"))
-    joined = one.join(back, ["a", "b"]).join(core("a"), "a").join(core("b"), "b")
+    joined = one.join(meeting(back), ["a", "b"]).join(meeting(core("a")), "a").join(meeting(core("b")), "b")
     return joined.filter("core_a is not null and core_b is not null").select("a", "b", F.greatest("distance", "core_a", "core_b").alias("length"))
 
 
@@ -178,14 +178,14 @@ def thresholds(cores: DataFrame, levels: int) -> list[float]:
 def cluster_tree(points: DataFrame, linked: DataFrame, cores: DataFrame, limits: list[float], min_size: int) -> tuple[DataFrame, DataFrame]:
     """(members, nodes): members (level, id, node) of components of min_size rows or more, nodes (level, node, parent, size); level 0 is the densest."""
     levels = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(limits) - 1)), lambda i: F.element_at(F.lit(limits), i + 1) >= F.col("length")))
-    alone = points.join(cores, "id").filter(F.col("core").isNotNull())
+    alone = points.join(meeting(cores), "id").filter(F.col("core").isNotNull())
     selves = alone.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(limits) - 1)), lambda i: F.element_at(F.lit(limits), i + 1) >= F.col("core"))).alias("level"), F.col("id").alias("a"), F.col("id").alias("b"))
     found = connected_components(linked.select(levels.alias("level"), "a", "b").unionByName(selves), ("level",))
-    own = found.select("level", F.col("node").alias("id"), F.col("component").alias("node")).join(points.select("id", "weight"), "id")
+    own = found.select("level", F.col("node").alias("id"), F.col("component").alias("node")).join(meeting(points.select("id", "weight")), "id")
     sizes = own.groupBy("level", "node").agg(F.sum("weight").alias("size")).filter(F.col("size") >= min_size)
-    members = written(own.join(sizes.select("level", "node"), ["level", "node"]).select("level", "id", "node", "weight"), "members")
+    members = written(own.join(meeting(sizes.select("level", "node")), ["level", "node"]).select("level", "id", "node", "weight"), "members")
     above = members.select((F.col("level") - 1).alias("level"), F.col("id").alias("node"), F.col("node").alias("parent"))
-    nodes = members.groupBy("level", "node").agg(F.sum("weight").alias("size")).join(above, ["level", "node"], "left")  # a node is named after one of its members
+    nodes = members.groupBy("level", "node").agg(F.sum("weight").alias("size")).join(meeting(above), ["level", "node"], "left")  # a node is named after one of its members
     return members, written(nodes, "nodes")
 
 
@@ -198,7 +198,7 @@ def chosen_nodes(nodes: DataFrame, limits: list[float]) -> DataFrame:
         drop = 1 / limit - 1 / sparser
         now = nodes.filter(F.col("level") == level).select("node", "parent", (F.col("size") * drop).alias("mass"))
         if below is not None:
-            now = now.join(below, "node", "left")
+            now = now.join(meeting(below), "node", "left")
             going_on = F.when(F.col("children") == 1, F.col("only")).otherwise(0.0)
             now = now.select("node", "parent", (F.col("mass") + F.coalesce(going_on, F.lit(0.0))).alias("own"), F.coalesce("best_below", F.lit(0.0)).alias("best_below"))
         else:
@@ -252,12 +252,12 @@ def density_clusters(vectors: DataFrame, min_size: int = 10, neighbours: int | N
     if not limits:
         return none
     members, nodes = cluster_tree(points, links(near, cores), cores, limits, min_size)
-    own = members.join(chosen_nodes(nodes, limits), ["level", "node"])
+    own = members.join(meeting(chosen_nodes(nodes, limits)), ["level", "node"])
     outermost = own.groupBy("id").agg(F.max_by(F.struct("level", "node"), "level").alias("c")).select("id", "c.level", "c.node")
-    sized = outermost.join(points.select("id", "weight"), "id").join(cores, "id")
+    sized = outermost.join(meeting(points.select("id", "weight")), "id").join(meeting(cores), "id")
     clusters = sized.groupBy("level", "node").agg(F.sum("weight").alias("size"), F.min(F.when(F.col("core") > 0, F.col("core"))).alias("densest"))
     clusters = numbered(clusters, [F.desc("size"), F.col("node")], "topic_id")
     probability = F.when(F.col("core") > 0, F.coalesce(F.col("densest") / F.col("core"), F.lit(1.0))).otherwise(1.0)
-    labelled = sized.join(clusters.select("level", "node", "topic_id", "densest"), ["level", "node"]).select("id", "topic_id", probability.alias("topic_probability"))
-    by_row = rows.join(points.select("v", "id"), "v").select("pmid", "id").join(labelled, "id").select("pmid", "topic_id", "topic_probability")
-    return vectors.select("pmid").join(by_row, "pmid", "left").select("pmid", F.coalesce("topic_id", F.lit(OUTLIER)).alias("topic_id"), F.coalesce("topic_probability", F.lit(0.0)).alias("topic_probability"))
+    labelled = sized.join(meeting(clusters.select("level", "node", "topic_id", "densest")), ["level", "node"]).select("id", "topic_id", probability.alias("topic_probability"))
+    by_row = rows.join(meeting(points.select("v", "id")), "v").select("pmid", "id").join(meeting(labelled), "id").select("pmid", "topic_id", "topic_probability")
+    return vectors.select("pmid").join(meeting(by_row), "pmid", "left").select("pmid", F.coalesce("topic_id", F.lit(OUTLIER)).alias("topic_id"), F.coalesce("topic_probability", F.lit(0.0)).alias("topic_probability"))
