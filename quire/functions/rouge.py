@@ -10,20 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.batches import SLICE as SLICE
+from quire.functions.batches import slices as _slices
 from quire.functions.text import words
 from quire.shipping import ship_here
 
 
-#: Rows that are Python values at once.
-SLICE = 64
-
-
-def _slices(*columns):
-    """The columns' values, SLICE rows of them at a time."""
-    for i in range(0, len(columns[0]), SLICE):
-        yield from zip(*(c.slice(i, SLICE).to_pylist() for c in columns), strict=True)
-
-
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def stems(tokens):
     """Tokens of over three letters as their stems."""
