@@ -7,7 +7,7 @@ What is learnt (all by the log-likelihood ratio of two counts, after Kiss and St
 * starters: types that follow a sentence's end more often than chance tells;
 * collocations: pairs of an abbreviation or number and the type after its stop that is no starter, more frequent together than apart ("Fig. 3").
 
-Counting is one pass of Spark's grouping over the words of all texts; what is learnt is bounded (MOST of each kind, the
+Words are counted in Arrow batches, and Spark groups these counts; what is learnt is bounded (MOST of each kind, the
 likeliest first) and goes to tasks as sets.  A stop, or ! or ?, before white space ends a sentence, but for a stop
 
 * after an initial (one letter) or an abbreviation before a word that is no starter, or before a word in small letters;
@@ -21,12 +21,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
+from quire.functions.batches import slices
 from quire.shipping import ship_here
 from quire.storage import written
 
@@ -35,10 +39,16 @@ MOST = 20_000
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Fewest times that a pair or a starter must be seen.
 SEEN = 3
+#: Characters of a text that are words at once; characters read, and different words and pairs held, before a task's counts go on to Spark's grouping.
+PIECE, READ, HELD = 1 << 20, 1 << 25, 1 << 18
 
 _CLOSERS = "\"'”’»)]"
-_BREAK = re.compile(rf"([.!?…]+)([{re.escape(_CLOSERS)}]*)(\s+)(?=\S)")
+#: A run of stops is tried from its start alone, or long runs would take quadratic time.
+_BREAK = re.compile(rf"([.!?…](?<![.!?…]{{2}})[.!?…]*)([{re.escape(_CLOSERS)}]*)(\s+)(?=\S)")
 _OPENERS = "\"'“‘«(["
+_STOPS = ".!?…"
+#: White space as Spark's (?U)\s knows it; Python's own has these separators too.
+_SPACE, _SEPARATORS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), "\x1c\x1d\x1e\x1f"
 
 
 def _type(word: str) -> str:
@@ -88,31 +98,95 @@ class Splitter:
         if m[1] != ".":
             return True
         start = max(text.rfind(" ", max(0, m.start() - 100), m.start()), text.rfind("\n", max(0, m.start() - 100), m.start())) + 1
-        word, after = text[start : m.start()].lstrip(_OPENERS), _type(following.rstrip(".!?"))
+        word = text[start : m.start()].lstrip(_OPENERS)
         known = _type(word)
         initial = len(known) == 1 and known.isalpha() and word[:1].isupper()
-        if (known, after) in self.collocations and (known in self.abbreviations or known == "##" or initial):
+        short = initial or known in self.abbreviations
+        if not short and known != "##":
+            return True
+        after = _type(following.rstrip(".!?"))
+        if (known, after) in self.collocations:
             return False
-        if initial or known in self.abbreviations:
-            return bare[:1].isalpha() and after in self.starters
-        return True
+        return not short or (bare[:1].isalpha() and after in self.starters)
+
+
+def _bare(word: str) -> str:
+    return word.lstrip(_OPENERS).rstrip(_CLOSERS + ",;:")
+
+
+def _stopped(word: str) -> bool:
+    return len(word) > 1 and word[-1] == "." and word[-2] != "."
+
+
+def _kind(word: str) -> str:
+    """A word's type, but for small letters, which Spark makes."""
+    word = word.rstrip(_STOPS)
+    digits = word.replace(".", "").replace(",", "")
+    return "##" if digits.isdigit() and digits.isascii() else word
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text cut before white space, in about PIECE characters each."""
+    begin = 0
+    while begin < len(text):
+        cut = _SPACE.search(text, begin + PIECE)
+        end = cut.start() if cut else len(text)
+        yield text[begin:end]
+        begin = end
+
+
+def _tally(text: str, words: Counter, pairs: Counter) -> Iterator[int]:
+    """Counts a text's words as they stand, and its stopped words with the next word (None after the last); gives each piece's length once it is counted."""
+    waiting: list[str] = []  # a stopped word whose next one is in the next piece
+    for piece in _pieces(text):
+        found = _SPACE.split(piece) if any(c in piece for c in _SEPARATORS) else piece.split()
+        words.update(found)
+        found, waiting = waiting + found, []
+        for i in [i for i, w in enumerate(found) if "." in w]:
+            word = _bare(found[i])
+            if _stopped(word):
+                after = i + 1
+                while after < len(found) and not _bare(found[after]):
+                    after += 1
+                if after < len(found):
+                    pairs[word, _bare(found[after])] += 1
+                else:
+                    waiting = [word]
+        yield len(piece)
+    pairs.update((w, None) for w in waiting)
+
+
+_COUNTS = pa.schema([("type", pa.string()), ("stop", pa.bool_()), ("after", pa.string()), ("n", pa.int64())])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of types, with the type after a stop; a type may come in several rows."""
+    words, pairs, read = Counter(), Counter(), 0
+
+    def rows() -> pa.RecordBatch:
+        plain = [(w, n) for w, n in ((_bare(w), n) for w, n in words.items()) if w and not _stopped(w)]
+        kinds = [_kind(w) for w, _ in plain] + [_kind(w) for w, _ in pairs]
+        after = [None] * len(plain) + [a if a is None else _kind(a) for _, a in pairs]
+        return pa.record_batch([kinds, [False] * len(plain) + [True] * len(pairs), after, [n for _, n in plain] + [*pairs.values()]], schema=_COUNTS)
+
+    for batch in batches:
+        for (text,) in slices(batch.column(0)):
+            for length in _tally(text, words, pairs):
+                read += length
+                if read >= READ or len(words) + len(pairs) >= HELD:
+                    yield rows()
+                    words.clear()
+                    pairs.clear()
+                    read = 0
+    yield rows()
 
 
 def train(texts: DataFrame, text_col: str = "text_content") -> Splitter:
     """Learns from all texts of a table."""
     source = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bare = lambda w: F.regexp_replace(w, r"""^["'“‘«(\[]+|["'”’»)\],;:]+$""", "")
-    kind = lambda w: F.when(F.regexp_replace(w, r"[.,]", "").rlike(r"^\d+$"), F.lit("##")).otherwise(F.lower(w))
-    words = F.filter(F.transform(F.split("text", r"(?U)\s+"), bare), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.element_at("w", i).alias("word"), F.get("w", i).alias("after")))
-    each = source.select(words.alias("w")).filter(F.size("w") > 0).select(F.explode(pairs).alias("p")).select("p.*")
-    stopped = lambda c: F.col(c).rlike(r"[^.]\.$")
-    whole = each.select(
-        kind(F.regexp_replace("word", r"[.!?…]+$", "")).alias("type"),
-        stopped("word").alias("stop"),
-        F.when(stopped("word"), kind(F.regexp_replace("after", r"[.!?…]+$", ""))).alias("after"),
-    )
-    counted = written(whole.filter("type <> ''").groupBy("type", "stop", "after").agg(F.count("*").alias("n")), "word-counts")
+    ship_here()
+    each = source.mapInArrow(_counts, "type string, stop boolean, after string, n long").select(F.lower("type").alias("type"), "stop", F.lower("after").alias("after"), "n")
+    counted = written(each.filter("type <> ''").groupBy("type", "stop", "after").agg(F.sum("n").alias("n")), "word-counts")
     total, stops = counted.agg(F.sum("n"), F.sum(F.when(F.col("stop"), F.col("n")))).first()
     total, stops = total or 0, stops or 0
     types = written(counted.groupBy("type").agg(F.coalesce(F.sum(F.when(F.col("stop"), F.col("n"))), F.lit(0)).alias("with_stop"), F.sum("n").alias("n")), "types")
@@ -142,8 +216,9 @@ def split_trained(text: Column, splitter: Splitter) -> Column:
     """Sentences of a text, by a trained splitter."""
     ship_here()
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([splitter.split(t) for t in texts])
+    @F.arrow_udf(types.ArrayType(types.StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array((splitter.split(t) for (t,) in slices(texts)), pa.list_(pa.string()))
 
     return split(text)
