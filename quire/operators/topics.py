@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -71,10 +73,18 @@ def terms(text: Column, ngrams: int = 1, stop_words: bool = True) -> Column:
 
 def vocabulary(rows: DataFrame, ngrams: int = 2, min_df: int = 2, size: int = 1000, text_col: str = "text_content", stop_words: bool = True) -> DataFrame:
     """(word, count, df) of the most frequent terms that min_df rows or more hold; ties by word."""
-    found = rows.select("pmid", terms(F.col(text_col), ngrams, stop_words).alias("t"))
-    again = written(rows.groupBy("pmid").agg(F.count("*").alias("n")).filter("n > 1 or pmid is null").select("pmid"), "repeated-ids")  # ids are shuffled, no texts
+    return vocabulary_of(rows.select("pmid", terms(F.col(text_col), ngrams, stop_words).alias("t")), rows.select("pmid"), min_df, size)
+
+
+def _exploded(texts: DataFrame) -> DataFrame:
+    """(word, n, df) of texts (t): a row a word, and one for each different word of a text."""
     share = lambda array, n, df: F.transform(array, lambda w: F.struct(w.alias("word"), F.lit(n).cast("long").alias("n"), F.lit(df).cast("long").alias("df")))
-    each = lambda texts: texts.select(F.explode(F.concat(share(F.col("t"), 1, 0), share(F.array_distinct("t"), 0, 1))).alias("w")).select("w.*")
+    return texts.select(F.explode(F.concat(share(F.col("t"), 1, 0), share(F.array_distinct("t"), 0, 1))).alias("w")).select("w.*")
+
+
+def vocabulary_of(found: DataFrame, ids: DataFrame, min_df: int, size: int, each: Callable[[DataFrame], DataFrame] = _exploded) -> DataFrame:
+    """``vocabulary`` of texts that are terms already: found (pmid, t), with ids (pmid) of the same rows.  ``each``: what counts the terms of rows that are texts."""
+    again = written(ids.groupBy("pmid").agg(F.count("*").alias("n")).filter("n > 1 or pmid is null").select("pmid"), "repeated-ids")  # ids are shuffled, no texts
     if again.isEmpty():
         counted = each(found)  # a row is a text: terms are counted before anything is shuffled
     else:
