@@ -7,8 +7,8 @@ What is learnt (all by the log-likelihood ratio of two counts, after Kiss and St
 * starters: types that follow a sentence's end more often than chance tells;
 * collocations: pairs of an abbreviation or number and the type after its stop that is no starter, more frequent together than apart ("Fig. 3").
 
-Words are counted in Arrow batches, and Spark groups these counts; what is learnt is bounded (MOST of each kind, the
-likeliest first) and goes to tasks as sets.  A stop, or ! or ?, before white space ends a sentence, but for a stop
+Words are counted in Arrow batches, and Spark groups these counts; all that is learnt is kept.  Up to MOST of a kind go to tasks
+as a set; more go as a file that is searched where it lies.  A stop, or ! or ?, before white space ends a sentence, but for a stop
 
 * after an initial (one letter) or an abbreviation before a word that is no starter, or before a word in small letters;
 * after a number or abbreviation whose pair with the next word is a collocation;
@@ -21,11 +21,18 @@ from __future__ import annotations
 
 import math
 import re
+import sqlite3
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from contextlib import closing
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -34,7 +41,7 @@ from quire.functions.batches import slices
 from quire.shipping import ship_here
 from quire.storage import written
 
-#: Kept of each kind; the least scores.
+#: Held in memory of each kind, beyond which all of it is a file; the least scores.
 MOST = 20_000
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Fewest times that a pair or a starter must be seen.
@@ -73,13 +80,49 @@ def abbreviation_score(kind: Column, with_stop: Column, without: Column, stops:
     return F.greatest(2 * gain, F.lit(0.0)) * F.exp(-letters) * (F.char_length(kind) - letters + 1) / F.pow(letters, without)
 
 
+@lru_cache(16)
+def _opened(name: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro&immutable=1", uri=True, check_same_thread=False)
+
+
+@dataclass(frozen=True)
+class Filed:
+    """A set of types, or of pairs of them, of any size: a sorted file that Spark brings to the disk of every executor."""
+
+    name: str
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Filed:
+        """Of different rows of one or two columns, which come through the driver a partition at a time."""
+        path = Path(tempfile.mkdtemp()) / f"learnt-{uuid.uuid4().hex}.sqlite"
+        with closing(sqlite3.connect(path, isolation_level=None)) as db:
+            db.execute("PRAGMA journal_mode = OFF")
+            db.execute("CREATE TABLE held (word TEXT, after TEXT, PRIMARY KEY (word, after)) WITHOUT ROWID")
+            db.execute("BEGIN")
+            db.executemany("INSERT INTO held VALUES (?, ?)", ((r[0], r[1] if len(r) > 1 else "") for r in rows.orderBy(*rows.columns).toLocalIterator()))
+            db.execute("COMMIT")
+        rows.sparkSession.sparkContext.addFile(str(path))
+        return cls(path.name)
+
+    def __contains__(self, key: str | tuple[str, str]) -> bool:
+        pair = key if isinstance(key, tuple) else (key, "")
+        return _opened(self.name).execute("SELECT 1 FROM held WHERE word = ? AND after = ?", pair).fetchone() is not None
+
+
+def _kept(rows: DataFrame) -> Container:
+    """All rows as a set: of values, or of pairs where there are two columns."""
+    if rows.count() > MOST:
+        return Filed.of(rows)
+    return frozenset(tuple(r) if len(r) > 1 else r[0] for r in rows.collect())  # MOST at most
+
+
 @dataclass(frozen=True)
 class Splitter:
     """What a corpus has taught; without one only initials and the next word's first letter decide."""
 
-    abbreviations: frozenset[str] = frozenset()
-    collocations: frozenset[tuple[str, str]] = frozenset()
-    starters: frozenset[str] = frozenset()
+    abbreviations: Container[str] = frozenset()
+    collocations: Container[tuple[str, str]] = frozenset()
+    starters: Container[str] = frozenset()
 
     def split(self, text: str | None) -> list[str]:
         text = (text or "").strip()
@@ -191,25 +234,23 @@ def train(texts: DataFrame, text_col: str = "text_content") -> Splitter:
     total, stops = total or 0, stops or 0
     types = written(counted.groupBy("type").agg(F.coalesce(F.sum(F.when(F.col("stop"), F.col("n"))), F.lit(0)).alias("with_stop"), F.sum("n").alias("n")), "types")
 
-    def best(rows: DataFrame, score: Column, least: float, *columns: str) -> list[tuple]:
-        scored = rows.withColumn("score", score).filter(F.col("score") >= least)
-        return [tuple(r[c] for c in columns) for r in scored.orderBy(F.desc("score"), *columns).limit(MOST).collect()]
+    def best(rows: DataFrame, score: Column, least: float, purpose: str, *columns: str) -> DataFrame:
+        return written(rows.withColumn("score", score).filter(F.col("score") >= least).select(*columns), purpose)
 
     lettered = types.filter(F.col("type").rlike(r"^\p{L}[\p{L}.]*$") & (F.col("with_stop") > 0))
-    abbreviations = best(lettered, abbreviation_score(F.col("type"), F.col("with_stop"), F.col("n") - F.col("with_stop"), float(stops), float(total)), ABBREVIATION, "type")
-    names = [t for (t,) in abbreviations]
-    known = F.broadcast(counted.sparkSession.createDataFrame([(t,) for t in [*names, "##"]], "type string"))  # MOST + 1 at most
+    score = abbreviation_score(F.col("type"), F.col("with_stop"), F.col("n") - F.col("with_stop"), float(stops), float(total))
+    abbreviations = best(lettered, score, ABBREVIATION, "abbreviations", "type", "with_stop")
+    known = abbreviations.unionByName(types.filter("type = '##'").select("type", "with_stop")).withColumnRenamed("with_stop", "n_type")
     real_stop = counted.filter(F.col("stop") & F.col("after").isNotNull())
-    follow = real_stop.groupBy("type", "after").agg(F.sum("n").alias("both")).filter(F.col("both") >= SEEN)
+    follow = real_stop.groupBy("type", "after").agg(F.sum("n").cast("double").alias("both")).filter(F.col("both") >= SEEN)
     size = F.lit(float(total))
     sums = lambda name: types.select(F.col("type").alias(name), F.col("n").cast("double").alias(f"n_{name}"))
-    ends = real_stop.join(known.filter("type <> '##'"), "type", "left_anti").groupBy(F.col("after").alias("type")).agg(F.sum("n").cast("double").alias("both")).filter(F.col("both") >= SEEN)
-    starting = ends.join(types.select("type", F.col("n").cast("double").alias("n_type")), "type").filter(F.col("type").rlike(r"^\p{L}"))
-    starters = best(starting, log_likelihood(F.col("both"), F.lit(float(stops)), F.col("n_type"), size), STARTER, "type")
-    first = F.broadcast(counted.sparkSession.createDataFrame(starters, "after string"))  # MOST at most
-    pair_rows = follow.join(known, "type").join(first, "after", "left_anti").join(types.select("type", F.col("with_stop").cast("double").alias("n_type")), "type").join(sums("after"), "after")
-    collocations = best(pair_rows, log_likelihood(F.col("both").cast("double"), F.col("n_type"), F.col("n_after"), size), COLLOCATION, "type", "after")
-    return Splitter(frozenset(names), frozenset(collocations), frozenset(t for (t,) in starters))
+    ends = real_stop.join(abbreviations, "type", "left_anti").groupBy(F.col("after").alias("type")).agg(F.sum("n").cast("double").alias("both")).filter(F.col("both") >= SEEN)
+    starting = ends.join(sums("type"), "type").filter(F.col("type").rlike(r"^\p{L}"))
+    starters = best(starting, log_likelihood(F.col("both"), F.lit(float(stops)), F.col("n_type"), size), STARTER, "starters", "type")
+    pair_rows = follow.join(known, "type").join(starters.select(F.col("type").alias("after")), "after", "left_anti").join(sums("after"), "after")
+    collocations = best(pair_rows, log_likelihood(F.col("both"), F.col("n_type").cast("double"), F.col("n_after"), size), COLLOCATION, "collocations", "type", "after")
+    return Splitter(_kept(abbreviations.select("type")), _kept(collocations), _kept(starters))
 
 
 def split_trained(text: Column, splitter: Splitter) -> Column:
